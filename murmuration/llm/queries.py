@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,12 +96,83 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM l
 """
 
+def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shards(_table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS place
+  FROM documents
+),
+p AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+  FROM d GROUP BY source
+),
+w AS (SELECT *, CAST([5, 2, 1][rank % 3 + 1] AS DOUBLE) AS weight FROM p),
+v AS (
+  SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+         CAST(coalesce(sum(source_size) OVER (ORDER BY source_size / weight, rank
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 3 AS BIGINT) AS capped,
+         sum(weight) OVER (ORDER BY source_size / weight, rank
+              ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM w
+),
+f AS (SELECT *, (total - capped) / open_weight AS lvl FROM v),
+l AS (
+  SELECT arg_min(lvl, ROW(source_size / weight, rank)) AS water FROM f WHERE lvl * weight <= source_size * 3
+),
+t AS (SELECT source, rank, source_size, total, least(water * weight, source_size * 3.0::DOUBLE) AS target FROM f, l),
+s AS (
+  SELECT d.*, rank, source_size, target, total,
+         CAST(sum(size) OVER (PARTITION BY rank ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS served
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+e AS (
+  SELECT s.*, epoch, CAST(epoch * source_size + served AS BIGINT) / target AS finish
+  FROM s, (SELECT unnest(range(3)) AS epoch) WHERE size > 0
+),
+q AS (
+  SELECT doc_id, size, total,
+         sum(size) OVER (ORDER BY finish, rank, place, doc_id, epoch, size ROWS UNBOUNDED PRECEDING) AS mixed
+  FROM e WHERE finish < 2
+),
+k AS (SELECT doc_id, sum(size) AS taken FROM q WHERE mixed <= total GROUP BY doc_id)
+SELECT s.doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM s LEFT JOIN k ON s.doc_id = k.doc_id
+"""
+
+
+def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_byte_shards": op1_byte_shards,
+    "op3_source_mix": op3_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op10_simhash_groups": op10_simhash_groups,
 }
 
 ORACLES = {
+    "op3_source_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op8_quality_rules": OP8_SQL,
 }
