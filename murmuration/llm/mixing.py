@@ -11,6 +11,9 @@ are even by construction, so a source with a third of all rows is spread over as
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +73,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
 def _running(df: DataFrame, groups: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
     """`out`: the inclusive running sum of `value` by bucket, then `order`, within `groups`."""
-    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias("_sum"))
-    offsets = sums.select(
-        *groups,
-        bucket,
-        (F.sum("_sum").over(Window.partitionBy(*groups).orderBy(bucket)) - F.col("_sum")).alias("_offset"),
-    )
-    inside = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    same = [df[g].eqNullSafe(offsets[g]) for g in [*groups, bucket]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    joined = df.join(offsets, condition, "left").select(*[df[c] for c in df.columns], offsets["_offset"])
+    keys = [*groups, bucket]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
+    running = F.sum("_sum").over(Window.partitionBy(*groups).orderBy(bucket))
+    offsets = sums.select(*[F.col(k).alias(f"_at_{k}") for k in keys], (running - F.col("_sum")).alias("_offset"))
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
+    joined = df.join(offsets, reduce(and_, same), "left").drop(*[f"_at_{k}" for k in keys])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn(out, F.sum(value).over(inside) + F.col("_offset")).drop("_offset")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, sharding, simhash
+import public_tokenizers
+
+from . import exact_dedup, mixing, pieces, quality_rules, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,10 +165,26 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_tokens(manifest)
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
+    return pieces.decode(encoded, path).select(
+        "doc_id", "n_tokens", "ids_crc32", "ids", (F.col("decoded") == F.col("text")).alias("round_trip")
+    )
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
+    "op2_token_files": op2_token_files,
     "op3_source_mix": op3_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op8_quality_rules": op8_quality_rules,
     "op10_simhash_groups": op10_simhash_groups,
 }
