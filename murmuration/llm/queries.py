@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, mixing, pieces, quality_rules, sharding, simhash, token_files
+from . import exact_dedup, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,6 +179,14 @@ def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string")) % 7 == 2
+
+
+def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(_table(spark, sf_dir, "documents"), held_out())
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_token_files": op2_token_files,
@@ -186,6 +194,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pitman_yor_scores": op9_pitman_yor_scores,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
