@@ -11,12 +11,10 @@ are even by construction, so a source with a third of all rows is spread over as
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
 from .store import WHITE_SPACE, WHITE_SPACE_RUN, materialize
 
 WEIGHTS = (5, 2, 1)
@@ -71,18 +69,6 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     )
 
 
-def _running(df: DataFrame, groups: list[str], bucket: str, order: list, value: str, out: str) -> DataFrame:
-    """`out`: the inclusive running sum of `value` by bucket, then `order`, within `groups`."""
-    keys = [*groups, bucket]
-    sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    running = F.sum("_sum").over(Window.partitionBy(*groups).orderBy(bucket))
-    offsets = sums.select(*[F.col(k).alias(f"_at_{k}") for k in keys], (running - F.col("_sum")).alias("_offset"))
-    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
-    joined = df.join(offsets, reduce(and_, same), "left").drop(*[f"_at_{k}" for k in keys])
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return joined.withColumn(out, F.sum(value).over(inside) + F.col("_offset")).drop("_offset")
-
-
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -112,7 +98,7 @@ def mix(
     budget = (targets.agg(F.max("budget").alias("b")).first() or [0])[0] or 0
     # Even slices of 52-bit hashes.
     sliced = light.withColumn("slice", F.expr(f"cast(shiftright(place, 20) * {buckets} / {1 << 32} as int)"))
-    served = _running(sliced, ["source"], "slice", ["place", "doc_id", "size"], "size", "served")
+    served = running_sums(sliced, ["source"], "slice", ["place", "doc_id", "size"], {"served": "size"})
     named = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     timed = materialize(
         served.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "slice"), "mix-times"
@@ -125,7 +111,7 @@ def mix(
     slots = passes.withColumn("slot", F.least(F.floor(F.col("finish") * buckets), F.lit(2 * buckets)).cast("int"))
     inside = slots.where((F.col("size") > 0) & (F.col("slot") < 2 * buckets))
     order = ["finish", "rank", "place", "doc_id", "epoch", "size"]
-    ranked = _running(inside, [], "slot", order, "size", "mixed")
+    ranked = running_sums(inside, [], "slot", order, {"mixed": "size"})
     taken = ranked.where(F.col("mixed") <= budget).groupBy("doc_id", "rank", "size", "served").agg(F.sum("size").alias("taken"))
     left, right = timed.alias("l"), taken.alias("r")
     return left.join(

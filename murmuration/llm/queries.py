@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import exact_dedup, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
+from . import chat_format, exact_dedup, html_extract, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,11 +187,55 @@ def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(_table(spark, sf_dir, "documents"), held_out())
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content
+  FROM conversations
+),
+members AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+r AS (
+  SELECT s.conv_id, perspective, turn, speaker, content,
+         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+  FROM said s JOIN members m ON s.conv_id IS NOT DISTINCT FROM m.conv_id
+),
+h AS (
+  SELECT *, '<|im_start|>' || role
+    || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '\s+', '_', 'g') ELSE '' END || chr(10) AS head
+  FROM r
+),
+g AS (
+  SELECT *, CASE WHEN role <> 'system' THEN speaker END AS name, head || content || '<|im_end|>' || chr(10) AS segment
+  FROM h
+),
+p AS (
+  SELECT *, row_number() OVER w - 1 AS position, CAST(sum(length(segment)) OVER w AS BIGINT) AS stop
+  FROM g
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, name NULLS FIRST, segment
+               ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id, perspective, position, turn, role, name, segment, role = 'assistant' AS masked,
+       stop - length(segment) AS start, stop,
+       stop - length(segment) + length(head) AS content_start,
+       stop - length(segment) + length(head) + length(content) + 10 AS content_stop
+FROM p
+"""
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_token_files": op2_token_files,
     "op3_source_mix": op3_source_mix,
+    "op4_main_text": op4_main_text,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat_perspectives": op6_chat_perspectives,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_quality_rules": op8_quality_rules,
     "op9_pitman_yor_scores": op9_pitman_yor_scores,
@@ -201,5 +245,6 @@ QUERIES = {
 ORACLES = {
     "op3_source_mix": OP3_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op6_chat_perspectives": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
 }
