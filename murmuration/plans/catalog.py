@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import tabular
+
 FLAGSHIP = "target_encode_mestimate"
+MODULES = (tabular,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.C.queries)
+    ORACLES.update(_module.C.oracles)
