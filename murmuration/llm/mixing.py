@@ -140,10 +140,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     per_id = materialize(
         mix(docs, id_col, text_col, source_col, **options)
         .where("taken > 0")
-        .select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-        .groupBy("_id")
-        .agg(F.max("_times").alias("_times")),
+        .select(F.col("doc_id").alias("__mix_id"), (F.col("taken") / F.col("size")).cast("int").alias("__mix_times"))
+        .groupBy("__mix_id")
+        .agg(F.max("__mix_times").alias("__mix_times")),
         "mix-times",
     )
-    joined = docs.join(sized(per_id), F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    joined = docs.join(sized(per_id), F.col(id_col).eqNullSafe(F.col("__mix_id")))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).drop("__mix_id", "__mix_times", "__mix_copy")
