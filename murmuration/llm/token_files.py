@@ -24,8 +24,9 @@ from .store import materialize, new_path
 #: A space between two visible characters always starts a new pre-token, so texts can be encoded piece by piece there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _UNEVEN = re.compile(r"^\s|\s\s|\s$")
-#: Documents encoded at once.
+#: Documents encoded at once, and unknown words in one run.
 GROUP = 128
+RUN = 256
 
 
 class TextEncoder:
@@ -38,13 +39,31 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        first = self.tokenizer.id_to_token
+        # Ids of tokens that begin with a space: in a run of words without inner spaces they begin the words.
+        self.begins = np.array([(first(i) or "").startswith("Ġ") for i in range(self.tokenizer.get_vocab_size())])
         self.first = Memory(self._encode, 50_000)
-        self.spaced = Memory(lambda words: self._encode([" " + w for w in words]))
+        self.spaced = Memory(self._encode_words)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that follow a space: encoded in runs, which are cut again where a token begins with a space."""
+        plain = [w for w in words if " " not in w]
+        runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)]
+        found: dict[str, bytes] = {}
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(run):
+                data, bounds = ids.tobytes(), (cuts * ids.itemsize).tolist()
+                found.update(zip(run, map(data.__getitem__, map(slice, bounds, [*bounds[1:], len(data)]))))
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._encode([" " + w for w in rest])))
+        return [found[w] for w in words]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
         parts = [self._cut(t or "") for t in texts]
