@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -21,12 +22,28 @@ from pyspark.sql import functions as F
 from .chunks import Memory
 
 MARK = "▁"
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Stable pairs remembered by a worker.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 GROUP = 128
 
 
+def word_pattern(pieces) -> re.Pattern | None:
+    """Where a normalized text can be cut: between two characters that no piece holds side by side.
+
+    Runs of letters are cut from what is no letter, and marks stay with what follows them. Letters that some piece
+    joins with a non-letter count as non-letters. None if a piece holds a mark after another character.
+    """
+    odd = ""
+    if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+        return None
+    while True:
+        letter = re.compile(rf"[^\W\d_{odd}]")
+        joined = {a if letter.match(a) else b for p in pieces for a, b in zip(p, p[1:]) if MARK not in (a, b) and bool(letter.match(a)) != bool(letter.match(b))}
+        if not joined:
+            return re.compile(rf"{MARK}*(?:[^\W\d_{odd}]+|(?:[\d_{odd}]|[^\w{MARK}])+)|{MARK}+")
+        odd += "".join(map(re.escape, sorted(joined)))
+
+
 class PieceModel:
     """A SentencePiece model file, with its own normalizer and vocabulary."""
 
@@ -54,12 +71,14 @@ class PieceModel:
         self.score = {p: self.model.get_score(i) for p, i in self.ids.items()}
         self.lowest = min(self.score.values(), default=0.0) - 10.0
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, piece)
+        for piece, i in self.ids.items():
+            self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        # Words can be cut before a mark only if no piece holds a mark after another character.
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.stable: dict[tuple[str, str], bool] = {}
+        self.words = word_pattern(self.ids)
+        self.size = size
+        self.piece = {i: p for p, i in self.ids.items()}
+        self.single = frozenset(p for p in self.ids if len(p) == 1)
+        self.stable: dict[int, bool] = {}
         self.memory = Memory(lambda words: map(self.encode_word, words))
 
     def merge(self, symbols: str) -> list[str]:
@@ -90,72 +109,90 @@ class PieceModel:
             offer(i, after[i])
         return [p for p in parts if p is not None]
 
-    def is_stable(self, a: str, b: str) -> bool:
-        found = self.stable.get((a, b))
+    def is_stable(self, a: int, b: int) -> bool:
+        """Whether two pieces (a character outside the vocabulary is size + its code) stay as they are side by side."""
+        key = a * (self.size + 0x110000) + b
+        found = self.stable.get(key)
         if found is None:
             if len(self.stable) > PAIRS:
                 self.stable.clear()
-            found = self.stable[a, b] = self.merge(a + b) == [a, b]
+            left, right = self.text(a), self.text(b)
+            found = self.stable[key] = self.merge(left + right) == [x for x in (left, right) if x]
         return found
 
-    def split(self, word: str) -> list[str]:
-        """The pieces of a word; characters outside the vocabulary stand alone."""
+    def text(self, i: int) -> str:
+        """A piece, or the character that stands outside the vocabulary; -1 is nothing."""
+        return "" if i < 0 else self.piece[i] if i < self.size else chr(i - self.size)
+
+    def split(self, word: str) -> list[int]:
+        """The pieces of a word, in one pass; characters outside the vocabulary stand alone."""
         n = len(word)
-        last: list[str | None] = [None] * (n + 1)
-        ends: list[list[str]] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(word):
-            ends[end + 1].append(piece)
-        if self.kind == "unigram":
-            best = [0.0] + [-np.inf] * n
-            for i in range(1, n + 1):
-                for piece in ends[i]:
-                    value = best[i - len(piece)] + self.score[piece]
-                    if value > best[i]:
-                        best[i], last[i] = value, piece
-                # A character outside the vocabulary is taken only if nothing covers it as a piece of its own.
-                if word[i - 1] not in self.ids and best[i - 1] + self.lowest > best[i]:
-                    best[i], last[i] = best[i - 1] + self.lowest, word[i - 1]
-        else:
-            for i in range(1, n + 1):
-                options = ends[i] if word[i - 1] in self.ids else [*ends[i], word[i - 1]]
-                for piece in options:
-                    start = i - len(piece)
-                    if start == 0:
-                        if len(piece) == 1 or self.is_stable_alone(piece):
-                            last[i] = piece
-                            break
-                    elif last[start] is not None and self.is_stable(last[start], piece):
-                        last[i] = piece
-                        break
-            if last[n] is None and n:
-                raise ValueError(f"no stable split of {word!r}")
+        last, strange = [-1] * (n + 1), not self.single.issuperset(word)
+        relax = self._relax_unigram if self.kind == "unigram" else self._relax_bpe
+        relax(word, last, [i for i in range(n) if word[i] not in self.single] if strange else [])
         out, i = [], n
         while i:
-            out.append(last[i])
-            i -= len(last[i])
+            piece = last[i]
+            if piece < 0:
+                raise ValueError(f"no stable split of {word!r}")
+            out.append(piece)
+            i -= len(self.piece[piece]) if piece < self.size else 1
         return out[::-1]
 
-    def is_stable_alone(self, piece: str) -> bool:
-        found = self.stable.get((piece, ""))
-        if found is None:
-            found = self.stable[piece, ""] = self.merge(piece) == [piece]
-        return found
+    def _relax_bpe(self, word: str, last: list[int], strange: list[int]) -> None:
+        stable, width, alone = self.stable, self.size + 0x110000, -1 * (self.size + 0x110000)
+        at = 0
+        for end, (piece, size) in self.automaton.iter(word):
+            while at < len(strange) and strange[at] < end:
+                self._stand_alone(word, last, strange[at])
+                at += 1
+            if last[end + 1] >= 0:
+                continue
+            start = end + 1 - size
+            before = last[start]
+            if start and before < 0:
+                continue
+            found = stable.get(before * width + piece if start else alone + piece)
+            if found if found is not None else self.is_stable(before, piece):
+                last[end + 1] = piece
+        for i in strange[at:]:
+            self._stand_alone(word, last, i)
+
+    def _stand_alone(self, word: str, last: list[int], i: int) -> None:
+        code = self.size + ord(word[i])
+        if last[i + 1] < 0 and (i == 0 or last[i] >= 0 and self.is_stable(last[i], code)):
+            last[i + 1] = code
+
+    def _relax_unigram(self, word: str, last: list[int], strange: list[int]) -> None:
+        best = [0.0] + [-np.inf] * len(word)
+        at = 0
+
+        def stand_alone(i: int) -> None:
+            if best[i] + self.lowest > best[i + 1]:
+                best[i + 1], last[i + 1] = best[i] + self.lowest, self.size + ord(word[i])
+
+        for end, (piece, size) in self.automaton.iter(word):
+            while at < len(strange) and strange[at] < end:
+                stand_alone(strange[at])
+                at += 1
+            value = best[end + 1 - size] + self.score[self.piece[piece]]
+            if value > best[end + 1]:
+                best[end + 1], last[end + 1] = value, piece
+        for i in strange[at:]:
+            stand_alone(i)
 
     def encode_word(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.split(word):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(self.model.unk_id())
-        return np.array(ids, "<i4").tobytes()
+        found = self.split(word)
+        if max(found, default=0) >= self.size:
+            found = [j for i in found for j in ([i] if i < self.size else self.fallback(chr(i - self.size)))]
+        return array("i", found).tobytes()
+
+    def fallback(self, char: str) -> list[int]:
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.model.unk_id()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, as 32-bit integers."""
-        words = [_WORDS.findall(n) if self.by_word else [n] * bool(n) for n in self.model.normalize([t or "" for t in texts])]
+        words = [self.words.findall(n) if self.words else [n] * bool(n) for n in self.model.normalize([t or "" for t in texts])]
         self.memory.prepare(set().union(*words))
         known = self.memory.young
         return [b"".join(map(known.__getitem__, w)) for w in words]
@@ -212,9 +249,11 @@ def decode(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:
 
         model = _model(model_path, kind)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [model.decode(x or []) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, GROUP):
+                some = batch.slice(at, GROUP)
+                ids = some.column(some.schema.get_field_index("ids"))
+                texts = [model.decode(ids[i].values.to_numpy().tolist() if ids[i].is_valid else []) for i in range(len(ids))]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(texts, pa.string())], names=[*some.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{fields}, decoded string")
