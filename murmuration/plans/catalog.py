@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import tabular
+from . import tabular, textual
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular,)
+MODULES = (tabular, textual)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
