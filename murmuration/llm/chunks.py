@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 #: Entries of one generation; two generations are held (some 150 bytes an entry).
-GENERATION = 800_000
+GENERATION = 300_000
 
 
 class Memory:

@@ -23,7 +23,7 @@ from .chunks import Memory
 
 MARK = "▁"
 #: Stable pairs remembered by a worker.
-PAIRS = 1_000_000
+PAIRS = 500_000
 GROUP = 128
 
 
