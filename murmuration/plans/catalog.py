@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import tabular, textual
+from . import modelling, relational, tabular, textual
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual)
+MODULES = (tabular, textual, relational, modelling)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
