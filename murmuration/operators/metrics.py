@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-EVERYTHING = Window.partitionBy()
+
+def everything():
+    """The window over all rows of a small table."""
+    return Window.partitionBy()
 
 
 def confusion(df: DataFrame, y: str, p: str, weight: Column | None = None) -> DataFrame:
@@ -82,7 +85,7 @@ def _chance(c: DataFrame) -> DataFrame:
 
 def _margins(c: DataFrame) -> DataFrame:
     return c.withColumns({
-        "a": F.sum("n").over(Window.partitionBy("y")), "b": F.sum("n").over(Window.partitionBy("p")), "total": F.sum("n").over(EVERYTHING),
+        "a": F.sum("n").over(Window.partitionBy("y")), "b": F.sum("n").over(Window.partitionBy("p")), "total": F.sum("n").over(everything()),
     })
 
 
@@ -121,7 +124,7 @@ def score_steps(df: DataFrame, y: str, s: str) -> DataFrame:
 
 def roc_curve(df: DataFrame, y: str, s: str) -> DataFrame:
     steps = score_steps(df, y, s)
-    return steps.select("threshold", (F.col("tp") / F.sum("pos").over(EVERYTHING)).alias("tpr"), (F.col("fp") / F.sum("neg").over(EVERYTHING)).alias("fpr"))
+    return steps.select("threshold", (F.col("tp") / F.sum("pos").over(everything())).alias("tpr"), (F.col("fp") / F.sum("neg").over(everything())).alias("fpr"))
 
 
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
@@ -133,7 +136,7 @@ def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
 
 def precision_recall_curve(df: DataFrame, y: str, s: str) -> DataFrame:
     steps = score_steps(df, y, s)
-    return steps.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.sum("pos").over(EVERYTHING)).alias("recall"))
+    return steps.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.sum("pos").over(everything())).alias("recall"))
 
 
 def average_precision(df: DataFrame, y: str, s: str) -> DataFrame:
@@ -303,6 +306,6 @@ def reweighing(df: DataFrame, y: str, group: str, out: str = "weight") -> DataFr
     c = df.groupBy(F.col(group).alias("_g"), F.col(y).alias("_y")).agg(F.count("*").alias("n"))
     w = c.withColumn(
         "w",
-        F.sum("n").over(Window.partitionBy("_g")) * F.sum("n").over(Window.partitionBy("_y")) / (F.col("n") * F.sum("n").over(EVERYTHING)).cast("double"),
+        F.sum("n").over(Window.partitionBy("_g")) * F.sum("n").over(Window.partitionBy("_y")) / (F.col("n") * F.sum("n").over(everything())).cast("double"),
     ).select("_g", "_y", F.col("w").alias(out))
     return df.join(F.broadcast(w), (F.col(group) == F.col("_g")) & (F.col(y) == F.col("_y")), "left").drop("_g", "_y")

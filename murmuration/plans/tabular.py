@@ -90,17 +90,18 @@ def _encoded(fit):
     return lambda s, d: (lambda df: fit(df).transform(df, "brand").select("id", "encoded"))(scored(s, d))
 
 
-Y = F.col("y").cast("double")
+def y():
+    return F.col("y").cast("double")
 
 
 def _enc_sql(expression):
     return f"SELECT id, {expression} AS encoded FROM {SCORED} a JOIN {_G} b ON a.brand = b.brand, {_ALL}"
 
 
-C.add("target_encode_mestimate", _encoded(lambda df: enc.fit_m_estimate(df, "brand", Y)), _enc_sql("(s + gm) / (n + 1)"), "encoded")
-C.add("target_encoder", _encoded(lambda df: enc.fit_target(df, "brand", Y)), _enc_sql("(s + 10 * gm) / (n + 10)"), "encoded")
-C.add("woe_encoder", _encoded(lambda df: enc.fit_woe(df, "brand", Y)), _enc_sql("ln(((s + 0.5) / gs) / ((n - s + 0.5) / (gn - gs)))"), "encoded")
-C.add("james_stein_encoder", _encoded(lambda df: enc.fit_james_stein(df, "brand", Y)),
+C.add("target_encode_mestimate", _encoded(lambda df: enc.fit_m_estimate(df, "brand", y())), _enc_sql("(s + gm) / (n + 1)"), "encoded")
+C.add("target_encoder", _encoded(lambda df: enc.fit_target(df, "brand", y())), _enc_sql("(s + 10 * gm) / (n + 10)"), "encoded")
+C.add("woe_encoder", _encoded(lambda df: enc.fit_woe(df, "brand", y())), _enc_sql("ln(((s + 0.5) / gs) / ((n - s + 0.5) / (gn - gs)))"), "encoded")
+C.add("james_stein_encoder", _encoded(lambda df: enc.fit_james_stein(df, "brand", y())),
       f"""WITH t AS (SELECT var_pop(m) AS tau FROM {_G}) SELECT id, w * m + (1 - w) * gm AS encoded
       FROM (SELECT id, m, gm, tau / (tau + gv / n) AS w FROM {SCORED} a JOIN {_G} b ON a.brand = b.brand, {_ALL}, t)""", "encoded")
 C.add("count_encoder", _encoded(lambda df: enc.fit_count(df, "brand")), f"SELECT id, count(*) OVER (PARTITION BY brand) AS encoded FROM {SCORED}", "encoded")
