@@ -212,11 +212,14 @@ def _model(path: str, kind: str) -> PieceModel:
     return _models[path, kind]
 
 
-def encode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ids, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers) for every row.
-
-    Null text counts as empty and has no ids. Texts are encoded whole. Rows keep their number and partitioning;
-    nothing is shuffled. Other columns are not read.
+def encode(
+    docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "doc_id", text_col: str = "text", round_trip: bool = False
+) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers) for every row.
+
+    With `round_trip` also `round_trip`: whether decoding the ids, in the same pass, gives the text back. Null text
+    counts as empty and has no ids. Texts are encoded whole. Rows keep their number and partitioning; nothing is
+    shuffled. Other columns are not read.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -226,19 +229,25 @@ def encode(docs: DataFrame, model_path: str, kind: str = "bpe", id_col: str = "d
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 some = batch.slice(at, GROUP)
-                data = model.encode(some.column(1).to_pylist())
+                texts = some.column(1).to_pylist()
+                data = model.encode(texts)
                 sizes = np.array([len(d) // 4 for d in data], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4")))
-                crcs = pa.array([zlib.crc32(d) for d in data], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), ids, pa.array(sizes.astype(np.int64)), crcs],
-                    names=["doc_id", "text", "ids", "n_tokens", "ids_crc32"],
-                )
+                out = {
+                    "doc_id": some.column(0),
+                    "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), "<i4"))),
+                    "n_tokens": pa.array(sizes.astype(np.int64)),
+                    "ids_crc32": pa.array([zlib.crc32(d) for d in data], pa.int64()),
+                }
+                if round_trip:
+                    same = [model.decode(np.frombuffer(d, "<i4").tolist()) == t for d, t in zip(data, texts, strict=True)]
+                    out["round_trip"] = pa.array(same, pa.bool_())
+                yield pa.RecordBatch.from_pydict(out)
 
     id_type = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {id_type}, ids array<int>, n_tokens bigint, ids_crc32 bigint" + ", round_trip boolean" * round_trip
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type}, text string, ids array<int>, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str, kind: str = "bpe") -> DataFrame:

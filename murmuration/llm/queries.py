@@ -173,10 +173,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(_table(spark, sf_dir, "documents"), path)
-    return pieces.decode(encoded, path).select(
-        "doc_id", "n_tokens", "ids_crc32", "ids", (F.col("decoded") == F.col("text")).alias("round_trip")
-    )
+    return pieces.encode(_table(spark, sf_dir, "documents"), path, round_trip=True)
 
 
 def held_out(id_col: str = "doc_id"):
