@@ -186,13 +186,14 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, **options) -> DataFrame:
-    """The documents with one of each group of near copies, all columns kept: the smallest doc_id of the component.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, **options) -> DataFrame:
+    """The documents with one of each group of near copies, all columns kept: the smallest doc_id of the group.
 
-    A row without id stays only where its whole component has none.
+    Near are documents whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more, found by
+    several fingerprints over their words and then compared exactly, so a clean document is never dropped for a chance
+    likeness of fingerprints. Rows without id stay.
     """
+    from .near_choice import keepers
     from .selection import keep_rows
 
-    groups = near_groups(docs, id_col, text_col, words, **options)
-    kept = groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return keep_rows(docs, kept, id_col)
+    return keep_rows(docs, keepers(docs, id_col, text_col, words, threshold, **options), id_col)

@@ -64,7 +64,7 @@ def test_stages_hand_documents_on(spark):
 
 
 def test_pipeline_equals_brute_force(spark):
-    from test_dedup import brute_components, brute_fingerprint, brute_groups
+    from test_dedup import brute_groups, near_components
     from test_shards_mix_rules import WORD, brute_rules
 
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
@@ -77,11 +77,13 @@ def test_pipeline_equals_brute_force(spark):
             kept.append((i, t, s))
     stay = {v[0] for v in brute_groups(kept).values()}
     kept = [r for r in kept if r[0] in stay]
-    roots = brute_components([brute_fingerprint(t, 5) for _, t, _ in kept])
-    least = {}
-    for (i, _, _), root in zip(kept, roots):
-        least[root] = min(i, least.get(root, i))
-    kept = [r for r in kept if r[0] in least.values()]
+    # The probes may miss a link, and never make one: what stays is at least one of each group.
+    roots = near_components({i: t for i, t, _ in kept})
+    docs = spark.createDataFrame(kept, "doc_id long, text string, source string")
+    near = {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()}
+    assert set(roots.values()) <= near
+    assert len(set(roots) - near) >= 0.9 * (len(roots) - len(set(roots.values())))
+    kept = [r for r in kept if r[0] in near]
     times = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
     assert set(times) <= {i for i, _, _ in kept} and max(times.values()) <= 3
     size = {i: len(WORD.findall(t)) for i, t, _ in kept}
