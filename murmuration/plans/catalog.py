@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import modelling, relational, tabular, textual
+from . import modelling, relational, streams, tabular, textual
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual, relational, modelling)
+MODULES = (tabular, textual, relational, modelling, streams)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
