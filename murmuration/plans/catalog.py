@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import modelling, relational, streams, tabular, textual
+from . import modelling, relational, streams, tabular, textual, various
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual, relational, modelling, streams)
+MODULES = (tabular, textual, relational, modelling, streams, various)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
