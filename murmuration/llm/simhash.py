@@ -6,8 +6,8 @@ values within r of itself, the values are shuffled, and fingerprints that meet i
 With r = 2 a fingerprint has 2,081 variants. They are not written out one by one: variants that agree in their leading
 `prefix` bits go to the same place, so a fingerprint travels once per reachable prefix (37 times for 8 bits) with the
 flips it has left, and the task that owns the prefix emits the variants themselves, sorts them and reads off the
-meetings. A crowded prefix is split by further bits inside the task, so memory is bounded whatever the crowding. Within
-one value the meeting fingerprints are chained, not paired, and every chained pair has its distance checked.
+meetings. The prefix grows with the number of fingerprints, so that a place gets about as many at any size of the
+corpus; inside a task a crowded prefix is split by further bits. Within one value the meeting fingerprints are chained, not paired, and every chained pair has its distance checked.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from .store import materialize
 SHINGLE = 4
 RADIUS = 2
 SEED = 42
-#: Leading bits that decide where variants meet.
+#: Leading bits that decide where variants meet, at least and at most, and the mean rows that a place may get.
 PREFIX_BITS = 8
+MOST_PREFIX_BITS = 24
+PLACE_ROWS = 1 << 18
 #: Variants a task holds at once (8 bytes each, and as much again to sort them).
 CHUNK = 1 << 22
 #: Shingle hashes counted at once.
@@ -138,8 +140,19 @@ def _masks(bits: int, most: int) -> dict[int, np.ndarray]:
     return _known[bits, most]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, prefix: int = PREFIX_BITS) -> DataFrame:
-    """(a, b): checked links between distinct fingerprints, enough of them to connect all within 2 * radius bits."""
+def prefix_bits(count: int, radius: int = RADIUS, rows: int = PLACE_ROWS) -> int:
+    """The fewest leading bits with which `count` fingerprints send a place no more than `rows` rows on average."""
+    enough = (p for p in range(PREFIX_BITS, MOST_PREFIX_BITS) if count * _ball(p, radius) <= rows << p)
+    return next(enough, MOST_PREFIX_BITS)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None) -> DataFrame:
+    """(a, b): checked links between distinct fingerprints, enough of them to connect all within 2 * radius bits.
+
+    Without a `prefix` the fingerprints are counted to choose it; it changes where they meet, not which are linked.
+    """
+    if prefix is None:
+        prefix = prefix_bits(fps.count(), radius)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
@@ -161,7 +174,7 @@ def near_groups(
     text_col: str = "text",
     words: int = SHINGLE,
     radius: int = RADIUS,
-    prefix: int = PREFIX_BITS,
+    prefix: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 

@@ -179,3 +179,15 @@ def test_empty_tables(spark):
     assert simhash.near_groups(empty(spark)).count() == 0
     assert exact_dedup.drop_exact_copies(empty(spark)).count() == 0
     assert simhash.drop_near_copies(empty(spark)).count() == 0
+
+
+def test_the_prefix_grows_with_the_fingerprints_and_changes_no_link(spark):
+    assert simhash.prefix_bits(0) == simhash.prefix_bits(1_000_000) == simhash.PREFIX_BITS
+    bits = [simhash.prefix_bits(10**n) for n in range(6, 11)]
+    assert bits == sorted(bits) and bits[-1] > bits[0]
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = base ^ np.uint64(1 << 62) ^ (np.uint64(1) << rng.integers(0, 62, 40, dtype=np.uint64))
+    fps = spark.createDataFrame([(int(x),) for x in {*base.tolist(), *near.tolist()}], "fp bigint")
+    few, many = ({tuple(r) for r in simhash.links(fps, prefix=p).collect()} for p in (8, 13))
+    assert few == many and len(few) >= 40
