@@ -130,7 +130,7 @@ def zero_crossing_rate(df: DataFrame, value: str, order: list, by: list[str], fr
 def life_table(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
     """(by..., time, d, c, n): events, all exits and the number at risk at every distinct time."""
     g = df.groupBy(*by, F.col(duration).alias("time")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     return g.withColumn("n", F.sum("c").over(w))
 
 
@@ -153,7 +153,7 @@ def nelson_aalen(df: DataFrame, duration: str, event: str, by: list[str]) -> Dat
 def aalen_johansen(df: DataFrame, duration: str, cause: str, of: int) -> DataFrame:
     """(time, cif): cumulative incidence of one cause (0 is censored) against all others."""
     g = df.groupBy(F.col(duration).alias("time")).agg(F.sum((F.col(cause) != 0).cast("long")).alias("d"), F.sum((F.col(cause) == of).cast("long")).alias("k"), F.count("*").alias("c"))
-    n = F.sum("c").over(Window.orderBy("time").rowsBetween(0, Window.unboundedFollowing))
+    n = F.sum("c").over(Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0))
     before = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
     t = g.withColumn("n", n).where("d > 0")
     s = F.coalesce(F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n"))).otherwise(-1e308)).over(before)), F.lit(1.0))
@@ -167,7 +167,7 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
         F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("c"),
         F.sum(F.col(event).cast("long") * F.col(group)).alias("d1"), F.sum(F.col(group).cast("long")).alias("c1"),
     )
-    w = Window.orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
     t = g.withColumns({"n": F.sum("c").over(w), "n1": F.sum("c1").over(w)}).where("d > 0")
     e = F.col("d") * F.col("n1") / F.col("n")
     v = F.when(F.col("n") > 1, e * (1 - F.col("n1") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import modelling, relational, streams, tabular, textual, various
+from . import matching, modelling, relational, streams, tabular, textual, various
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual, relational, modelling, streams, various)
+MODULES = (tabular, textual, relational, modelling, streams, various, matching)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
