@@ -1,8 +1,10 @@
-"""Which of a group of near copies stays: several SimHash probes nominate, shingles decide.
+"""Which of a group of near copies stays: bands of minimum hashes nominate, shingles decide.
 
-A probe is a SimHash over the distinct words of a text under a seed of its own. Texts that share most of their words
-have close fingerprints in some probe, also where their longer shingles differ too much for one fingerprint; what the
-probes' ball hashing links is then compared by the share of common word shingles.
+A text's candidates come from the word shingles that also decide. Each of BANDS keys joins ROWS minimum hashes of a
+text's shingles; two texts with a Jaccard similarity of s share a given key with probability s ** ROWS, so at s = 0.8 one
+pair in 20 million shares none of the 32. Texts with one set of shingles are one class and travel once. Within a key,
+pivots are compared with all others until what is left is connected, so no pair of a key is skipped that could still
+change the components.
 """
 
 from __future__ import annotations
@@ -11,101 +13,162 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import Memory
 from .components import connected_components
-from .simhash import RADIUS, links
-from .store import materialize, sized
+from .store import WHITE_SPACE, WHITE_SPACE_RUN, materialize, sized
 
-PROBES = 4
+BANDS = 32
+ROWS = 4
 GROUP = 256
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: Shingles hashed at once, for all minimum hashes.
+BLOCK = 2048
+#: Keys of so many classes or fewer are compared whole; in larger ones the number of pivots grows by GROWTH each round.
+SMALL = 16
+GROWTH = 4
+_random = np.random.default_rng(20)
+_STEP = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+_TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_PLUS = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _words: list[Memory] = []
 
 
-def _mixed(hashes: np.ndarray, probe: int) -> np.ndarray:
-    """An independent 64-bit hash per probe."""
-    with np.errstate(over="ignore"):
-        x = (hashes ^ _MIX[probe % len(_MIX)]) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0x94D049BB133111EB)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def probe_fingerprints(docs: DataFrame, id_col: str, text_col: str, probes: int = PROBES) -> DataFrame:
-    """doc_id and fps, an array with a fingerprint of the distinct words (A-Z in lower case) for each probe."""
+def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, from the hashes of its words; fewer words make one shingle."""
+    n, size = max(len(words) - size + 1, 1), min(size, len(words))
+    found = np.full(n, size, np.uint64)
+    for k in range(size):
+        found += _mixed(words[k : k + n] + _STEP[k % len(_STEP)]) * _STEP[-1 - k % len(_STEP)]
+    return np.unique(_mixed(found))
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """For each of BANDS * ROWS hash functions its least value over the shingles."""
+    upper = (shingles >> np.uint64(32)).astype(np.uint32)
+    parts = (upper[at : at + BLOCK, None] * _TIMES + _PLUS for at in range(0, len(upper), BLOCK))
+    return reduce(np.minimum, (p.min(axis=0) for p in parts))
+
+
+def signatures(rows: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id, n (distinct shingles), c1 and c2 (128 bits of their set), bands: for every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         if not _words:
-            _words.append(Memory(lambda words: [xxhash.xxh64_intdigest(w) for w in words]))
+            _words.append(Memory(lambda some: [xxhash.xxh64_intdigest(w) for w in some]))
         memory = _words[0]
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 some = batch.slice(at, GROUP)
-                sets = [set((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in some.column(1).to_pylist()]
-                memory.prepare(set().union(*sets))
-                known, out = memory.young, []
-                for words in sets:
-                    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                    for k in range(probes):
-                        bits = np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        counts = bits.sum(axis=0, dtype=np.uint32)
-                        out.append(np.packbits(2 * counts > len(h), bitorder="little").view(np.int64)[0])
-                flat = pa.array(np.array(out, np.int64))
-                ends = pa.array(np.arange(0, probes * len(sets) + 1, probes, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "fps"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, fps array<bigint>")
-
-
-def nominated(rows: DataFrame, probes: int, radius: int = RADIUS, prefix: int | None = None) -> DataFrame:
-    """(a, b) with a < b: pairs of documents to compare, linear in the number of documents.
-
-    Documents with one fingerprint are paired with the smallest of them, and the smallest documents of linked
-    fingerprints with each other.
-    """
-    pairs = []
-    for k in range(probes):
-        fps = rows.select("doc_id", F.col("fps")[k].alias("fp"))
-        least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), f"probe-{k}")
-        found = links(least.select("fp"), radius, prefix)
-        a = least.select(F.col("fp").alias("a"), F.col("least").alias("x"))
-        b = least.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-        pairs.append(found.join(a, "a").join(b, "b").select("x", "y"))
-        pairs.append(fps.join(least, "fp").select(F.col("doc_id").alias("x"), F.col("least").alias("y")))
-    every = reduce(DataFrame.union, pairs).where("x <> y")
-    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                texts = [t.split() or [b""] for t in some.column(1).to_pylist()]
+                memory.prepare(set().union(*texts))
+                known, sums, least = memory.young, [], []
+                for t in texts:
+                    s = shingle_hashes(np.fromiter(map(known.__getitem__, t), np.uint64, len(t)), words)
+                    sums.append((len(s), s.sum(dtype=np.uint64), _mixed(s + _STEP[1]).sum(dtype=np.uint64)))
+                    least.append(least_hashes(s))
+                rows = np.array(least).reshape(-1, BANDS, ROWS).astype(np.uint64)
+                keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP[2] + np.zeros((len(texts), 1), np.uint64)
+                for k in range(ROWS):
+                    keys = _mixed(keys + rows[:, :, k] * _STEP[3 + k])
+                n, c1, c2 = zip(*sums)
+                ends = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(0),
+                        pa.array(np.array(n, np.int64)),
+                        pa.array(np.array(c1, np.uint64).view(np.int64)),
+                        pa.array(np.array(c2, np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))),
+                    ],
+                    names=["id", "n", "c1", "c2", "bands"],
+                )
+
+    # The same lower case and white space as in shingle_sets.
+    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")
+    return rows.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(
+        run, "id bigint, n bigint, c1 bigint, c2 bigint, bands array<bigint>"
+    )
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """doc_id and s, the distinct hashes of the word shingles (the whole sequence where there are fewer words)."""
-    split = F.split(F.btrim(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    split = F.split(F.btrim(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WHITE_SPACE)), WHITE_SPACE_RUN)
     grams = f"array_distinct(transform(sequence(1, greatest(size(w) - {words - 1}, 1)), i -> xxhash64(slice(w, i, {words}))))"
     return docs.select(F.col(id_col).alias("doc_id"), split.alias("w")).select("doc_id", F.expr(grams).alias("s"))
 
 
-def keepers(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, probes: int = PROBES) -> DataFrame:
-    """(doc_id, kept): of every component of documents with a similarity of `threshold` or more one stays, the smallest id.
+def near_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): near classes, enough pairs to connect all that are near and share a key.
 
-    Rows without id are kept; they cannot be named in a pair. Repeated ids count as one document.
+    `shared` is (key, id, n). Each round takes pivots from a key's smallest components and compares them with all
+    other components of the key; then they leave it. A key is done when one component is left in it.
     """
-    rows = materialize(probe_fingerprints(docs, id_col, text_col, probes), "probes")
-    pairs = materialize(nominated(rows.where("doc_id is not null"), probes), "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(sized(wanted), "doc_id", "left_semi")
-    sets = materialize(shingle_sets(named, "doc_id", "text", words).dropDuplicates(["doc_id"]), "near-shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    member = connected_components(near)
-    gone = member.where("node <> component").select(F.col("node").alias("_node"))
-    return rows.join(gone, F.col("doc_id") == F.col("_node"), "left").select("doc_id", F.col("_node").isNull().alias("kept"))
+    near = compared = None
+    quota = 1
+    while True:
+        if near is None:
+            named = shared.withColumn("part", F.col("id"))
+        else:
+            member = connected_components(near)
+            named = shared.join(member, shared["id"] == member["node"], "left").select(
+                "key", "id", "n", F.coalesce("component", "id").alias("part")
+            )
+        key, part = Window.partitionBy("key"), Window.partitionBy("key", "part")
+        counted = named.withColumn("k", F.count("*").over(part))
+        placed = counted.withColumn("m", F.count("*").over(key)).withColumn("other", F.min("part").over(key) != F.max("part").over(key))
+        placed = placed.where("other").withColumn("place", F.row_number().over(key.orderBy("k", "part", "id")))
+        placed = materialize(placed.withColumn("pivot", F.col("place") <= F.when(F.col("m") <= SMALL, F.col("m")).otherwise(quota)), "near-places")
+        if placed.isEmpty():
+            return near if near is not None else sets.selectExpr("doc_id AS a", "doc_id AS b").limit(0)
+        p = placed.where("pivot").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("part").alias("pp"), F.col("place").alias("at"))
+        met = placed.join(p, "key").where("part <> pp AND place > at").where(F.least("n", "pn") >= threshold * F.greatest("n", "pn"))
+        pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
+            sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
+        )
+        common = F.size(F.array_intersect("sa", "sb"))
+        judged = both.select("a", "b", (common >= threshold * (F.size("sa") + F.size("sb") - common)).alias("near"))
+        judged = materialize(judged, "near-judged")
+        compared = judged if compared is None else compared.unionByName(judged)
+        near = compared.where("near").select("a", "b")
+        shared, quota = placed.where("not pivot").select("key", "id", "n"), quota * GROWTH
+
+
+def near_copies(rows: DataFrame, row_col: str, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
+    """(row, kept): each row that is near another one; of every component the one with the smallest id is kept.
+
+    `row_col` is a long that names each row of a table which reads the same each time. Rows without id are not
+    compared. Near are rows whose sets of shingles have a Jaccard similarity of `threshold` or more.
+    """
+    named = rows.where(F.col(id_col).isNotNull())
+    signed = materialize(signatures(named, row_col, text_col, words), "near-signatures")
+    classes = materialize(signed.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "near-classes")
+    keys = signed.join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("bands").alias("key"))
+    keys = materialize(keys, "near-keys")
+    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "near-crowded")
+    shared = materialize(keys.join(sized(crowded), "key", "left_semi").select("key", "id", "n"), "near-shared")
+    wanted = materialize(shared.select(F.col("id").alias("wanted")).distinct(), "near-wanted")
+    texts = named.select(F.col(row_col).alias("id"), F.col(text_col).alias("text")).join(sized(wanted), F.col("id") == F.col("wanted"), "left_semi")
+    sets = materialize(shingle_sets(texts, "id", "text", words), "near-shingles")
+    member = connected_components(near_pairs(shared, sets, threshold))
+    # All rows of a class are in the component of the class.
+    whole = classes.join(member, classes["id"] == member["node"], "left").where("rows > 1 OR component IS NOT NULL")
+    whole = materialize(whole.select("n", "c1", "c2", F.coalesce("component", "id").alias("part")), "near-parts")
+    found = signed.select("id", "n", "c1", "c2").join(sized(whole), ["n", "c1", "c2"]).select(F.col("id").alias("row"), "part")
+    ids = rows.select(F.col(row_col).alias("row"), F.col(id_col).alias("name"))
+    found = materialize(found.join(ids, "row"), "near-found")
+    first = found.groupBy("part").agg(F.min(F.struct("name", "row")).alias("first"))
+    return found.join(first, "part").select("row", (F.col("row") == F.col("first.row")).alias("kept"))

@@ -199,14 +199,15 @@ def near_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents with one of each group of near copies, all columns kept: the smallest doc_id of the group.
 
     Near are documents whose sets of `words`-word shingles have a Jaccard similarity of `threshold` or more, found by
-    several fingerprints over their words and then compared exactly, so a clean document is never dropped for a chance
-    likeness of fingerprints. Rows without id stay.
+    bands of minimum hashes of these shingles and then compared exactly, so a clean document is never dropped for a
+    chance likeness. Rows without id stay; rows that share a doc_id stay apart if their texts do.
     """
-    from .near_choice import keepers
-    from .selection import keep_rows
+    from .near_choice import near_copies
+    from .selection import ROW, keep_numbered, with_rows
 
-    return keep_rows(docs, keepers(docs, id_col, text_col, words, threshold, **options), id_col)
+    rows = with_rows(docs)
+    return keep_numbered(rows, near_copies(rows, ROW, id_col, text_col, words, threshold))

@@ -191,3 +191,35 @@ def test_the_prefix_grows_with_the_fingerprints_and_changes_no_link(spark):
     fps = spark.createDataFrame([(int(x),) for x in {*base.tolist(), *near.tolist()}], "fp bigint")
     few, many = ({tuple(r) for r in simhash.links(fps, prefix=p).collect()} for p in (8, 13))
     assert few == many and len(few) >= 40
+
+
+def sentences(seed, count, words=12):
+    import random
+
+    r = random.Random(seed)
+    return [" ".join(f"w{r.randrange(3000)}" for _ in range(words)) for _ in range(count)]
+
+
+def test_near_copies_of_a_class_that_only_share_its_words(spark):
+    rows, want = [], set()
+    for k in range(10):
+        s = sentences(100 + k, 40, 4)
+        # All three have the same words; only A and B have the same shingles.
+        head, a, b = s[1::2] + s[::2], s, s[1:] + s[:1]
+        rows += [(10 * k + i, " ".join(t), "s") for i, t in ((1, head), (2, a), (3, b))]
+        want |= {10 * k + 1, 10 * k + 2}
+    assert set(near_components({i: t for i, t, _ in rows}).values()) == want
+    assert {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()} == want
+
+
+def test_a_crowd_of_near_copies_with_outliers_matches_brute_force(spark):
+    import random
+
+    r, base, rows = random.Random(9), " ".join(sentences(300, 20)).split(), []
+    for i in range(150):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice((1, 2, 4, 12, 14))):
+            w[at] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    want = near_components({i: t for i, t, _ in rows})
+    assert {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()} == set(want.values())
