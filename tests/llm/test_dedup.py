@@ -212,6 +212,21 @@ def test_near_copies_of_a_class_that_only_share_its_words(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()} == want
 
 
+def test_near_copies_with_a_part_cut_appended_or_edited(spark):
+    import random
+
+    r, rows = random.Random(8), []
+    for k in range(60):
+        base = " ".join(sentences(200 + k, r.choice((5, 20, 60)))).split()
+        cut = base[: -(len(base) * 16 // 100)]
+        edited = list(base)
+        edited[len(base) // 2] = "new"
+        rows += [(10 * k + i, " ".join(w), "s") for i, w in enumerate((base, cut, edited))]
+    want = near_components({i: t for i, t, _ in rows})
+    assert len(set(want.values())) == 60
+    assert {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()} == set(want.values())
+
+
 def test_a_crowd_of_near_copies_with_outliers_matches_brute_force(spark):
     import random
 
