@@ -135,8 +135,10 @@ def exact_groups(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row of each group of equal texts, all columns kept.
 
-    A doc_id is taken to name one document: rows that repeat it are copies of each other.
+    Only texts decide: rows that share a doc_id, or have none, stay apart if their texts differ.
     """
-    from .selection import keep_rows
+    from .selection import keep_numbered, with_ids, with_rows
 
-    return keep_rows(docs, exact_groups(docs, id_col, text_col), id_col)
+    rows = with_rows(docs)
+    groups = exact_groups(with_ids(rows, id_col, text_col), "id", "text")
+    return keep_numbered(rows, groups.select("doc_id.row", "kept"))

@@ -147,8 +147,9 @@ def ablation(entries: DataFrame, policy: str = CURRENT, rules=RULES) -> DataFram
 
 
 def apply_policy(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass a policy, with all their columns."""
-    from .selection import keep_rows
+    """The documents that pass a policy, with all their columns; each row is judged by its own text."""
+    from .selection import keep_numbered, with_ids, with_rows
 
-    decided = ledger(docs, id_col, text_col).select("doc_id", passes(policy).alias("kept"))
-    return keep_rows(docs, decided, id_col)
+    rows = with_rows(docs)
+    entries = ledger(with_ids(rows, id_col, text_col), "id", "text")
+    return keep_numbered(rows, entries.select("doc_id.row", passes(policy).alias("kept")))

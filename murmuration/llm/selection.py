@@ -29,26 +29,7 @@ def keep_numbered(rows: DataFrame, decided: DataFrame) -> DataFrame:
 
     The dropped ones are joined, broadcast only if they have been counted and are few.
     """
-    gone = materialize(decided.where("not kept").select(F.col("row").alias(ROW)), "dropped")
+    # Written whole: a filter pushed below the decision would compute it anew for each of its conditions.
+    decided = materialize(decided.select("row", "kept"), "decided")
+    gone = decided.where("not kept").select(F.col("row").alias(ROW))
     return rows.join(sized(gone), ROW, "left_anti").drop(ROW)
-
-
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose id has a kept row in `decided` (doc_id, kept); one row for each kept id.
-
-    The smaller of the two lists of ids (dropped ones) is joined, broadcast only if it has been counted and is
-    small. A null id is kept if any row without id is kept. Where an id is repeated, one of its rows stays.
-    """
-    by_id = materialize(
-        decided.groupBy("doc_id").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n")), "decided"
-    )
-    dropped = by_id.where("not any_kept").select(F.col("doc_id").alias("__gone_id"))
-    repeated = by_id.where("any_kept and n > 1").select(F.col("doc_id").alias("__again_id"))
-    out = docs.join(sized(dropped), docs[id_col].eqNullSafe(F.col("__gone_id")), "left_anti")
-    n = repeated.count()
-    if n == 0:
-        return out
-    again = sized(repeated, n)
-    once = out.join(again, out[id_col].eqNullSafe(F.col("__again_id")), "left_anti")
-    extra = out.join(again, out[id_col].eqNullSafe(F.col("__again_id")), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(extra)

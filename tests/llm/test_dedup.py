@@ -238,3 +238,19 @@ def test_a_crowd_of_near_copies_with_outliers_matches_brute_force(spark):
         rows.append((i, " ".join(w), "s"))
     want = near_components({i: t for i, t, _ in rows})
     assert {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()} == set(want.values())
+
+
+def test_rows_without_or_with_one_id_are_decided_by_their_texts(spark):
+    from murmuration.llm import quality_rules
+
+    texts = [" ".join(sentences(400 + i, 8)) for i in range(8)]
+    rows = [(None, t, "s") for t in texts[:3]] + [(7, t, "s") for t in texts[3:6]] + [(7, "too short", "s"), (None, "too short", "s"), (8, texts[6], "s"), (8, texts[6], "s")]
+    for stage, left in (
+        (exact_dedup.drop_exact_copies, {*texts[:7], "too short"}),
+        (simhash.drop_near_copies, {*texts[:7], "too short"}),
+        (quality_rules.apply_policy, {*texts[:7]}),
+    ):
+        docs = documents(spark, rows)
+        got = [r.text for r in stage(docs).collect()]
+        assert set(got) == left, stage
+        assert docs.columns == stage(docs).columns
