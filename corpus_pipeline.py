@@ -30,9 +30,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document of the mix as token ids."""
+    """Every document of the mix as token ids, and whether decoding them gives its text back."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode(docs, path).select("doc_id", "ids", "n_tokens", "ids_crc32")
+    return pieces.encode(docs, path, round_trip=True)
 
 
 STAGES = [
@@ -40,7 +40,7 @@ STAGES = [
     ("exact dedup", exact),
     ("SimHash near-dedup", near),
     ("mixing sources", mix),
-    ("SentencePiece encoding", encode),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 #: SimHash fingerprints and SentencePiece ids have no SQL form; tests compare the stages with brute force.

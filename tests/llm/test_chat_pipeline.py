@@ -88,3 +88,15 @@ def test_pipeline_equals_brute_force(spark):
     assert set(times) <= {i for i, _, _ in kept} and max(times.values()) <= 3
     size = {i: len(WORD.findall(t)) for i, t, _ in kept}
     assert abs(sum(size[i] * k for i, k in times.items()) - sum(size.values())) <= max(size.values())
+
+
+def test_the_last_stage_decodes_as_the_library_does(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    rows = [(i, t, "s") for i, t in enumerate(("two words", "", " spaces  kept ", "\u6f22\u5b57 \U0001f642", "a\x1cb\n\tc"))]
+    got = corpus_pipeline.encode(spark, documents(spark, rows), SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.round_trip == (model.decode(list(r.ids)) == rows[r.doc_id][1])
