@@ -39,39 +39,189 @@ def test_reruns_agree_and_rare_pairs_join(spark, monkeypatch):
     assert none.train_tokens == 0 and none.n_known == 0 and math.isfinite(none.score)
 
 
+CORPUS = ["a b a b a c", "a b b a b", "b c d a b a b", "c d c d c d a", "a", "x y a b", "a b a c d", "b b b b a b"]
+ASIDE = ["a b c q", "d a q b", ""]
+
+
+def counted(texts):
+    """The word table of some texts as one batch, and the pairs in its order."""
+    import pyarrow as pa
+
+    train = Counter()
+    for words, contexts in language_model.Reader().read(texts):
+        train.update(zip(words.tolist(), contexts.tolist()))
+    names = sorted({w for w, _ in train})
+    pairs = [(w, u) for w in names for u in sorted(u for x, u in train if x == w)]
+    sizes = [sum(w == n for w, _ in pairs) for n in names]
+    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    counts = [train[p] for p in pairs]
+    arrays = [pa.array(np.array(names, np.uint64).view(np.int64))]
+    for values in ([u for _, u in pairs], counts, counts, [1] * len(pairs)):
+        arrays.append(pa.ListArray.from_arrays(ends, pa.array(values)))
+    return pa.RecordBatch.from_arrays(arrays, names=["w", "u", "train", "n", "t"]), pairs
+
+
+def totals_of(s, discounts=None):
+    m = language_model
+    c1, c0 = s.received(s.t, s.group, s.group_class), s.received(s.t1, s.group_word, s.w)
+    guess = tuple(m._discount((c == 1).sum(), (c == 2).sum()) for c in (s.train, c1, c0))
+    by_u, by_k = (lambda x: np.bincount(s.u, weights=x, minlength=m.CONTEXTS)), (lambda x: np.bincount(s.group_class, weights=x, minlength=m.CLASSES))
+    return m.Totals((by_u(s.train), by_k(c1), c0.sum()), (by_u(s.t), by_k(s.t1), s.t0.sum()), discounts or guess, int((s.t0 > 0).sum()))
+
+
+def sampled(texts, burn_in, samples, settings=language_model.Settings()):
+    """Pair -> averaged probability, by sweeps over one batch."""
+    batch, pairs = counted(texts)
+    s = language_model.Seating(batch)
+    totals, mean = totals_of(s), 0.0
+    for step in range(burn_in + samples):
+        if step >= burn_in:
+            mean = mean + s.likely(totals, settings) / samples
+        s.sweep(totals, settings, step)
+        totals = totals_of(s, totals.discounts)
+    return dict(zip(pairs, mean)), s, totals
+
+
+def one_by_one(texts, discounts, burn_in, samples, seed=3):
+    """(word, previous word) -> averaged probability, by a sampler that moves one customer at a time."""
+    import random
+
+    r = random.Random(seed)
+    tokens = [(w, p) for t in texts for w, p in zip([*t.split(), ""], [None, *t.split()])]
+    known = {w for w, _ in tokens}
+    seats = {}
+
+    def up(room):
+        return None if room == "root" else "root" if room[0] == "class" else ("class", room[1][-1:] if room[1] is not None else None)
+
+    def level(room):
+        return 2 if room == "root" else 1 if room[0] == "class" else 0
+
+    def chance(room, w):
+        if room is None:
+            return 1 / (len(known) + 1)
+        d, here = discounts[level(room)], seats.setdefault(room, {})
+        c, t = sum(map(sum, here.values())), sum(map(len, here.values()))
+        own = here.get(w, [])
+        return (sum(own) - d * len(own) + (1 + d * t) * chance(up(room), w)) / (1 + c)
+
+    def add(room, w):
+        if room is None:
+            return
+        d, here = discounts[level(room)], seats.setdefault(room, {})
+        own, t = here.setdefault(w, []), sum(map(len, here.values()))
+        k = r.choices(range(len(own) + 1), [n - d for n in own] + [(1 + d * t) * chance(up(room), w)])[0]
+        if k == len(own):
+            own.append(1)
+            add(up(room), w)
+        else:
+            own[k] += 1
+
+    def leave(room, w):
+        if room is None:
+            return
+        own = seats[room][w]
+        k = r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        if not own[k]:
+            del own[k]
+            leave(up(room), w)
+
+    for w, p in tokens:
+        add(("word", p), w)
+    mean = Counter()
+    for step in range(burn_in + samples):
+        for w, p in tokens:
+            leave(("word", p), w)
+            add(("word", p), w)
+        if step >= burn_in:
+            for w, p in set(tokens):
+                mean[w, p] += chance(("word", p), w) / samples
+    return mean
+
+
 def test_probabilities_of_a_context_sum_to_one():
-    # Three words under two contexts; the parent's base gives one more share to the unknown word.
-    word, context = np.array([0, 0, 1, 2, 2]), np.array([0, 1, 0, 0, 1])
-    customers = np.array([5.0, 0.0, 2.0, 1.0, 7.0])
-    tables = np.zeros(257)
-    totals = language_model.Totals(15, 3, 0.6, 0.4, np.bincount(context, weights=customers, minlength=257), tables, 3.0)
-    s = language_model.Settings()
-    rng = np.random.default_rng(0)
-    for _ in range(5):
-        # Totals follow the seating, as the outer rounds make them.
-        for seated, root, _ in language_model.sweeps(word, context, customers, 3, totals, s, 1, np.random.default_rng(4)):
-            totals = language_model.Totals(15, 3, 0.6, 0.4, totals.customers, np.bincount(context, weights=seated, minlength=257), root.sum())
-    for _, root, _ in language_model.sweeps(word, context, customers, 3, totals, s, 1, np.random.default_rng(4)):
-        sent_all = totals.tables.sum()
-        sent = np.bincount(word, weights=seated, minlength=3)
-        fresh = (s.root_strength + 0.4 * root.sum()) / 4
-        parent = np.append(sent - 0.4 * root + fresh, fresh) / (s.root_strength + sent_all)
-        assert math.isclose(parent.sum(), 1.0, rel_tol=1e-9)
-    assert rng is not None
-
-
-def test_seating_has_the_expected_number_of_tables():
+    m, settings = language_model, language_model.Settings()
+    words = sorted({w for t in CORPUS for w in t.split()} | {""})
+    texts = [*CORPUS, *[f"a {w}" if w else "a" for w in words]]
+    _, s, totals = sampled(texts, 3, 1)
+    heard = m.Reader()
+    after = next(iter(heard.read(["a"])))[1][1]
+    seen = s.u == after
+    # All words follow `a` here, so what is left is the share of the unknown word.
+    d, c, t = totals.discounts, totals.customers, totals.tables
+    kind = int(after) // m.SLOTS
+    unknown = 1 / (totals.known + 1)
+    for level, at in ((2, None), (1, kind), (0, int(after))):
+        cc, tt = (c[level], t[level]) if at is None else (c[level][at], t[level][at])
+        unknown *= (1 + d[level] * tt) / (1 + cc)
+    assert seen.sum() == len(words)
+    assert math.isclose(s.likely(totals, settings)[seen].sum() + unknown, 1.0, rel_tol=1e-9)
+
+
+def test_sweeps_agree_with_moving_customers_one_by_one():
+    got, _, totals = sampled(CORPUS, 50, 400)
+    want = one_by_one(CORPUS, totals.discounts, 50, 600)
+    reader, ids = language_model.Reader(), {}
+    for text in CORPUS:
+        for (w, u), pair in zip(zip(*map(np.ndarray.tolist, next(iter(reader.read([text]))))), zip([*text.split(), ""], [None, *text.split()])):
+            ids[pair] = (w, u)
+    assert len(ids) == len(got) == len(want)
+    error = [abs(math.log(got[ids[p]] / want[p])) for p in want]
+    assert max(error) < 0.25 and sum(error) / len(error) < 0.06
+
+
+def test_scores_are_sums_over_the_sampled_chain(spark):
+    rows = [(i, t, "s") for i, t in enumerate([*CORPUS, *ASIDE])]
+    held = F.col("doc_id") >= len(CORPUS)
+    got = {r.doc_id: r.score for r in language_model.score_documents(documents(spark, rows), held).collect()}
+    likely, s, _ = sampled(CORPUS, 2, 2)
+    for i, text in enumerate(CORPUS):
+        (words, contexts), = language_model.Reader().read([text])
+        assert math.isclose(got[i], sum(math.log10(likely[p]) for p in zip(words.tolist(), contexts.tolist())), rel_tol=1e-5)
+    assert all(math.isfinite(got[i]) and got[i] < 0 for i in range(len(CORPUS), len(rows)))
+
+
+def test_partitions_do_not_change_scores(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = []
+    for parts in (3, 11):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        found.append({r.doc_id: r.score for r in language_model.score_documents(docs.repartition(parts), held_out()).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert all(math.isclose(x, found[1][i], rel_tol=1e-6) for i, x in found[0].items())
+
+
+def test_held_out_texts_are_likelier_than_under_the_base(spark):
+    scored = language_model.score_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), held_out()).cache()
+    assert language_model.perplexity(scored) < 0.9 * language_model.perplexity(scored, "base_score")
+
+
+def test_numbers_of_tables_follow_their_distribution():
+    rng = np.random.default_rng(3)
+    d, a = 0.5, 2.0
+    assert (language_model.draw(np.array([0.0, 1.0, 2.0]), np.ones(3), d, np.array([0.5, 0.5, 0.99])) == [0, 1, 2]).all()
+    for c in (3, 40, 128):
+        logs = language_model.stirling(d)[c, 1 : c + 1] + np.log(a) * np.arange(1, c + 1)
+        share = np.exp(logs - logs.max())
+        mean = (share * np.arange(1, c + 1)).sum() / share.sum()
+        got = language_model.draw(np.full(20000, float(c)), np.full(20000, a), d, rng.random(20000)).mean()
+        assert abs(got - mean) < 0.03 * mean
+    # S(3, t) by hand: (1 - d)(2 - d), 3 (1 - d), 1.
+    assert np.allclose(np.exp(language_model.stirling(d)[3, 1:4]), [0.75, 1.5, 1.0])
+
+
+def test_large_parties_are_seated_as_in_turn():
     rng = np.random.default_rng(3)
     n, a, d = 400, 2.0, 0.5
-    want = np.zeros(3000)
-    for k in range(3000):
+    want = []
+    for _ in range(1000):
         t = 1
         for c in range(1, n):
             t += rng.random() < a / (c - d * t + a)
-        want[k] = t
-    got = language_model.seat(np.full(3000, float(n)), np.full(3000, a), d, rng)
-    assert abs(got.mean() - want.mean()) < 0.05 * want.mean()
-    assert (language_model.seat(np.array([0.0, 1.0, 2.0]), np.ones(3), d, rng) <= [0, 1, 2]).all()
+        want.append(t)
+    got = language_model.draw(np.full(1000, float(n)), np.full(1000, a), d, rng.random(1000))
+    assert abs(got.mean() - np.mean(want)) < 0.05 * np.mean(want)
 
 
 def test_blocks_of_broken_markup():
