@@ -1,10 +1,15 @@
-"""Which of a group of near copies stays: bands of minimum hashes nominate, shingles decide.
-
-A text's candidates come from the word shingles that also decide. Each of BANDS keys joins ROWS minimum hashes of a
-text's shingles; two texts with a Jaccard similarity of s share a given key with probability s ** ROWS, so at s = 0.8 one
-pair in 20 million shares none of the 32. Texts with one set of shingles are one class and travel once. Within a key,
-pivots are compared with all others until what is left is connected, so no pair of a key is skipped that could still
-change the components.
+"""Which of a group of near copies stays: SimHash balls and bands of minimum hashes nominate, shingles decide.
+
+Texts with one set of shingles are one class and travel once. SimHash fingerprints of the sets meet by ball hashing, and
+a spanning forest of their links is compared first. At a Jaccard similarity of 0.8 two fingerprints are some ten bits
+apart, beyond what balls of half the radius can reach, so bands stand beside them: each of BANDS keys joins ROWS minimum
+hashes of a text's shingles; two texts with a similarity of s share a given key with probability s ** ROWS, so at s = 0.8
+one pair in 20 million shares none of the 32.
+
+Within a key, pivots are compared with all others until what is left is connected. Before that, shingles that no other
+nominated class has are counted: what a class shares with others bounds its similarity to any of them, so that an edited
+copy that is too far from everything leaves its keys without being compared with each member. Both bounds are exact: no
+pair of a key is skipped that could still change the components.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .chunks import Memory
 from .components import connected_components
+from .hashing import mixed as _mixed
+from .simhash import links
 from .store import WHITE_SPACE, WHITE_SPACE_RUN, materialize, sized
 
 BANDS = 32
@@ -25,9 +32,8 @@ ROWS = 4
 GROUP = 256
 #: Shingles hashed at once, for all minimum hashes.
 BLOCK = 2048
-#: Keys of so many classes or fewer are compared whole; in larger ones the number of pivots grows by GROWTH each round.
-SMALL = 16
-GROWTH = 4
+#: The number of pivots of a key grows by so much each round.
+GROWTH = 16
 _random = np.random.default_rng(20)
 _STEP = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -35,12 +41,6 @@ _PLUS = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _words: list[Memory] = []
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, from the hashes of its words; fewer words make one shingle."""
     n, size = max(len(words) - size + 1, 1), min(size, len(words))
@@ -50,6 +50,15 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(_mixed(found))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes: a bit is set if more than half of them have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        bits = np.unpackbits(shingles[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
     """For each of BANDS * ROWS hash functions its least value over the shingles."""
     upper = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -58,7 +67,7 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n (distinct shingles), c1 and c2 (128 bits of their set), bands: for every row."""
+    """id, n (distinct shingles), c1 and c2 (128 bits of their set), fp (their SimHash), bands: for every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -72,11 +81,12 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 some = batch.slice(at, GROUP)
                 texts = [t.split() or [b""] for t in some.column(1).to_pylist()]
                 memory.prepare(set().union(*texts))
-                known, sums, least = memory.young, [], []
+                known, sums, least, prints = memory.young, [], [], []
                 for t in texts:
                     s = shingle_hashes(np.fromiter(map(known.__getitem__, t), np.uint64, len(t)), words)
                     sums.append((len(s), s.sum(dtype=np.uint64), _mixed(s + _STEP[1]).sum(dtype=np.uint64)))
                     least.append(least_hashes(s))
+                    prints.append(set_fingerprint(s))
                 rows = np.array(least).reshape(-1, BANDS, ROWS).astype(np.uint64)
                 keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP[2] + np.zeros((len(texts), 1), np.uint64)
                 for k in range(ROWS):
@@ -89,15 +99,16 @@ def signatures(rows: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                         pa.array(np.array(n, np.int64)),
                         pa.array(np.array(c1, np.uint64).view(np.int64)),
                         pa.array(np.array(c2, np.uint64).view(np.int64)),
+                        pa.array(prints, pa.int64()),
                         pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["id", "n", "c1", "c2", "bands"],
+                    names=["id", "n", "c1", "c2", "fp", "bands"],
                 )
 
     # The same lower case and white space as in shingle_sets.
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("binary")
     return rows.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(
-        run, "id bigint, n bigint, c1 bigint, c2 bigint, bands array<bigint>"
+        run, "id bigint, n bigint, c1 bigint, c2 bigint, fp bigint, bands array<bigint>"
     )
 
 
@@ -108,43 +119,73 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("doc_id"), split.alias("w")).select("doc_id", F.expr(grams).alias("s"))
 
 
-def near_pairs(shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): near classes, enough pairs to connect all that are near and share a key.
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """id, n (shingles), m (those that another of these classes has as well)."""
+    flat = sets.select(F.col("doc_id").alias("id"), F.explode("s").alias("h"))
+    alone = flat.groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = alone.groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.select(F.col("doc_id").alias("id"), F.size("s").cast("long").alias("n"))
+    return sizes.join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("m"))
+
 
-    `shared` is (key, id, n). Each round takes pivots from a key's smallest components and compares them with all
-    other components of the key; then they leave it. A key is done when one component is left in it.
+def similar_at_most(n, m, other, threshold: float):
+    """Whether a class of n shingles, m of them shared, can be near one of `other` shingles: m bounds what they share."""
+    return m * (1 + threshold) + 1e-6 >= threshold * (n + other)
+
+
+def near_pairs(first: DataFrame, shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): near classes, enough pairs to connect all that are near and share a key, or are a pair of `first`.
+
+    `shared` is (key, id, n, m). Each round takes pivots from a key and compares them with all other components of the
+    key; then they leave it: first the class with the fewest shingles of its own, then those of the smallest components.
+    Classes that nothing in the key can be near leave as well. A key is done when one component is left in it.
     """
-    near = compared = None
-    quota = 1
-    while True:
-        if near is None:
-            named = shared.withColumn("part", F.col("id"))
-        else:
-            member = connected_components(near)
-            named = shared.join(member, shared["id"] == member["node"], "left").select(
-                "key", "id", "n", F.coalesce("component", "id").alias("part")
-            )
-        key, part = Window.partitionBy("key"), Window.partitionBy("key", "part")
-        counted = named.withColumn("k", F.count("*").over(part))
-        placed = counted.withColumn("m", F.count("*").over(key)).withColumn("other", F.min("part").over(key) != F.max("part").over(key))
-        placed = placed.where("other").withColumn("place", F.row_number().over(key.orderBy("k", "part", "id")))
-        placed = materialize(placed.withColumn("pivot", F.col("place") <= F.when(F.col("m") <= SMALL, F.col("m")).otherwise(quota)), "near-places")
-        if placed.isEmpty():
-            return near if near is not None else sets.selectExpr("doc_id AS a", "doc_id AS b").limit(0)
-        p = placed.where("pivot").select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("part").alias("pp"), F.col("place").alias("at"))
-        met = placed.join(p, "key").where("part <> pp AND place > at").where(F.least("n", "pn") >= threshold * F.greatest("n", "pn"))
-        pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+
+    def judged(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
             sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
         )
         common = F.size(F.array_intersect("sa", "sb"))
-        judged = both.select("a", "b", (common >= threshold * (F.size("sa") + F.size("sb") - common)).alias("near"))
-        judged = materialize(judged, "near-judged")
-        compared = judged if compared is None else compared.unionByName(judged)
+        found = both.select("a", "b", (common >= threshold * (F.size("sa") + F.size("sb") - common)).alias("near"))
+        return materialize(found, "near-judged")
+
+    compared, quota = judged(first), 1
+    while True:
         near = compared.where("near").select("a", "b")
-        shared, quota = placed.where("not pivot").select("key", "id", "n"), quota * GROWTH
+        member = connected_components(near)
+        named = shared.join(member, shared["id"] == member["node"], "left").select(
+            "key", "id", "n", "m", F.coalesce("component", "id").alias("part")
+        )
+        key, part = Window.partitionBy("key"), Window.partitionBy("key", "part")
+        least = F.greatest(F.min("n").over(key), F.col("n") * threshold)
+        viable = named.withColumn("least", least).where(similar_at_most(F.col("n"), F.col("m"), F.col("least"), threshold)).drop("least")
+        parted = viable.withColumn("other", F.min("part").over(key) != F.max("part").over(key)).where("other")
+        order = ["k"] * (quota > 1) + [F.col("n") - F.col("m"), "id"]
+        placed = parted.withColumn("k", F.count("*").over(part)).withColumn("place", F.row_number().over(key.orderBy(*order)))
+        placed = materialize(placed.select("key", "id", "n", "m", "part", "place"), "near-places")
+        if placed.isEmpty():
+            return near
+        chosen = F.col("place") <= quota
+        p = placed.where(chosen).select(
+            "key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("part").alias("pp"), F.col("place").alias("at")
+        )
+        alike = (F.least("n", "pn") >= threshold * F.greatest("n", "pn")) & similar_at_most(F.col("n"), F.least("m", "pm"), F.col("pn"), threshold)
+        met = placed.join(p, "key").where("part <> pp AND place > at").where(alike)
+        pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
+        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        compared = compared.unionByName(judged(pairs))
+        shared, quota = placed.where(~chosen).select("key", "id", "n", "m"), quota * GROWTH
+
+
+def ball_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): classes whose SimHash fingerprints are equal or linked by ball hashing, enough pairs to connect all such."""
+    prints = materialize(classes.groupBy("fp").agg(F.min("id").alias("a"), F.count("*").alias("held")), "near-prints")
+    same = classes.join(sized(prints.where("held > 1")), "fp").where("id <> a").select("a", F.col("id").alias("b"))
+    met = links(prints.select("fp"))
+    at_a = prints.select(F.col("fp").alias("fa"), F.col("a").alias("ia"))
+    at_b = prints.select(F.col("fp").alias("fb"), F.col("a").alias("ib"))
+    linked = met.join(at_a, met["a"] == at_a["fa"]).join(at_b, met["b"] == at_b["fb"])
+    return materialize(same.unionByName(linked.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))), "near-balls")
 
 
 def near_copies(rows: DataFrame, row_col: str, id_col: str, text_col: str, words: int, threshold: float) -> DataFrame:
@@ -155,15 +196,25 @@ def near_copies(rows: DataFrame, row_col: str, id_col: str, text_col: str, words
     """
     named = rows.where(F.col(id_col).isNotNull())
     signed = materialize(signatures(named, row_col, text_col, words), "near-signatures")
-    classes = materialize(signed.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "near-classes")
-    keys = signed.join(classes.select("id"), "id", "left_semi").select("id", "n", F.explode("bands").alias("key"))
+    classes = materialize(
+        signed.groupBy("n", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min("fp").alias("fp")), "near-classes"
+    )
+    balls = ball_pairs(classes.select("id", "fp"))
+    keys = signed.join(classes.select("id"), "id", "left_semi").select("id", F.explode("bands").alias("key"))
     keys = materialize(keys, "near-keys")
-    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "near-crowded")
-    shared = materialize(keys.join(sized(crowded), "key", "left_semi").select("key", "id", "n"), "near-shared")
-    wanted = materialize(shared.select(F.col("id").alias("wanted")).distinct(), "near-wanted")
+    crowded = materialize(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-crowded")
+    shared = materialize(keys.join(sized(crowded), "key", "left_semi"), "near-shared")
+    wanted = shared.select("id").unionByName(balls.select(F.explode(F.array("a", "b")).alias("id")))
+    wanted = materialize(wanted.select(F.col("id").alias("wanted")).distinct(), "near-wanted")
     texts = named.select(F.col(row_col).alias("id"), F.col(text_col).alias("text")).join(sized(wanted), F.col("id") == F.col("wanted"), "left_semi")
     sets = materialize(shingle_sets(texts, "id", "text", words), "near-shingles")
-    member = connected_components(near_pairs(shared, sets, threshold))
+    counts = shared_counts(sets).where(F.col("m") + 1e-6 >= threshold * F.col("n"))
+    counts = materialize(counts, "near-counts")
+    some = sized(counts)
+    shared = materialize(shared.join(some, "id"), "near-shared")
+    at_a, at_b = (counts.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("m").alias("m" + x)) for x in "ab")
+    first = balls.join(sized(at_a), "a").join(sized(at_b), "b").where(similar_at_most(F.col("na"), F.least("ma", "mb"), F.col("nb"), threshold))
+    member = connected_components(near_pairs(first.select("a", "b"), shared, sets, threshold))
     # All rows of a class are in the component of the class.
     whole = classes.join(member, classes["id"] == member["node"], "left").where("rows > 1 OR component IS NOT NULL")
     whole = materialize(whole.select("n", "c1", "c2", F.coalesce("component", "id").alias("part")), "near-parts")

@@ -7,7 +7,9 @@ With r = 2 a fingerprint has 2,081 variants. They are not written out one by one
 `prefix` bits go to the same place, so a fingerprint travels once per reachable prefix (37 times for 8 bits) with the
 flips it has left, and the task that owns the prefix emits the variants themselves, sorts them and reads off the
 meetings. The prefix grows with the number of fingerprints, so that a place gets about as many at any size of the
-corpus; inside a task a crowded prefix is split by further bits. Within one value the meeting fingerprints are chained, not paired, and every chained pair has its distance checked.
+corpus; inside a task a crowded prefix is split by further bits. Within one value the meeting fingerprints are chained, not
+paired, every chained pair has its distance checked, and of all checked pairs of a place only a spanning forest leaves
+the task: n fingerprints give n - 1 links at most, however dense they lie.
 """
 
 from __future__ import annotations
@@ -102,8 +104,35 @@ def variants(fp: np.ndarray, left: np.ndarray, bits: int, masks: dict[int, np.nd
     return np.concatenate(values), np.concatenate(owners)
 
 
-def meetings(fp: np.ndarray, left: np.ndarray, bits: int, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of fingerprints that meet in a value whose bits above `bits` are settled; splits on a bit if crowded."""
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The places of the edges (a, b) between n nodes that make a spanning forest: every tree takes its first edge out."""
+    tree, chosen, open_edges = np.arange(n), [], np.arange(len(a))
+    while True:
+        open_edges = open_edges[tree[a[open_edges]] != tree[b[open_edges]]]
+        if not len(open_edges):
+            return np.unique(np.concatenate(chosen)) if chosen else open_edges
+        first = np.full(n, len(a))
+        np.minimum.at(first, tree[a[open_edges]], open_edges)
+        np.minimum.at(first, tree[b[open_edges]], open_edges)
+        own = np.flatnonzero(first < len(a))
+        edge = first[own]
+        chosen.append(edge)
+        # Each tree hangs on the one at the other end of its edge; of two that chose the same edge the smaller stays.
+        other = np.where(tree[a[edge]] == own, tree[b[edge]], tree[a[edge]])
+        up = np.arange(n)
+        up[own] = other
+        both = up[up] == np.arange(n)
+        up[both & (np.arange(n) < up)] = np.flatnonzero(both & (np.arange(n) < up))
+        while (up[up] != up).any():
+            up = up[up]
+        tree = up[tree]
+
+
+def meetings(fp: np.ndarray, left: np.ndarray, bits: int, chunk: int = CHUNK, most: int = 2 * RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of fingerprints that meet in a value whose bits above `bits` are settled, a spanning forest of them.
+
+    Splits on a bit if crowded. Linked are different fingerprints of `most` differing bits or fewer.
+    """
     if len(fp) < 2:
         return
     size = sum(_ball(bits, int(n)) * int((left == n).sum()) for n in np.unique(left))
@@ -112,17 +141,22 @@ def meetings(fp: np.ndarray, left: np.ndarray, bits: int, chunk: int = CHUNK) ->
         for side in (0, 1):
             rest = left - (bit != side)
             here = rest >= 0
-            yield from meetings(fp[here], rest[here], bits - 1, chunk)
+            yield from meetings(fp[here], rest[here], bits - 1, chunk, most)
         return
     masks = _masks(bits, int(left.max()))
     value, owner = variants(fp, left, bits, masks)
     order = np.argsort(value, kind="stable")
     value, owner = value[order], owner[order]
     same = np.flatnonzero(value[1:] == value[:-1])
-    a, b = fp[owner[same]], fp[owner[same + 1]]
-    if len(a):
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        yield pair[:, 0], pair[:, 1]
+    a, b = owner[same], owner[same + 1]
+    key = np.unique(np.minimum(a, b) * len(fp) + np.maximum(a, b))
+    a, b = key // len(fp), key % len(fp)
+    apart = np.bitwise_count(fp[a] ^ fp[b])
+    near = (apart <= most) & (apart > 0)
+    a, b = a[near], b[near]
+    kept = forest(a, b, len(fp))
+    if len(kept):
+        yield np.minimum(fp[a], fp[b])[kept], np.maximum(fp[a], fp[b])[kept]
 
 
 def _ball(bits: int, radius: int) -> int:
@@ -149,6 +183,8 @@ def prefix_bits(count: int, radius: int = RADIUS, rows: int = PLACE_ROWS) -> int
 def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None) -> DataFrame:
     """(a, b): checked links between distinct fingerprints, enough of them to connect all within 2 * radius bits.
 
+    A place gives no more links than it has fingerprints.
+
     Without a `prefix` the fingerprints are counted to choose it; it changes where they meet, not which are linked.
     """
     if prefix is None:
@@ -157,12 +193,13 @@ def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None) -> Da
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         left = pdf["left"].to_numpy(np.int64)
-        found = [np.stack(p, axis=1) for p in meetings(fp, left, 64 - prefix)]
+        found = [np.stack(p, axis=1) for p in meetings(fp, left, 64 - prefix, most=2 * radius)]
         if not found:
             return pd.DataFrame({"a": np.array([], np.int64), "b": np.array([], np.int64)})
         pair = np.unique(np.concatenate(found), axis=0)
-        apart = np.bitwise_count(pair[:, 0] ^ pair[:, 1])
-        pair = pair[(apart <= 2 * radius) & (apart > 0)]
+        nodes, place = np.unique(pair, return_inverse=True)
+        place = place.reshape(pair.shape)
+        pair = pair[forest(place[:, 0], place[:, 1], len(nodes))]
         return pd.DataFrame({"a": pair[:, 0].view(np.int64), "b": pair[:, 1].view(np.int64)})
 
     return reach(fps, prefix, radius).groupBy("place").applyInPandas(meet, "a bigint, b bigint").distinct()

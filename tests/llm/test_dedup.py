@@ -113,6 +113,43 @@ def test_meetings_find_every_link(chunk):
     assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
 
 
+def test_a_dense_cluster_gives_no_more_links_than_fingerprints(spark):
+    rng = np.random.default_rng(2)
+    base = int(rng.integers(0, 1 << 63))
+    fps = {base}
+    while len(fps) < 800:
+        fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)))
+    values = np.array(sorted(fps), np.uint64)
+    for chunk in (1 << 22, 20_000):
+        found = list(simhash.meetings(values, np.full(len(values), 2), 64, chunk))
+        assert all(len(a) < len(values) for a, _ in found)
+    table = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "fp bigint")
+    edges = simhash.links(table)
+    # A forest per place: linear in the fingerprints, where all pairs would be 320,000.
+    assert edges.count() <= 8 * len(values)
+    roots = brute_components(values.tolist())
+    labels = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert len({labels.get(int(x), int(x)) for x in values.view(np.int64)}) == len(set(roots))
+
+
+def test_a_forest_spans_and_has_no_circle():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (2, 5), (50, 40), (50, 400), (300, 5000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        kept = simhash.forest(a, b, n)
+        parent = list(range(n))
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a[kept].tolist(), b[kept].tolist()):
+            assert find(x) != find(y)
+            parent[find(x)] = find(y)
+        assert all(find(x) == find(y) for x, y in zip(a.tolist(), b.tolist()))
+
+
 def test_reach_covers_the_ball(spark):
     fps = spark.createDataFrame([(0,), (-1,), (12345678901234567,)], "fp long")
     rows = simhash.reach(fps, prefix=8, radius=2).collect()
@@ -240,6 +277,38 @@ def test_a_crowd_of_near_copies_with_outliers_matches_brute_force(spark):
     assert {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()} == set(want.values())
 
 
+def test_edited_copies_that_are_near_nothing_are_not_compared_with_the_crowd(spark, monkeypatch):
+    import random
+
+    from murmuration.llm import near_choice
+
+    r, base, rows = random.Random(10), " ".join(sentences(310, 12)).split(), []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice((0, 1, 2, 5, 8, 12, 20, 30))):
+            w[at] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    judged, write = [], near_choice.materialize
+
+    def seen(df, name):
+        out = write(df, name)
+        if name == "near-judged":
+            judged.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_choice, "materialize", seen)
+    want = near_components({i: t for i, t, _ in rows})
+    assert {x.doc_id for x in simhash.drop_near_copies(documents(spark, rows)).collect()} == set(want.values())
+    assert sum(judged) < 6 * len(rows)
+
+
+def test_shared_shingles_are_counted(spark):
+    from murmuration.llm import near_choice
+
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [3, 4]), (3, [5]), (4, [2, 3, 4])], "doc_id long, s array<long>")
+    assert sorted(map(tuple, near_choice.shared_counts(sets).collect())) == [(1, 3, 2), (2, 2, 2), (3, 1, 0), (4, 3, 3)]
+
+
 def test_rows_without_or_with_one_id_are_decided_by_their_texts(spark):
     from murmuration.llm import quality_rules
 
