@@ -1,21 +1,29 @@
 """Exact duplicates through an extendible-hash index kept in shared files.
 
-Every text, less its ASCII white space, has a 64-bit key. The index is a directory over leading key bits:
-it starts as one bucket, and any bucket with more than `capacity` keys is split by one more bit (the directory
-doubles) until none is overfull or `max_depth` bits are used; from there on keys chain. Owner tasks take
-contiguous key ranges of buckets. A chain of one row is a group of its own. The rows of longer chains have their
-bytes fetched and compared, so that only equal bytes make a group.
+Every text, less its ASCII white space, has a 64-bit key. The index is a directory over leading key bits: it starts as
+one bucket, and any bucket with more than `capacity` entries is split by one more bit, doubling the directory where the
+bucket already has its full depth, until none is overfull or `max_depth` bits are used; from there on buckets just grow.
+An entry stands for all rows of one key and one digest. Owner tasks take contiguous key ranges of buckets, merge what the
+reading tasks have counted, chain the entries that share a key, and name the row of each entry that stays. The rows of
+chains with more than one row have their bytes fetched and compared, and every entry must be one text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import WHITE_SPACE_RUN, materialize, sized
+from .store import BROADCAST_ROWS, WHITE_SPACE_RUN, materialize, sized
 
-CAPACITY = 1 << 14
-MAX_DEPTH = 12
+CAPACITY = 512
+#: The directory has at most 2 ** MAX_DEPTH places (65,536 longs on the driver).
+MAX_DEPTH = 16
+#: Reading tasks' shares of a group of equal texts, summed before owners merge them.
+SALTS = 32
+#: Groups with more than this share of all rows, at most its inverse of them, are joined by broadcast.
+HOT_SHARE = 1e-4
 
 
 def normalized(text):
@@ -42,30 +50,46 @@ def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def directory(heads: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(slot, bucket, local_depth) for each of the 2**max_depth slots in use.
+def split_buckets(held: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(first finest slot, local depth) of every bucket, from the entries in each of the finest slots.
 
-    The counts of all doubling steps come from one pass over the finest slots; a bucket is the first node on the
-    way down that is not overfull. The table has at most 2**max_depth rows.
+    Starts with one bucket; an overfull one is split in two by its next bit, and its halves are looked at again.
     """
-    slots = heads.groupBy(slot_of(F.col("key"), max_depth).alias("slot")).agg(F.count("*").alias("n"))
-    path = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")).withColumn(
-        "node", F.expr(f"cast(shiftright(slot, {max_depth} - depth) as bigint)")
-    )
-    held = path.groupBy("depth", "node").agg(F.sum("n").alias("held"))
-    fits = path.join(held, ["depth", "node"]).where((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    leaf = fits.groupBy("slot").agg(F.min("depth").alias("local_depth"))
-    return leaf.select(
-        "slot",
-        "local_depth",
-        # The first slot of the node: buckets are ordered as their key ranges are.
-        F.expr(f"shiftleft(shiftright(slot, {max_depth} - local_depth), {max_depth} - local_depth)").alias("bucket"),
-    )
-
-
-def slot_of(key, max_depth: int):
+    max_depth = (len(held) - 1).bit_length()
+    up_to = [0, *accumulate(held)]
+    done, overfull = [], [(0, 0)]
+    while overfull:
+        first, depth = overfull.pop()
+        width = len(held) >> depth
+        if depth < max_depth and up_to[first + width] - up_to[first] > capacity:
+            overfull += [(first + width // 2, depth + 1), (first, depth + 1)]
+        else:
+            done.append((first, depth))
+    return done
+
+
+def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, int]:
+    """(place, bucket, local_depth) for each place of the directory, and the directory's depth in bits.
+
+    The bucket is named by its first place, so buckets are ordered as their key ranges are. Only counts of the finest
+    slots, at most 2 ** max_depth of them, come to the driver.
+    """
+    held = [0] * (1 << max_depth)
+    for r in entries.groupBy(slot_of(F.col("key"), max_depth).alias("slot")).agg(F.count("*").alias("n")).toLocalIterator():
+        held[r.slot] = r.n
+    buckets = split_buckets(held, capacity)
+    depth = max(d for _, d in buckets)
+    places = [
+        (at, first >> (max_depth - depth), local)
+        for first, local in buckets
+        for at in range(first >> (max_depth - depth), (first >> (max_depth - depth)) + (1 << (depth - local)))
+    ]
+    return entries.sparkSession.createDataFrame(places, "place bigint, bucket bigint, local_depth int"), depth
+
+
+def slot_of(key, bits: int) -> Column:
     """The leading bits of a key."""
-    return F.shiftrightunsigned(key, 64 - max_depth)
+    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
 def exact_groups(
@@ -83,49 +107,71 @@ def exact_groups(
     gives no rows. Only `id_col` and `text_col` are read, so other columns cannot clash.
     """
     rows = materialize(entries(docs, id_col, text_col), "dedup-entries")
-    heads = rows.groupBy("key").agg(F.count("*").alias("chain"))
-    slots = directory(heads, capacity, max_depth)
+    best = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid")
+    # A group of any size is first summed by the tasks that read it, in shares.
+    partial = rows.groupBy("key", "digest", (F.col("rid") % SALTS).alias("salt")).agg(F.min(best).alias("best"), F.count("*").alias("n"))
+    partial = materialize(partial.drop("salt"), "dedup-partial")
+    places, depth = directory(partial.select("key", "digest").distinct(), capacity, max_depth)
     owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = materialize(
-        heads.withColumn("slot", slot_of(F.col("key"), max_depth))
-        .join(F.broadcast(slots), "slot")
+    # Owners: contiguous ranges of buckets and keys. What follows needs no other exchange.
+    owned = (
+        partial.withColumn("place", slot_of(F.col("key"), depth))
+        .join(F.broadcast(places), "place")
         .repartitionByRange(owners, "bucket", "key")
-        .select("bucket", "key", "chain"),
-        "dedup-index",
+        .groupBy("bucket", "key", "digest")
+        .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
     )
+    in_chain = F.sum("n").over(Window.partitionBy("bucket", "key"))
+    index = materialize(owned.select("bucket", "key", "digest", "best", "n", in_chain.alias("chain")), "dedup-index")
 
-    chained = index.where("chain > 1").select("key", "bucket")
+    chained = index.where("chain > 1").select("key", "bucket").distinct()
     texts = (
         docs.select(normalized(F.col(text_col)).alias("norm"))
         .select("norm", key_of(F.col("norm")).alias("key"))
         .join(sized(chained), "key")
     )
-    compared = texts.groupBy("bucket", "key", "norm").agg(F.count("*").alias("n"))
-    groups = compared.groupBy("key", F.unhex(F.sha2("norm", 256)).alias("digest")).agg(
-        F.sum("n").alias("size"), F.count("*").alias("texts")
-    )
-    # Two different texts of one key and one digest would be merged below: fail instead.
-    proven = groups.select(
-        "key",
-        "digest",
-        F.when(F.col("texts") == 1, F.col("size"))
-        .otherwise(F.raise_error(F.lit("different texts share key and digest")).cast("long"))
-        .alias("size"),
-    )
-    best = rows.groupBy("key", "digest").agg(
-        F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("best")
+    compared = texts.groupBy("bucket", "key", "norm").agg(F.count("*").alias("size"))
+    groups = compared.select("bucket", "key", F.unhex(F.sha2("norm", 256)).alias("digest"), "size")
+    # Two different texts under one key and one digest would not have the entry's size: fail instead of merging them.
+    proven = (
+        index.where("chain > 1")
+        .join(groups, ["bucket", "key", "digest"])
+        .select(
+            "bucket",
+            "key",
+            "digest",
+            "best",
+            F.when(F.col("n") == F.col("size"), F.col("n"))
+            .otherwise(F.raise_error(F.lit("different texts share key and digest")).cast("long"))
+            .alias("size"),
+        )
+        .where("size > 1")
     )
-    slot_table = slots.select("slot", "bucket")
+    copies = materialize(proven, "dedup-groups")
+    total = rows.count()
+    hot = copies.where(F.col("size") > max(1.0, HOT_SHARE * total))
+    return _named(rows, hot, copies, total, places, depth)
+
+
+def _named(rows: DataFrame, hot: DataFrame, copies: DataFrame, total: int, places: DataFrame, depth: int) -> DataFrame:
+    """Every row with its group. Rows of hot groups meet theirs by broadcast, so that no key holds many rows of a join."""
+    by = ["key", "digest"]
+    if copies.count() <= BROADCAST_ROWS:
+        found = rows.join(F.broadcast(copies.select(*by, "best", "size")), by, "left")
+    else:
+        few = F.broadcast(hot.select(*by, "best", "size"))
+        rest = copies.where(F.col("size") <= max(1.0, HOT_SHARE * total)).select(*by, "best", "size")
+        found = rows.join(few, by).unionByName(rows.join(few.select(*by), by, "left_anti").join(rest, by, "left"), allowMissingColumns=True)
+    # A row that is in no group of several is its own.
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return (
-        rows.join(best, ["key", "digest"])
-        .join(proven, ["key", "digest"], "left")
-        .withColumn("slot", slot_of(F.col("key"), max_depth))
-        .join(F.broadcast(slot_table), "slot")
+        found.withColumn("place", slot_of(F.col("key"), depth))
+        .join(F.broadcast(places), "place")
         .select(
             "doc_id",
-            F.col("best.doc_id").alias("keep_id"),
+            keep.alias("keep_id"),
             F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-            (F.col("rid") == F.col("best.rid")).alias("kept"),
+            (F.col("size").isNull() | (F.col("rid") == F.col("best.rid"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
             "bucket",
         )

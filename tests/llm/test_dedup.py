@@ -1,6 +1,6 @@
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -36,15 +36,36 @@ def test_exact_groups_match_brute_force(spark, capacity, depth):
 
 def test_directory_splits_only_overfull_buckets(spark):
     heads = spark.range(4000).selectExpr("xxhash64(id) AS key")
-    found = exact_dedup.directory(heads, capacity=100, max_depth=8).collect()
-    size = defaultdict(int)
-    for k in (r.key for r in heads.collect()):
-        size[(k & (1 << 64) - 1) >> 56] += 1
-    held = defaultdict(int)
+    places, depth = exact_dedup.directory(heads, capacity=100, max_depth=8)
+    found = places.collect()
+    size = Counter((r.key & (1 << 64) - 1) >> (64 - depth) for r in heads.collect())
+    assert sorted(r.place for r in found) == list(range(1 << depth))
+    held, width = Counter(), Counter()
     for r in found:
-        held[r.bucket, r.local_depth] += size[r.slot]
+        held[r.bucket, r.local_depth] += size[r.place]
+        width[r.bucket, r.local_depth] += 1
     assert all(n <= 100 or d == 8 for (_, d), n in held.items())
-    assert 5 <= max(d for _, d in held) <= 7
+    assert all(width[b, d] == 1 << (depth - d) for b, d in held)
+    assert 5 <= max(d for _, d in held) == depth <= 7
+    # Two halves of a bucket that was split held too much together.
+    assert all(n + held[b ^ (1 << (depth - d)), d] > 100 for (b, d), n in held.items() if (b ^ (1 << (depth - d)), d) in held)
+
+
+def test_buckets_of_one_slot_stop_at_the_last_bit():
+    assert exact_dedup.split_buckets([0, 0, 9, 0], 3) == [(0, 1), (2, 2), (3, 2)]
+    assert exact_dedup.split_buckets([1], 0) == [(0, 0)]
+    assert exact_dedup.split_buckets([0, 0], 0) == [(0, 0)]
+
+
+def test_hot_groups_join_apart_from_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 0.1)
+    want = brute_groups(document_rows())
+    got = exact_dedup.exact_groups(documents(spark)).collect()
+    assert len(got) == len(document_rows())
+    text = {i: t for i, t, _ in document_rows()}
+    assert all((r.keep_id, r.group_size) == want[SPACE.sub("", text[r.doc_id] or "")] for r in got)
+    assert sum(r.kept for r in got) == len(want)
 
 
 def test_exact_copies_are_dropped_once(spark):
