@@ -6,10 +6,9 @@ apart, beyond what balls of half the radius can reach, so bands stand beside the
 hashes of a text's shingles; two texts with a similarity of s share a given key with probability s ** ROWS, so at s = 0.8
 one pair in 20 million shares none of the 32.
 
-Within a key, pivots are compared with all others until what is left is connected. Before that, shingles that no other
-nominated class has are counted: what a class shares with others bounds its similarity to any of them, so that an edited
-copy that is too far from everything leaves its keys without being compared with each member. Both bounds are exact: no
-pair of a key is skipped that could still change the components.
+Within a key, a few pivots are compared with all others, which connects what crowds around them. What is left over, copies
+edited too far for the pivots, is joined on rare shingles with bounds on what a pair can share, so that it is not compared
+with every member of the crowd. The bounds are exact: no pair of a key is skipped that could still change the components.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ ROWS = 4
 GROUP = 256
 #: Shingles hashed at once, for all minimum hashes.
 BLOCK = 2048
-#: The number of pivots of a key grows by so much each round.
-GROWTH = 16
+#: Pivots of a key in each round.
+PIVOTS = (1, 16)
 _random = np.random.default_rng(20)
 _STEP = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -136,9 +135,10 @@ def similar_at_most(n, m, other, threshold: float):
 def near_pairs(first: DataFrame, shared: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b): near classes, enough pairs to connect all that are near and share a key, or are a pair of `first`.
 
-    `shared` is (key, id, n, m). Each round takes pivots from a key and compares them with all other components of the
-    key; then they leave it: first the class with the fewest shingles of its own, then those of the smallest components.
-    Classes that nothing in the key can be near leave as well. A key is done when one component is left in it.
+    `shared` is (key, id, n, m). A round takes the PIVOTS cleanest classes of a key that are not in its largest component
+    and compares each with all other components of the key; then they leave it. Classes that nothing in the key can be
+    near leave as well, and a key is done when one component is left in it. What two rounds leave in keys goes through
+    an exact join on rare shingles.
     """
 
     def judged(pairs: DataFrame) -> DataFrame:
@@ -149,8 +149,8 @@ def near_pairs(first: DataFrame, shared: DataFrame, sets: DataFrame, threshold:
         found = both.select("a", "b", (common >= threshold * (F.size("sa") + F.size("sb") - common)).alias("near"))
         return materialize(found, "near-judged")
 
-    compared, quota = judged(first), 1
-    while True:
+    compared = judged(first)
+    for pivots in (*PIVOTS, None):
         near = compared.where("near").select("a", "b")
         member = connected_components(near)
         named = shared.join(member, shared["id"] == member["node"], "left").select(
@@ -160,21 +160,49 @@ def near_pairs(first: DataFrame, shared: DataFrame, sets: DataFrame, threshold:
         least = F.greatest(F.min("n").over(key), F.col("n") * threshold)
         viable = named.withColumn("least", least).where(similar_at_most(F.col("n"), F.col("m"), F.col("least"), threshold)).drop("least")
         parted = viable.withColumn("other", F.min("part").over(key) != F.max("part").over(key)).where("other")
-        order = ["k"] * (quota > 1) + [F.col("n") - F.col("m"), "id"]
-        placed = parted.withColumn("k", F.count("*").over(part)).withColumn("place", F.row_number().over(key.orderBy(*order)))
-        placed = materialize(placed.select("key", "id", "n", "m", "part", "place"), "near-places")
+        sized_parts = parted.withColumn("k", F.count("*").over(part))
+        top = F.max(F.struct("k", "part")).over(key)["part"] == F.col("part")
+        placed = sized_parts.withColumn("top", top).withColumn("place", F.row_number().over(key.orderBy("top", F.col("n") - F.col("m"), "id")))
+        placed = materialize(placed.select("key", "id", "n", "m", "part", "top", "place"), "near-places")
         if placed.isEmpty():
             return near
-        chosen = F.col("place") <= quota
+        if pivots is None:
+            rest = placed.groupBy("id").agg(*[F.first(c).alias(c) for c in ("n", "m", "part")], (~F.min("top")).alias("aside"))
+            pairs = rare_pairs(materialize(rest, "near-rest"), sets, threshold)
+            more = judged(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"))
+            return near.unionByName(more.where("near").select("a", "b"))
+        chosen = F.col("place") <= pivots
         p = placed.where(chosen).select(
             "key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("part").alias("pp"), F.col("place").alias("at")
         )
         alike = (F.least("n", "pn") >= threshold * F.greatest("n", "pn")) & similar_at_most(F.col("n"), F.least("m", "pm"), F.col("pn"), threshold)
         met = placed.join(p, "key").where("part <> pp AND place > at").where(alike)
         pairs = met.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        compared = compared.unionByName(judged(pairs))
-        shared, quota = placed.where(~chosen).select("key", "id", "n", "m"), quota * GROWTH
+        compared = compared.unionByName(judged(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")))
+        shared = placed.where(~chosen).select("key", "id", "n", "m")
+
+
+def rare_pairs(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): all pairs of different components that can be near, by their rarest shingles.
+
+    Every class lists its shingles from the rarest on; two near classes have one in common among the first
+    n - ceil(threshold * n) + 1 of both. What stands behind the first common shingle bounds what they share, so a class
+    full of shingles of its own meets only those that have the same ones. One side of a pair is not in the largest
+    component of some key (`aside`).
+    """
+    listed = sets.join(sized(rest.select("id")), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), F.explode("s").alias("h"))
+    listed = materialize(listed, "near-listed")
+    often = sized(listed.groupBy("h").agg(F.count("*").alias("c")))
+    order = Window.partitionBy("id").orderBy("c", "h")
+    ranked = listed.join(often, "h").withColumn("at", F.row_number().over(order))
+    begins = ranked.join(sized(rest), "id").where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6) + 1)
+    begins = materialize(begins.select("h", "id", "at", "n", "m", "part", "aside"), "near-begins")
+    x = begins.where("aside").select("h", *[F.col(c).alias(f"x_{c}") for c in ("id", "at", "n", "m", "part")])
+    y = begins.drop("aside")
+    behind = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at"), F.col("m") - 1, F.col("x_m") - 1) + 1
+    met = x.join(y, "h").where("part <> x_part").where(F.least("n", "x_n") >= threshold * F.greatest("n", "x_n"))
+    met = met.where(similar_at_most(F.col("n"), behind, F.col("x_n"), threshold))
+    return met.select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b")).distinct()
 
 
 def ball_pairs(classes: DataFrame) -> DataFrame:
