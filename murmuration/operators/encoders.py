@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize, sized
+from .ordering import running
+
 
 @dataclass(frozen=True)
 class CategoryTable:
@@ -69,17 +72,19 @@ def fit_count(df: DataFrame, column: str, normalize: bool = False) -> CategoryTa
 def leave_one_out(df: DataFrame, column: str, y: str, out: str = "encoded") -> DataFrame:
     """The mean of the target over the other rows of the category; a single row gets the global mean."""
     g = df.agg(F.avg(y)).first()[0]
-    w = Window.partitionBy(column)
-    n = F.count("*").over(w)
-    return df.withColumn(out, F.when(n > 1, (F.sum(y).over(w) - F.col(y)) / (n - 1)).otherwise(F.lit(g)))
+    per = sized(materialize(df.groupBy(F.col(column).alias("_key")).agg(F.sum(y).alias("_s"), F.count("*").alias("_n")), "categories"))
+    joined = df.join(per, F.col(column).eqNullSafe(F.col("_key")), "left")
+    others = (F.col("_s") - F.col(y)) / (F.col("_n") - 1)
+    return joined.withColumn(out, F.when(F.col("_n") > 1, others).otherwise(F.lit(g))).drop("_key", "_s", "_n")
 
 
 def ordered_target_statistic(df: DataFrame, column: str, y: str, order: list, prior_weight: float = 1.0, prior: float | None = None, out: str = "encoded") -> DataFrame:
     """The smoothed mean over the rows of the category that come earlier in a given order."""
     prior = df.agg(F.avg(y)).first()[0] if prior is None else prior
-    w = Window.partitionBy(column).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    s, n = F.coalesce(F.sum(y).over(w), F.lit(0.0)), F.count(y).over(w)
-    return df.withColumn(out, (s + prior * prior_weight) / (n + prior_weight))
+    counted = df.withColumns({"_v": F.coalesce(F.col(y).cast("double"), F.lit(0.0)), "_k": F.col(y).isNotNull().cast("long")})
+    seen = running(counted, order, {"_s": "_v", "_n": "_k"}, [column])
+    s, n = F.col("_s") - F.col("_v"), F.col("_n") - F.col("_k")
+    return seen.withColumn(out, (s + prior * prior_weight) / (n + prior_weight)).drop("_v", "_k", "_s", "_n")
 
 
 def rare_labels(df: DataFrame, column: str, tol: float = 0.01, label: str = "Rare") -> DataFrame:
@@ -95,7 +100,7 @@ def binary_encode(df: DataFrame, column: str) -> DataFrame:
     table = categories(df, column)
     n = table.count()
     bits = max(1, n.bit_length()) if n else 1
-    joined = df.join(F.broadcast(table), F.col(column) == F.col("category"), "left")
+    joined = df.join(sized(table, n), F.col(column) == F.col("category"), "left")
     code = F.coalesce(F.col("code") + 1, F.lit(0)).cast("int")
     return joined.withColumns({f"{column}_b{b}": F.shiftright(code, b).bitwiseAND(F.lit(1)) for b in range(bits - 1, -1, -1)}).drop("category", "code")
 

@@ -6,23 +6,15 @@ their state in checkpoints, so the lineage stays short.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import materialize
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A table whose lineage is cut: a checkpoint where the session has a folder for it, a fixed cache otherwise."""
-    sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(f"{named.rstrip('/')}/graph-{uuid.uuid4().hex[:8]}")
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    held = df.persist()
-    held.count()
-    return held
+    """A table whose lineage is cut, written to the shared folder: a lost executor takes nothing with it."""
+    return materialize(df, "graph")
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -64,19 +56,22 @@ def normalized_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 200, tol: float = 1e-9) -> DataFrame:
-    """(node, rank) summing to one; dead ends spread evenly. Every round's state is cut, as it is read three times."""
-    e = edges.select("src", "dst").persist()
+    """(node, rank) summing to one; dead ends spread evenly.
+
+    One action a round writes the new state, one small aggregate reads what dead ends hold and how far ranks moved.
+    """
+    e = cut(edges.select("src", "dst"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
     state = cut(nodes.join(out, "node", "left"))
     n = state.count()
     rank = state.withColumn("rank", F.lit(1.0 / n) if n else F.lit(0.0))
+    lost = rank.where("k is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(max_iter):
-        lost = rank.where("k is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         sent = e.join(rank.where("k is not null"), e["src"] == rank["node"]).groupBy(F.col("dst").alias("_n")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         share = damping * (F.coalesce("got", F.lit(0.0)) + lost / n) + (1 - damping) / n
         new = cut(rank.join(sent, F.col("node") == F.col("_n"), "left").select("node", "k", share.alias("rank"), F.col("rank").alias("old")))
-        moved = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
+        moved, lost = new.agg(F.coalesce(F.max(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("rank"))), F.lit(0.0))).first()
         rank = new.drop("old")
         if moved < tol:
             break
@@ -86,7 +81,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 200, tol:
 
 def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, hub, authority) after some rounds, each of length one."""
-    e = edges.select("src", "dst").persist()
+    e = cut(edges.select("src", "dst"))
     state = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumns({"hub": F.lit(1.0), "authority": F.lit(1.0)}))
 
     def step(state: DataFrame, read: str, write: str, there: str, here: str) -> DataFrame:
@@ -103,6 +98,7 @@ def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, label): all nodes at once take the label most common around them, the smallest of ties."""
+    edges = cut(edges.select("src", "dst"))
     state = cut(edges.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
         votes = edges.join(state.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
@@ -144,11 +140,17 @@ def triangles(edges: DataFrame) -> DataFrame:
     return d.join(per, "node", "left").select("node", t.alias("triangles"), F.when(F.col("degree") > 1, 2 * t / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int = 20) -> DataFrame:
-    """(source, node, depth): breadth-first distances from some nodes; each round expands the last frontier only."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(source, node, depth): breadth-first distances from some nodes, to any depth unless `max_depth` is given.
+
+    Each round expands the last frontier only.
+    """
+    edges = cut(edges.select("src", "dst"))
     seen = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("depth")))
     front = seen
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select("source", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not front.limit(1).count():

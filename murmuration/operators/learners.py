@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+from .ordering import percentiles, running
 from .preprocessing import bin_edges, bin_index
 
 
@@ -109,6 +112,46 @@ def seed_centres(df: DataFrame, features: list[str], k: int) -> list[list[float]
     return points
 
 
+def seed_vectors(df: DataFrame, vector: str, k: int) -> list[list[float]]:
+    """Farthest-first centres of whole vectors: the row of smallest hash, then each time the row farthest from all chosen."""
+    v = F.transform(vector, lambda x: x.cast("double"))
+    rows = df.select(v.alias("v"))
+    points = [list(rows.orderBy(F.xxhash64("v"), "v").first().v)]
+    while len(points) < k:
+        near = F.array_min(F.array(*[vector_distance(F.col("v"), p) for p in points]))
+        points.append(list(rows.select("v", near.alias("d")).orderBy(F.desc("d"), "v").first().v))
+    return points
+
+
+def vector_distance(v: Column, point: list[float]) -> Column:
+    """Squared distance of an array column from a point."""
+    return F.aggregate(F.zip_with(v, F.array(*map(F.lit, point)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def k_means_vectors(df: DataFrame, vector: str, start: list[list[float]], max_iter: int = 20, tol: float = 1e-9) -> list[list[float]]:
+    """Lloyd rounds over whole vectors: one pass a round, whose k means per coordinate come to the driver.
+
+    Sums are taken per cluster and coordinate, so the tasks send k x d numbers each. An empty cluster keeps its centre.
+    """
+    points, d = start, len(start[0])
+    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    for _ in range(max_iter):
+        near = assigned(rows, "v", points)
+        found = {r.cluster: [r[f"m{i}"] for i in range(d)] for r in near.groupBy("cluster").agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(d)]).collect()}
+        new = [found.get(i, p) for i, p in enumerate(points)]
+        moved = max(abs(a - b) for p, q in zip(new, points) for a, b in zip(p, q))
+        points = new
+        if moved < tol:
+            break
+    return points
+
+
+def assigned(df: DataFrame, vector: str, points: list[list[float]]) -> DataFrame:
+    """Rows with the nearest centre's `cluster` and its squared distance `distance2`; ties to the first."""
+    near = F.array_min(F.array(*[F.struct(vector_distance(F.transform(vector, lambda x: x.cast("double")), p).alias("d"), F.lit(i).alias("i")) for i, p in enumerate(points)]))
+    return df.withColumn("_near", near).withColumn("cluster", F.col("_near.i")).withColumn("distance2", F.col("_near.d")).drop("_near")
+
+
 def grid_dbscan(df: DataFrame, features: list[str], id_col: str, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster): density clusters; noise is null. Neighbours are looked for in grid cells of width eps only."""
     from itertools import product
@@ -254,73 +297,102 @@ def tail_scores(df: DataFrame, features: list[str], id_col: str) -> DataFrame:
     """
     cells = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in features])
     long = df.select(F.col(id_col).alias("id"), F.explode(cells).alias("e")).select("id", "e.f", "e.v")
-    counts = long.groupBy("f", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("f")
-    upto = w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select("f", "v", (F.sum("n").over(upto) / F.sum("n").over(w)).alias("left"), ((F.sum("n").over(w) - F.sum("n").over(upto) + F.col("n")) / F.sum("n").over(w)).alias("right"))
+    counts = running(long.groupBy("f", "v").agg(F.count("*").alias("n")), ["v"], {"upto": "n"}, ["f"], totals=True)
+    every = F.col("upto_all")
+    ranks = counts.select("f", "v", (F.col("upto") / every).alias("left"), ((every - F.col("upto") + F.col("n")) / every).alias("right"))
     low = lambda c: -F.ln(F.greatest(F.col(c), F.lit(1e-10)))
     j = long.join(ranks, ["f", "v"]).groupBy("id").agg(F.sum(F.greatest(low("left"), low("right"))).alias("ecod"), F.sum(low("left")).alias("l"), F.sum(low("right")).alias("r"))
     return j.select("id", "ecod", F.greatest("l", "r").alias("copod"))
 
 
 def outliers_iqr(df: DataFrame, score: str, k: float = 1.5) -> DataFrame:
-    q1, q3 = df.agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
+    q1, q3 = percentiles(df, {score: F.col(score)}, [0.25, 0.75])[score]
     return df.withColumn("is_outlier", F.col(score) > q3 + k * (q3 - q1))
 
 
 def outliers_mad(df: DataFrame, score: str, k: float = 3.0) -> DataFrame:
     """Robust z-scores above k; the upper tail only."""
-    m = df.agg(F.median(score)).first()[0]
-    mad = df.agg(F.median(F.abs(F.col(score) - m))).first()[0]
+    m = percentiles(df, {score: F.col(score)}, [0.5])[score][0]
+    mad = percentiles(df, {score: F.abs(F.col(score) - m)}, [0.5])[score][0]
     return df.withColumn("is_outlier", (F.col(score) - m) / (1.4826 * (mad + 1e-12)) > k)
 
 
 # Neighbours and sketches.
 
+#: Queries that are broadcast at once.
+BLOCK = 10_000
+
 
 def knn(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
     """(q, id, distance, rank): exact nearest neighbours of a stated query set against all rows.
 
-    Queries come in as the broadcast side only if they are few; each base partition keeps its own k best first.
+    Up to BLOCK queries are broadcast at a time, in blocks that the base is joined with one after the other; each base
+    partition sorts its pairs of a query and drops all but the k best before they are shuffled.
     """
     q = queries.select(F.col(id_col).alias("q"), F.col(vector).alias("qv"))
     b = base.select(F.col(id_col).alias("id"), F.col(vector).alias("bv"))
     d = F.aggregate(F.zip_with("qv", "bv", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    small = q.limit(10_001).count() <= 10_000
-    pairs = b.join(F.broadcast(q) if small else q, F.col("id") != F.col("q")).select("q", "id", F.sqrt(d).alias("distance"))
-    w = Window.partitionBy("q").orderBy("distance", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    n = q.count()
+    blocks = [q] if n <= BLOCK else _blocks(materialize(q, "queries"), "q", -(-n // BLOCK))
+    parts = []
+    for block in blocks:
+        pairs = b.join(F.broadcast(block), F.col("id") != F.col("q")).select("q", "id", F.sqrt(d).alias("distance"))
+        # The rank's filter below the final window makes Spark keep k rows a query in each task before the shuffle.
+        w = Window.partitionBy("q").orderBy("distance", "id")
+        parts.append(pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _blocks(q: DataFrame, key: str, count: int) -> list[DataFrame]:
+    """The rows dealt into blocks by their key's hash."""
+    at = F.pmod(F.xxhash64(key), F.lit(count))
+    return [q.where(at == i) for i in range(count)]
 
 
 def sign_buckets(df: DataFrame, id_col: str, vector: str, dim: int, n_tables: int = 8, n_bits: int = 8, seed: int = 7) -> DataFrame:
-    """(id, table, code): random-hyperplane codes of vectors."""
-    planes = np.random.default_rng(seed).normal(size=(n_tables, n_bits, dim))
-    codes = []
-    for t in range(n_tables):
-        code = F.lit(0)
-        for b in range(n_bits):
-            dot = F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in planes[t, b]]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-            code = code + (dot >= 0).cast("int") * (1 << b)
-        codes.append(F.struct(F.lit(t).alias("table"), code.alias("code")))
-    return df.select(F.col(id_col).alias("id"), F.explode(F.array(*codes)).alias("c")).select("id", "c.table", "c.code")
+    """(id, table, code): random-hyperplane codes of vectors, a matrix product per Arrow batch."""
+    planes = np.random.default_rng(seed).normal(size=(n_tables * n_bits, dim))
+    powers = 1 << np.arange(n_bits)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            bits = (x @ planes.T >= 0).reshape(b.num_rows, n_tables, n_bits)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n_tables)),
+                    pa.array(np.tile(np.arange(n_tables, dtype=np.int32), b.num_rows)),
+                    pa.array((bits @ powers).astype(np.int32).ravel()),
+                ],
+                names=["id", "table", "code"],
+            )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"id {kind}, table int, code int")
 
 
 def bloom_filter(items: DataFrame, column: str, bits: int, hashes: int) -> list[int]:
-    """The set bits' places of a Bloom filter of a fixed number of bits: at most `bits` numbers."""
+    """A Bloom filter of a fixed number of bits, as words of 32: set bits are merged by bitwise or, word by word."""
     at = F.array(*[F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits)) for i in range(hashes)])
-    return sorted(r.b for r in items.select(F.explode(at).alias("b")).distinct().collect())
+    each = items.select(F.explode(at).alias("b")).select(F.shiftright("b", 5).alias("w"), F.expr("shiftleft(1L, cast(b % 32 as int))").alias("v"))
+    words = [0] * ((bits + 31) // 32)
+    for r in each.groupBy("w").agg(F.bit_or("v").alias("v")).toLocalIterator():
+        words[r.w] = r.v
+    return words
 
 
-def bloom_contains(df: DataFrame, column: str, places: list[int], bits: int, hashes: int, out: str = "maybe") -> DataFrame:
-    words = [0] * ((bits + 31) // 32)
-    for b in places:
-        words[b // 32] |= 1 << (b % 32)
+def bloom_contains(df: DataFrame, column: str, words: list[int], bits: int, hashes: int, out: str = "maybe") -> DataFrame:
+    """Whether a value may be among the items; never false for one that is."""
     table = F.array(*[F.lit(w).cast("long") for w in words])
     hit = F.lit(True)
     for i in range(hashes):
         p = F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits))
-        word = F.element_at(table, (F.floor(p / 32) + 1).cast("int"))
-        hit = hit & (F.expr("1L") == F.call_function("mod", F.floor(word / F.pow(F.lit(2.0), p % 32)), F.lit(2)))
+        word = F.element_at(table, (F.shiftright(p, 5) + 1).cast("int"))
+        hit = hit & (F.call_function("shiftright", word, (p % 32).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return df.withColumn(out, hit)
 
 
@@ -336,9 +408,7 @@ def conformal_quantile(df: DataFrame, score: str, coverage: float, by: list[str]
     """The order statistic of rank min(ceil((n + 1) * coverage), n), overall or per group."""
     by = by or []
     counts = df.groupBy(*by, F.col(score).alias("_s")).agg(F.count("*").alias("_c"))
-    g = Window.partitionBy(*by)
-    upto = g.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
-    t = counts.withColumns({"_u": F.sum("_c").over(upto), "_n": F.sum("_c").over(g)})
-    rank = F.least(F.ceil((F.col("_n") + 1) * coverage), F.col("_n"))
+    t = running(counts, ["_s"], {"_u": "_c"}, by, totals=True)
+    rank = F.least(F.ceil((F.col("_u_all") + 1) * coverage), F.col("_u_all"))
     picked = t.where(F.col("_u") >= rank)
     return (picked.groupBy(*by) if by else picked.groupBy()).agg(F.min("_s").alias("q"))

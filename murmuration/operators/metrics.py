@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def everything():
     """The window over all rows of a small table."""
@@ -118,13 +120,12 @@ def score_steps(df: DataFrame, y: str, s: str) -> DataFrame:
     Rows are first counted per score, so the ordered sums see one row for each distinct score.
     """
     g = df.groupBy(F.col(s).alias("threshold")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("threshold", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return running(g, [-F.col("threshold")], {"tp": "pos", "fp": "neg"}, totals=True)
 
 
 def roc_curve(df: DataFrame, y: str, s: str) -> DataFrame:
     steps = score_steps(df, y, s)
-    return steps.select("threshold", (F.col("tp") / F.sum("pos").over(everything())).alias("tpr"), (F.col("fp") / F.sum("neg").over(everything())).alias("fpr"))
+    return steps.select("threshold", (F.col("tp") / F.col("tp_all")).alias("tpr"), (F.col("fp") / F.col("fp_all")).alias("fpr"))
 
 
 def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
@@ -136,7 +137,7 @@ def roc_auc(df: DataFrame, y: str, s: str) -> DataFrame:
 
 def precision_recall_curve(df: DataFrame, y: str, s: str) -> DataFrame:
     steps = score_steps(df, y, s)
-    return steps.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.sum("pos").over(everything())).alias("recall"))
+    return steps.select("threshold", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("tp_all")).alias("recall"))
 
 
 def average_precision(df: DataFrame, y: str, s: str) -> DataFrame:

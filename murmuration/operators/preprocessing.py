@@ -11,10 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import sized
 from .columns import clean, or_one
+from .ordering import numbered, percentiles, running
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,8 @@ def fit_max_abs(df: DataFrame, columns: list[str]) -> Affine:
 def fit_robust(df: DataFrame, columns: list[str], quantile_range=(25.0, 75.0)) -> Affine:
     """Median and the range between two exact percentiles."""
     low, high = (q / 100 for q in quantile_range)
-    s = _stats(df, columns, q=lambda c: F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))))
-    return Affine({c: s["q"][c][1] for c in columns}, {c: (s["q"][c][2] - s["q"][c][0]) or 1.0 for c in columns})
+    q = percentiles(df, {c: clean(c) for c in columns}, [low, 0.5, high])
+    return Affine({c: q[c][1] for c in columns}, {c: (q[c][2] - q[c][0]) or 1.0 for c in columns})
 
 
 def normalize(df: DataFrame, columns: list[str], norm: str = "l2") -> DataFrame:
@@ -96,8 +98,7 @@ def polynomial(df: DataFrame, columns: list[str], degree: int = 2, interaction_o
 def bin_edges(df: DataFrame, column: str, n_bins: int = 5, strategy: str = "quantile") -> list[float]:
     """The distinct edges of quantile or uniform bins."""
     if strategy == "quantile":
-        points = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-        found = df.agg(F.percentile(clean(column), points)).first()[0] or []
+        found = [v for v in percentiles(df, {column: clean(column)}, [i / n_bins for i in range(n_bins + 1)])[column] if v is not None]
     else:
         low, high = df.agg(F.min(clean(column)), F.max(clean(column))).first()
         found = [] if low is None else [low + (high - low) * i / n_bins for i in range(n_bins + 1)]
@@ -118,7 +119,7 @@ def discretize(df: DataFrame, column: str, n_bins: int = 5, strategy: str = "qua
 def quantile_transform(df: DataFrame, column: str, n_quantiles: int = 100, out: str = "q") -> DataFrame:
     """Position between the column's percentiles, by linear interpolation, in 0..1."""
     n = n_quantiles
-    q = df.agg(F.percentile(clean(column), F.array(*[F.lit(i / (n - 1)) for i in range(n)]))).first()[0]
+    q = percentiles(df, {column: clean(column)}, [i / (n - 1) for i in range(n)])[column]
     x = clean(column)
     landmarks = F.array(*[F.lit(float(v)) for v in q])
     below = F.size(F.filter(landmarks, lambda v: v <= x))
@@ -130,29 +131,49 @@ def quantile_transform(df: DataFrame, column: str, n_quantiles: int = 100, out:
 def categories(df: DataFrame, column: str) -> DataFrame:
     """(category, code): the distinct values in order, numbered from 0. Null is no category."""
     distinct = df.where(F.col(column).isNotNull()).select(F.col(column).alias("category")).distinct()
-    return distinct.withColumn("code", F.dense_rank().over(Window.orderBy("category")) - 1)
+    return numbered(distinct, ["category"]).select("category", F.col("_at").cast("int").alias("code"))
 
 
 def ordinal_encode(df: DataFrame, column: str, table: DataFrame | None = None, out: str = "code") -> DataFrame:
-    """The sorted position of each category; an unseen one gets the position at which it would stand."""
-    table = categories(df, column) if table is None else table
-    known = df.join(F.broadcast(table.withColumnRenamed("code", "_code")), F.col(column) == F.col("category"), "left")
-    seen = [r.category for r in table.orderBy("category").collect()]
-    place = F.size(F.filter(F.array(*map(F.lit, seen)), lambda v: v < F.col(column))) if seen else F.lit(0)
-    return known.withColumn(out, F.coalesce("_code", F.when(F.col(column).isNotNull(), place))).drop("category", "_code")
+    """The sorted position of each category; an unseen one gets the position at which it would stand.
+
+    Unseen values are made distinct and placed in one order with the categories; nothing comes to the driver.
+    """
+    if table is None:
+        known = sized(categories(df, column).withColumnRenamed("code", out))
+        return df.join(known, F.col(column) == F.col("category"), "left").drop("category")
+    unseen = df.select(F.col(column).alias("category")).where("category is not null").distinct().join(table.select("category"), "category", "left_anti")
+    both = table.select("category", F.lit(1).alias("_k")).unionByName(unseen.withColumn("_k", F.lit(0)))
+    placed = running(both, ["category"], {"_u": "_k"}).select("category", (F.col("_u") - F.col("_k")).cast("int").alias(out))
+    return df.join(sized(placed), F.col(column) == F.col("category"), "left").drop("category")
 
 
 def label_encode(df: DataFrame, column: str, table: DataFrame | None = None, out: str = "code") -> DataFrame:
     """The sorted position of each label; an unseen label is an error."""
     table = categories(df, column) if table is None else table
-    joined = df.join(F.broadcast(table.withColumnRenamed("code", "_code")), F.col(column) == F.col("category"), "left")
+    joined = df.join(sized(table.withColumnRenamed("code", "_code")), F.col(column) == F.col("category"), "left")
     unseen = F.raise_error(F.concat(F.lit("unseen label "), F.col(column).cast("string"))).cast("int")
     return joined.withColumn(out, F.when(F.col(column).isNull(), None).otherwise(F.coalesce("_code", unseen))).drop("category", "_code")
 
 
+#: Categories that can become columns.
+MOST_COLUMNS = 10_000
+
+
+def _few(df: DataFrame, column: str) -> list:
+    """The categories in order, where they are to become columns."""
+    found = [r.category for r in df.select(F.col(column).alias("category")).where("category is not null").distinct().limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} categories, too many for columns")
+    return sorted(found)
+
+
 def one_hot(df: DataFrame, column: str, values: list | None = None, handle_unknown: str = "error") -> DataFrame:
-    """A 0/1 column for every category, in order; an unknown value is an error or all zeros."""
-    values = [r.category for r in categories(df, column).orderBy("code").collect()] if values is None else values
+    """A 0/1 column for every category, in order; an unknown value is an error or all zeros.
+
+    The categories become columns, so there are at most MOST_COLUMNS of them: more are an error.
+    """
+    values = _few(df, column) if values is None else values
     c = F.col(column)
     known = c.isin(values) | c.isNull()
     guard = F.lit(True) if handle_unknown == "ignore" else F.when(known, True).otherwise(F.raise_error(F.lit("unknown category")).cast("boolean"))
@@ -161,7 +182,7 @@ def one_hot(df: DataFrame, column: str, values: list | None = None, handle_unkno
 
 def label_binarize(df: DataFrame, column: str) -> DataFrame:
     """One 0/1 column per class, or a single one where there are two classes."""
-    values = [r.category for r in categories(df, column).orderBy("code").collect()]
+    values = _few(df, column)
     keep = values[1:] if len(values) == 2 else values
     return df.withColumns({f"{column}={v}": (F.col(column) == v).cast("int") for v in keep})
 
@@ -176,8 +197,8 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "mean", fill_value
             top = df.select(clean(c).alias("v")).where("v is not null").groupBy("v").count().orderBy(F.desc("count"), "v").first()
             found[c] = top.v if top else None
     else:
-        f = {"mean": F.avg, "median": F.median}[strategy]
-        found = _stats(df, columns, v=f)["v"]
+        q = percentiles(df, {c: clean(c) for c in columns}, [0.5]) if strategy == "median" else {}
+        found = {c: q[c][0] for c in columns} if q else _stats(df, columns, v=F.avg)["v"]
     return df.withColumns({c: F.coalesce(clean(c), F.lit(found[c]).cast("double")) for c in columns})
 
 
@@ -198,7 +219,7 @@ def variance_threshold(df: DataFrame, columns: list[str], threshold: float = 0.0
 
 def winsorize(df: DataFrame, columns: list[str], lower: float = 5.0, upper: float = 95.0) -> DataFrame:
     """Values clipped to two exact percentiles."""
-    s = _stats(df, columns, q=lambda c: F.percentile(c, F.array(F.lit(lower / 100), F.lit(upper / 100))))["q"]
+    s = percentiles(df, {c: clean(c) for c in columns}, [lower / 100, upper / 100])
     return df.withColumns({c: F.greatest(F.lit(s[c][0]), F.least(F.lit(s[c][1]), F.col(c))) for c in columns})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, f_sf
+from ..store import materialize, sized
 from .ordering import numbered
 
 
@@ -22,7 +23,9 @@ def f_classif(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
         F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"),
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"), F.sum(F.col("n") * F.col("m")).alias("s"),
     )
-    f = ((F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))
+    between, within = (F.col("q") - F.col("s") ** 2 / F.col("n")) / (F.col("k") - 1), F.col("within") / (F.col("n") - F.col("k"))
+    # A feature that the label fixes has no spread within; its F is infinite.
+    f = F.when(within > 0, F.try_divide(between, within)).otherwise(float("inf"))
     return t.select("feature", f.alias("f"), f_sf(f, F.col("k") - 1, F.col("n") - F.col("k")).alias("p"))
 
 
@@ -82,15 +85,39 @@ def stratified_k_fold(df: DataFrame, order: list, label: str, k: int = 5) -> Dat
 
 
 def group_k_fold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Adds `fold`: whole groups, the largest first, each to the fold with the fewest rows."""
-    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).collect()
-    held, fold = [0] * k, {}
-    for r in sizes:
-        at = min(range(k), key=lambda i: (held[i], i))
-        held[at] += r["count"]
-        fold[r[group]] = at
-    table = df.sparkSession.createDataFrame([(g, f) for g, f in fold.items()], f"_g {df.schema[group].dataType.simpleString()}, fold int")
-    return df.join(F.broadcast(table), F.col(group) == F.col("_g"), "left").drop("_g")
+    """Adds `fold`: whole groups, the largest first, each to the fold with the fewest rows.
+
+    Groups of one size are told apart by their value alone, so the driver deals out sizes: it sees one row for each
+    distinct size. For each it gives the folds of its groups as a list of steps that repeats, and groups look up their
+    own by their place among those of that size.
+    """
+    sizes = materialize(df.groupBy(group).agg(F.count("*").alias("_size")), "groups")
+    held, turns = [0] * k, []
+    for r in sizes.groupBy("_size").agg(F.count("*").alias("n")).orderBy(F.desc("_size")).toLocalIterator():
+        at, left = 0, r.n
+        # Until all folds are within one group of each other, groups go one by one; from then on in rounds of k.
+        while left and max(held) - min(held) >= r._size:
+            f = min(range(k), key=lambda i: (held[i], i))
+            take = max(1, min(left, (sorted(held)[1] - held[f]) // r._size))
+            turns.append((r._size, at, at + take, [f]))
+            held[f] += take * r._size
+            at, left = at + take, left - take
+        if left:
+            order = []
+            now = list(held)
+            for _ in range(k):
+                f = min(range(k), key=lambda i: (now[i], i))
+                order.append(f)
+                now[f] += r._size
+            turns.append((r._size, at, at + left, order))
+            for i in range(k):
+                held[order[i]] += r._size * (left // k + (i < left % k))
+    table = df.sparkSession.createDataFrame(turns, "_s bigint, _from bigint, _to bigint, _folds array<int>")
+    placed = numbered(sizes, [group], ["_size"])
+    inside = (F.col("_size") == F.col("_s")) & (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    step = ((F.col("_at") - F.col("_from")) % F.size("_folds") + 1).cast("int")
+    dealt = placed.join(sized(table, len(turns)), inside).select(F.col(group).alias("_g"), F.element_at("_folds", step).alias("fold"))
+    return df.join(sized(dealt), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def time_series_split(df: DataFrame, order: list, k: int = 5) -> DataFrame:
@@ -107,9 +134,8 @@ def shuffle_split(df: DataFrame, id_col: str, n_splits: int = 3, test_size: floa
     """(rows..., split, is_test): independent shuffles, each with exactly ceil(n * test_size) test rows."""
     repeated = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     by = ["split", stratify] if stratify else ["split"]
-    w = Window.partitionBy(*by)
-    at = F.row_number().over(w.orderBy(F.xxhash64("split", id_col), id_col)) - 1
-    return repeated.withColumn("is_test", at < F.ceil(F.count("*").over(w) * test_size))
+    placed = numbered(repeated, [F.xxhash64("split", id_col), id_col], by)
+    return placed.withColumn("is_test", F.col("_at") < F.ceil(F.col("_n") * test_size)).drop("_at", "_n")
 
 
 def under_sample(df: DataFrame, label: str, order: list) -> DataFrame:

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+from .ordering import numbered, running
+
 
 def difference(df: DataFrame, value: str, order: list, by: list[str], d: int = 1, out: str = "diff") -> DataFrame:
     """The d-th difference; rows without enough past have none."""
@@ -64,10 +67,14 @@ def rolling(df: DataFrame, value: str, order: list, by: list[str], w: int) -> Da
 
 
 def exponential_smoothing(df: DataFrame, value: str, order: list, by: list[str], alpha: float = 0.3) -> DataFrame:
-    """(by..., level): the last level of simple exponential smoothing, folded over each series in order."""
-    series = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v")))).alias("_s"))
-    level = F.aggregate("_s", F.lit(None).cast("double"), lambda acc, e: F.coalesce(alpha * e["_v"] + (1 - alpha) * acc, e["_v"]))
-    return series.select(*by, level.alias("level"))
+    """(by..., level): the last level of simple exponential smoothing, as a weighted sum over each series.
+
+    A value k places before the end weighs alpha * (1 - alpha) ** k, the first one (1 - alpha) ** k; nothing is gathered.
+    """
+    placed = numbered(df.where(F.col(value).isNotNull()), order, by)
+    late = F.pow(F.lit(1.0 - alpha), F.col("_n") - 1 - F.col("_at"))
+    weight = F.when(F.col("_at") == 0, late).otherwise(alpha * late)
+    return placed.groupBy(*by).agg(F.sum(F.col(value).cast("double") * weight).alias("level"))
 
 
 def autocorrelation(df: DataFrame, value: str, order: list, by: list[str], lags: int = 10) -> DataFrame:
@@ -153,12 +160,14 @@ def nelson_aalen(df: DataFrame, duration: str, event: str, by: list[str]) -> Dat
 def aalen_johansen(df: DataFrame, duration: str, cause: str, of: int) -> DataFrame:
     """(time, cif): cumulative incidence of one cause (0 is censored) against all others."""
     g = df.groupBy(F.col(duration).alias("time")).agg(F.sum((F.col(cause) != 0).cast("long")).alias("d"), F.sum((F.col(cause) == of).cast("long")).alias("k"), F.count("*").alias("c"))
-    n = F.sum("c").over(Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0))
-    before = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    t = g.withColumn("n", n).where("d > 0")
-    s = F.coalesce(F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n"))).otherwise(-1e308)).over(before)), F.lit(1.0))
-    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("_s", s).select("time", F.sum(F.col("_s") * F.col("k") / F.col("n")).over(upto).alias("cif"))
+    t = running(g, [-F.col("time")], {"n": "c"}).where("d > 0")
+    step = F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n"))).otherwise(0.0)
+    t = t.withColumns({"_l": step, "_e": (F.col("d") == F.col("n")).cast("int")})
+    t = running(t, ["time"], {"_u": "_l", "_gone": "_e"})
+    # Survival just before a time: the running sums without the time's own step.
+    left = F.when(F.col("_gone") > F.col("_e"), 0.0).otherwise(F.exp(F.col("_u") - F.col("_l")))
+    t = t.withColumn("_h", left * F.col("k") / F.col("n"))
+    return running(t.select("time", "_h"), ["time"], {"cif": "_h"}).drop("_h")
 
 
 def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
@@ -167,8 +176,7 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
         F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("c"),
         F.sum(F.col(event).cast("long") * F.col(group)).alias("d1"), F.sum(F.col(group).cast("long")).alias("c1"),
     )
-    w = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    t = g.withColumns({"n": F.sum("c").over(w), "n1": F.sum("c1").over(w)}).where("d > 0")
+    t = running(g, [-F.col("time")], {"n": "c", "n1": "c1"}).where("d > 0")
     e = F.col("d") * F.col("n1") / F.col("n")
     v = F.when(F.col("n") > 1, e * (1 - F.col("n1") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     return t.agg((F.pow(F.sum("d1") - F.sum(e), 2) / F.sum(v)).alias("chi2"))
@@ -177,12 +185,21 @@ def log_rank(df: DataFrame, duration: str, event: str, group: str) -> DataFrame:
 def concordance(df: DataFrame, duration: str, event: str, risk: str) -> DataFrame:
     """Share of comparable pairs that the risk orders rightly, ties one half; 0.5 if no pair compares.
 
-    Pairs are counted per distinct (time, event, risk) first, so repeated values cost one row; the join is a range join
-    over those.
+    Rows are counted per distinct (time, event, risk). Both columns are replaced by dense places in their order, and the
+    pairs are counted like inversions: by halving. At each level of the bits of the time's place, all pairs of an earlier
+    row with an event and a later row fall into exactly one block whose halves hold the two; inside a block a running sum
+    in order of risk counts them. That is one ordered pass per bit, with no join of rows with rows.
     """
     g = df.groupBy(F.col(duration).alias("t"), F.col(event).cast("int").alias("e"), F.col(risk).alias("r")).agg(F.count("*").alias("n"))
-    a, b = g.where("e = 1").alias("a"), g.alias("b")
-    pairs = a.join(b, F.col("a.t") < F.col("b.t"))
-    w = F.col("a.n") * F.col("b.n")
-    good = F.when(F.col("a.r") > F.col("b.r"), 1.0).when(F.col("a.r") == F.col("b.r"), 0.5).otherwise(0.0)
-    return pairs.agg(F.coalesce(F.sum(w * good) / F.sum(w), F.lit(0.5)).alias("concordance"))
+    times = numbered(g.select("t").distinct(), ["t"]).select(F.col("t").alias("_t"), F.col("_at").cast("long").alias("p"))
+    g = materialize(g.join(times, F.col("t") == F.col("_t")).select("p", "e", "r", "n"), "pairs")
+    bits = int(g.agg(F.max("p")).first()[0] or 0).bit_length()
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1))))
+    cells = g.withColumn("b", levels).select(
+        F.col("b"), F.expr("shiftright(p, b + 1)").alias("block"), "r",
+        F.when(F.expr("shiftright(p, b) & 1 = 0 AND e = 1"), F.col("n")).otherwise(0).alias("early"),
+        F.when(F.expr("shiftright(p, b) & 1 = 1"), F.col("n")).otherwise(0).alias("late"),
+    ).groupBy("b", "block", "r").agg(F.sum("early").alias("early"), F.sum("late").alias("late"))
+    met = running(cells, ["r"], {"below": "late"}, ["b", "block"], totals=True)
+    good = F.sum(F.col("early") * (F.col("below") - F.col("late") / 2))
+    return met.agg(F.coalesce(good / F.sum(F.col("early") * F.col("below_all")), F.lit(0.5)).alias("concordance"))

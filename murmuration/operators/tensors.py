@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import next_value, running
+
 
 def unfold(t: DataFrame, mode: str, others: list[str], sizes: dict[str, int], value: str = "v") -> DataFrame:
     """(row, col, v): the matrix whose rows are one index and whose columns are the others in order."""
@@ -44,25 +46,26 @@ def from_factors(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
     return j.groupBy("i", "j", "k").agg(F.sum(F.col("vi") * F.col("vj") * F.col("vk")).alias("v"))
 
 
+def _gaps(counts: DataFrame) -> DataFrame:
+    """fa, fb and step: both samples' CDFs at each distinct value, and the way to the next value."""
+    t = next_value(running(counts, ["v"], {"ca": "a", "cb": "b"}, totals=True), "v", "_next")
+    return t.select((F.col("ca") / F.col("ca_all")).alias("fa"), (F.col("cb") / F.col("cb_all")).alias("fb"), (F.col("_next") - F.col("v")).alias("step"))
+
+
 def energy_distance_1d(df: DataFrame, group: str, value: str) -> DataFrame:
     """Energy distance of two samples (groups 0 and 1) of one variable: twice the integral of the squared gap of CDFs.
 
     Values are counted first; then it is one ordered pass instead of all pairs.
     """
     g = df.groupBy(F.col(value).alias("v")).agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("b"))
-    w = Window.orderBy("v")
-    every = Window.partitionBy()
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    t = g.withColumns({"fa": F.sum("a").over(upto) / F.sum("a").over(every), "fb": F.sum("b").over(upto) / F.sum("b").over(every), "step": F.lead("v").over(w) - F.col("v")})
+    t = _gaps(g)
     return t.agg((2 * F.sum((F.col("fa") - F.col("fb")) ** 2 * F.col("step"))).alias("energy"))
 
 
 def wasserstein_1d(df: DataFrame, group: str, value: str) -> DataFrame:
     """The integral of the gap between the two samples' CDFs."""
     g = df.groupBy(F.col(value).alias("v")).agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("b"))
-    w = Window.orderBy("v")
-    every, upto = Window.partitionBy(), w.rowsBetween(Window.unboundedPreceding, 0)
-    t = g.withColumns({"fa": F.sum("a").over(upto) / F.sum("a").over(every), "fb": F.sum("b").over(upto) / F.sum("b").over(every), "step": F.lead("v").over(w) - F.col("v")})
+    t = _gaps(g)
     return t.agg(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.col("step")).alias("wasserstein"))
 
 
