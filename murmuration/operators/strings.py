@@ -20,9 +20,14 @@ def _indexed(chars: Column) -> Column:
 
 
 def _corner(a: Column, b: Column, edge: int, cell: Callable[[Column, Column, Column, Column], Column]) -> Column:
-    """The last value of a table whose edges grow by `edge`; cell(diagonal, above, left, same character) gives the rest."""
-    marks = _indexed(characters(b))
-    top = F.transform(F.sequence(F.lit(0), F.length(b)), lambda j: j * edge)
+    """The last value of the table over two strings' characters."""
+    return _table(characters(a), characters(b), edge, cell)
+
+
+def _table(a: Column, b: Column, edge: int, cell: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """The last value of a table whose edges grow by `edge`; cell(diagonal, above, left, same item) gives the rest."""
+    marks = _indexed(b)
+    top = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j * edge)
 
     def row(above: Column, x: Column) -> Column:
         return F.aggregate(
@@ -31,7 +36,12 @@ def _corner(a: Column, b: Column, edge: int, cell: Callable[[Column, Column, Col
             lambda row, e: F.array_append(row, cell(F.get(above, e["j"]), F.get(above, e["j"] + 1), F.get(row, e["j"]), e["y"] == x)),
         )
 
-    return F.aggregate(characters(a), top, row, lambda last: F.element_at(last, -1))
+    return F.aggregate(a, top, row, lambda last: F.element_at(last, -1))
+
+
+def subsequence_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays."""
+    return _table(a, b, 0, lambda diagonal, above, left, same: F.when(same, diagonal + 1).otherwise(F.greatest(above, left)))
 
 
 def common_subsequence(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .strings import subsequence_length
+
 TOKEN = r"(?U)\b\w\w+\b"
 WORD = r"[A-Za-z']+"
 
@@ -222,21 +224,130 @@ def chrf(df: DataFrame, id_col: str, reference: str, candidate: str, max_n: int
 
 
 def rake(df: DataFrame, id_col: str, text_col: str, stopwords: list[str], top_k: int = 5) -> DataFrame:
-    """(id, phrase, score): runs of content words, scored by the sum of (degree + frequency) / frequency of their words."""
-    stop = F.array(*map(F.lit, stopwords))
-    pieces = F.split(F.lower(text_col), r"[^a-z\s'-]+")
-    runs = df.select(id_col, F.posexplode(pieces).alias("piece", "s")).select(id_col, "piece", F.posexplode(F.split(F.trim("s"), r"\s+")).alias("pos", "w")).where("w <> ''")
-    w = Window.partitionBy(id_col, "piece").orderBy("pos")
-    is_stop = F.array_contains(stop, F.col("w"))
-    cut = runs.withColumn("run", F.sum(is_stop.cast("int")).over(w)).where(~is_stop)
-    phrases = cut.groupBy(id_col, "piece", "run").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("x")).select(id_col, F.monotonically_increasing_id().alias("_p"), F.transform("x", lambda e: e["w"]).alias("words"))
+    """(id, phrase, score): runs of content words, scored by the sum of (degree + frequency) / frequency of their words.
+
+    Stop words and the marks .,!?;:()" end a run; digits and all other characters only part words.
+    """
+    words = tokens(df, id_col, text_col, r"[a-z']+|[.,!?;:()\"]").withColumnRenamed("term", "w")
+    ends = F.col("w").isin(stopwords) | F.col("w").rlike(r"^[.,!?;:()\"]$")
+    w = Window.partitionBy(id_col).orderBy("pos")
+    cut = words.withColumn("run", F.sum(ends.cast("int")).over(w)).where(~ends)
+    phrases = cut.groupBy(id_col, "run").agg(F.sort_array(F.collect_list(F.struct("pos", "w"))).alias("x")).select(id_col, F.transform("x", lambda e: e["w"]).alias("words"))
     per_word = phrases.select(id_col, F.explode("words").alias("w"), (F.size("words") - 1).alias("d")).groupBy(id_col, "w").agg(((F.sum("d") + F.count("*")) / F.count("*")).alias("ws"))
     flat = phrases.select(id_col, F.array_join("words", " ").alias("phrase")).distinct().select(id_col, "phrase", F.explode(F.split("phrase", " ")).alias("w"))
     scored = flat.join(per_word, [id_col, "w"]).groupBy(id_col, "phrase").agg(F.sum("ws").alias("score"))
-    rank = Window.partitionBy(id_col).orderBy(F.desc("score"), "phrase")
+    rank = Window.partitionBy(id_col).orderBy(F.desc(F.round("score", 9)), "phrase")
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top_k).drop("rank")
 
 
+def word_array(text: Column) -> Column:
+    """The words that the overlap scores count."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def bleu(df: DataFrame, id_col: str, reference: str, candidate: str, max_n: int = 4) -> DataFrame:
+    """(id, bleu): geometric mean of clipped n-gram precisions with a penalty for short candidates.
+
+    Candidates of fewer than max_n words use fewer n; a precision of zero, or no words, gives zero.
+    """
+    sizes = df.select(id_col, F.size(word_array(F.col(reference))).alias("r"), F.size(word_array(F.col(candidate))).alias("c"))
+    every = [overlaps(df, id_col, reference, candidate, n).withColumn("n", F.lit(n)) for n in range(1, max_n + 1)]
+    flat = every[0]
+    for o in every[1:]:
+        flat = flat.unionByName(o)
+    used = flat.join(sizes, id_col).where((F.col("n") <= F.col("c")))
+    per = used.groupBy(id_col, "r", "c").agg(F.min("hit").alias("least"), F.avg(F.ln(F.greatest("hit", F.lit(1)) / F.greatest("cand", F.lit(1)))).alias("mean"))
+    short = F.when(F.col("c") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.greatest("c", F.lit(1))))
+    scored = per.select(id_col, F.when(F.col("least") == 0, 0.0).otherwise(short * F.exp("mean")).alias("bleu"))
+    return df.select(id_col).join(scored, id_col, "left").select(id_col, F.coalesce("bleu", F.lit(0.0)).alias("bleu"))
+
+
+def rouge_l(df: DataFrame, id_col: str, reference: str, candidate: str, beta: float = 1.2) -> DataFrame:
+    """(id, rouge_l): F measure of the longest common subsequence of words."""
+    r, c = word_array(F.col(reference)), word_array(F.col(candidate))
+    common = df.select(id_col, subsequence_length(r, c).alias("l"), F.size(r).alias("r"), F.size(c).alias("c"))
+    p, q = F.col("l") / F.greatest("c", F.lit(1)), F.col("l") / F.greatest("r", F.lit(1))
+    return common.select(id_col, F.when(F.col("l") > 0, (1 + beta**2) * p * q / (q + beta**2 * p + 1e-12)).otherwise(0.0).alias("rouge_l"))
+
+
+def meteor(df: DataFrame, id_col: str, reference: str, candidate: str, alpha: float = 0.9, gamma: float = 0.5, beta: float = 3.0) -> DataFrame:
+    """(id, meteor): a mean of precision and recall, less for matches that are scattered over many runs.
+
+    A candidate's word is matched while the reference still has one to spare, from left to right.
+    """
+    r = tokens(df, id_col, reference, WORD).groupBy(id_col, "term").agg(F.count("*").alias("have"))
+    sizes = df.select(id_col, F.size(word_array(F.col(reference))).alias("r"), F.size(word_array(F.col(candidate))).alias("c"))
+    c = tokens(df, id_col, candidate, WORD).withColumn("turn", F.row_number().over(Window.partitionBy(id_col, "term").orderBy("pos")))
+    marked = c.join(r, [id_col, "term"], "left").withColumn("hit", (F.col("turn") <= F.coalesce("have", F.lit(0))).cast("int"))
+    begins = (F.col("hit") == 1) & (F.coalesce(F.lag("hit").over(Window.partitionBy(id_col).orderBy("pos")), F.lit(0)) == 0)
+    per = marked.withColumn("begins", begins.cast("int")).groupBy(id_col).agg(F.sum("hit").alias("m"), F.sum("begins").alias("k"))
+    joined = df.select(id_col).join(per, id_col, "left").join(sizes, id_col)
+    p, q = F.col("m") / F.col("c"), F.col("m") / F.col("r")
+    score = p * q / (alpha * p + (1 - alpha) * q) * (1 - gamma * F.pow(F.col("k") / F.col("m"), F.lit(beta)))
+    return joined.select(id_col, F.when(F.col("m") > 0, score).otherwise(0.0).alias("meteor"))
+
+
+def metaphone(word: Column) -> Column:
+    """A consonant key of how an English word sounds."""
+    w = F.upper(F.regexp_replace(word, "[^A-Za-z]", ""))
+    w = F.regexp_replace(w, r"([^C])\1", "$1")
+    # Letter groups that sound as one.
+    for group, sound in (("PH", "F"), ("GH", ""), ("TH", "0"), ("SH", "X"), ("CH", "X")):
+        w = F.replace(w, F.lit(group), F.lit(sound))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substr(w, i, F.lit(1)).alias("c"), F.substr(w, i + 1, F.lit(1)).alias("next")))
+
+    def add(out: Column, e: Column) -> Column:
+        c, following = e["c"], e["next"]
+        vowel_follows = (following != "") & F.contains(F.lit("AEIOU"), following)
+        soft = (following != "") & F.contains(F.lit("IEY"), following)
+        sound = (
+            F.when(c == "C", F.when(soft, "S").otherwise("K")).when(c == "Q", "K").when(c == "V", "F").when(c == "Z", "S")
+            .when(c.isin("W", "Y") & ~vowel_follows, "").otherwise(c)
+        )
+        consonant = F.when((out != "") & (F.right(out, F.lit(1)) == c), out).otherwise(F.concat(out, sound))
+        return F.when(c == "", out).when(c.isin(*"AEIOU"), F.when(e["i"] == 1, F.concat(out, c)).otherwise(out)).otherwise(consonant)
+
+    return F.when(w == "", "").otherwise(F.aggregate(at, F.lit(""), add))
+
+
+def pattern_matches(df: DataFrame, id_col: str, text_col: str, patterns: list[str]) -> DataFrame:
+    """(id, pattern, start): every place of every pattern, overlapping ones too, in one automaton pass over each text.
+
+    The patterns are a parameter and travel with the plan, so they have to be few enough for a task's memory.
+    """
+    wanted = sorted({p for p in patterns if p})
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for p in wanted:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found, starts = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for end, p in automaton.iter(text or "") if wanted else ():
+                    at.append(i)
+                    found.append(p)
+                    starts.append(end + 1 - len(p))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string()), pa.array(starts, pa.int64())], names=["id", "pattern", "start"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, pattern string, start bigint")
+
+
+def dictionary_terms(df: DataFrame, id_col: str, map_col: str) -> DataFrame:
+    """(id, feature, value): a map column as numbered-by-name features: `name` for numbers, `name=value` for strings.
+
+    The vectorizer of dictionaries in long form; the vocabulary is the distinct features.
+    """
+    flat = df.select(id_col, F.explode(map_col).alias("k", "v"))
+    number = F.col("v").try_cast("double") if hasattr(F.col("v"), "try_cast") else F.expr("try_cast(v as double)")
+    return flat.select(id_col, F.when(number.isNotNull(), F.col("k")).otherwise(F.concat("k", F.lit("="), "v")).alias("feature"), F.coalesce(number, F.lit(1.0)).alias("value"))
+
+
 def topic_coherence(topics: DataFrame, docs_terms: DataFrame, id_col: str) -> DataFrame:
     """UMass coherence per topic of (topic, rank, term), against (id, term) pairs."""
     have = docs_terms.join(topics.select("term").distinct(), "term", "left_semi").select(id_col, "term").distinct()

@@ -13,32 +13,35 @@ C = Catalog()
 
 
 def docs(s, d):
-    """The benchmark items: short texts, whole table."""
-    return table(s, d, "benchmark")
+    """The corpus: whole texts, whole table."""
+    return table(s, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+
+
+_CORPUS = "(SELECT doc_id AS item_id, text FROM documents)"
 
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
-_TF = f"(SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY 1, 2)"
+_TF = f"(SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest({_TOK}) AS term FROM {_CORPUS}) GROUP BY 1, 2)"
 _W = "regexp_extract_all(lower(text), '[A-Za-z'']+')"
 
 C.add("count_vectorizer", lambda s, d: tx.count_terms(docs(s, d), "item_id", "text"), f"SELECT * FROM {_TF}")
 C.add("count_vectorizer_min_df", lambda s, d: tx.count_terms(docs(s, d), "item_id", "text", min_df=2, max_df=0.5, max_features=40, binary=True),
-      f"""WITH v AS (SELECT term FROM {_TF} GROUP BY term HAVING count(*) BETWEEN 2 AND 0.5 * (SELECT count(*) FROM benchmark) ORDER BY sum(tf) DESC, term LIMIT 40)
+      f"""WITH v AS (SELECT term FROM {_TF} GROUP BY term HAVING count(*) BETWEEN 2 AND 0.5 * (SELECT count(*) FROM {_CORPUS}) ORDER BY sum(tf) DESC, term LIMIT 40)
       SELECT item_id, term, 1 AS tf FROM {_TF} SEMI JOIN v USING (term)""", "", "tf")
 C.add("ngram_counts", lambda s, d: tx.count_terms(docs(s, d), "item_id", "text", ngram_range=(2, 2)),
-      f"""SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, t[i] || ' ' || t[i + 1] AS term FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM (SELECT item_id, {_TOK} AS t FROM benchmark))) GROUP BY 1, 2""")
+      f"""SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, t[i] || ' ' || t[i + 1] AS term FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM (SELECT item_id, {_TOK} AS t FROM {_CORPUS}))) GROUP BY 1, 2""")
 C.add("vocabulary", lambda s, d: tx.vocabulary(tx.count_terms(docs(s, d), "item_id", "text")).withColumn("index", F.col("index").cast("long")),
       f'SELECT term, row_number() OVER (ORDER BY term) - 1 AS "index" FROM (SELECT DISTINCT term FROM {_TF})')
 C.add("tfidf", lambda s, d: tx.tfidf(docs(s, d), "item_id", "text"),
-      f"""WITH n AS (SELECT count(*) AS n FROM benchmark), i AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM {_TF}, n GROUP BY term, n),
+      f"""WITH n AS (SELECT count(*) AS n FROM {_CORPUS}), i AS (SELECT term, ln((n + 1) / (count(*) + 1)) + 1 AS idf FROM {_TF}, n GROUP BY term, n),
       w AS (SELECT item_id, term, tf * idf AS w FROM {_TF} JOIN i USING (term)) SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM w""", "weight")
 C.add("hashing_vectorizer", lambda s, d: tx.hashed_terms(docs(s, d), "item_id", "text", 1 << 10).groupBy("item_id").agg(F.count("*").alias("n")))
-C.add("bm25", lambda s, d: tx.bm25(docs(s, d), docs(s, d).where("item_id < 3").select(F.col("item_id").alias("q"), F.col("text").alias("qt")), "item_id", "text", "q", "qt"),
-      f"""WITH l AS (SELECT item_id, len({_TOK}) AS len FROM benchmark), a AS (SELECT avg(len) AS avgl, count(*) AS n FROM l), f AS (SELECT term, count(*) AS df FROM {_TF} GROUP BY term),
-      q AS (SELECT item_id AS q, unnest({_TOK}) AS term FROM benchmark WHERE item_id < 3)
+C.add("bm25", lambda s, d: tx.bm25(docs(s, d), table(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("q"), F.col("text").alias("qt")), "item_id", "text", "q", "qt"),
+      f"""WITH l AS (SELECT item_id, len({_TOK}) AS len FROM {_CORPUS}), a AS (SELECT avg(len) AS avgl, count(*) AS n FROM l), f AS (SELECT term, count(*) AS df FROM {_TF} GROUP BY term),
+      q AS (SELECT item_id AS q, unnest({_TOK}) AS term FROM benchmark WHERE item_id % 20 = 0)
       SELECT q, item_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgl))) AS score FROM {_TF} t JOIN q USING (term) JOIN f USING (term) JOIN l USING (item_id), a GROUP BY 1, 2""", "score")
-_UNI = f"(SELECT term, count(*) AS c FROM (SELECT unnest({_W}) AS term FROM benchmark) GROUP BY 1)"
-_BI = f"(SELECT a, b, count(*) AS n FROM (SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {_W} AS t FROM benchmark))) GROUP BY 1, 2)"
+_UNI = f"(SELECT term, count(*) AS c FROM (SELECT unnest({_W}) AS term FROM {_CORPUS}) GROUP BY 1)"
+_BI = f"(SELECT a, b, count(*) AS n FROM (SELECT t[i] AS a, t[i + 1] AS b FROM (SELECT t, unnest(range(1, len(t))) AS i FROM (SELECT {_W} AS t FROM {_CORPUS}))) GROUP BY 1, 2)"
 C.add("pmi_collocations", lambda s, d: tx.collocations(docs(s, d), "item_id", "text", 1, 1_000_000),
       f"""SELECT a, b, n, log2((n / (SELECT sum(n) FROM {_BI})) / ((x.c / (SELECT sum(c) FROM {_UNI})) * (y.c / (SELECT sum(c) FROM {_UNI})))) AS pmi
       FROM {_BI} g JOIN {_UNI} x ON a = x.term JOIN {_UNI} y ON b = y.term""", "pmi")
@@ -55,7 +58,20 @@ C.add("language_detector", lambda s, d: tx.language_scores(table(s, d, "document
         z AS (SELECT doc_id, sum(n) AS size FROM m GROUP BY 1), h AS (SELECT doc_id, lang, sum(m.n * ln(c.n + 1.0)) AS gain FROM m JOIN c USING (gram) GROUP BY 1, 2),
         s AS (SELECT z.doc_id, u.lang, coalesce(gain, 0) - size * ln(under) AS sc FROM z CROSS JOIN u LEFT JOIN h ON h.doc_id = z.doc_id AND h.lang = u.lang),
         t AS (SELECT doc_id, max(sc) AS m FROM s GROUP BY 1) SELECT doc_id, min(lang) AS predicted FROM s JOIN t USING (doc_id) WHERE abs(sc - m) < 1e-9 GROUP BY doc_id""")
-C.add("soundex_codes", lambda s, d: table(s, d, "nation").select("n_nationkey", tx.soundex(F.col("n_name")).alias("code")))
+_DIGITS = "translate(regexp_replace(upper(n_name), '[^A-Z]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556000000~~')"
+_RUNS = f"replace(substr({_DIGITS}, 1, 1), '~', '0') || replace(substr({_DIGITS}, 2), '~', '')"
+for _digit in "123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_digit}+', '{_digit}', 'g')"
+C.add("soundex_codes", lambda s, d: table(s, d, "nation").select("n_nationkey", tx.soundex(F.col("n_name")).alias("code")),
+      f"SELECT n_nationkey, substr(upper(n_name), 1, 1) || substr(replace(substr({_RUNS}, 2), '0', '') || '000', 1, 3) AS code FROM nation")
+C.add("metaphone_codes", lambda s, d: table(s, d, "nation").select("n_nationkey", tx.metaphone(F.col("n_name")).alias("code")))
+C.add("hamming_distance", lambda s, d: table(s, d, "orders").select("o_orderkey", tx.hamming(F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).cast("long").alias("dist")),
+      "SELECT o_orderkey, hamming(lpad(CAST(o_orderkey AS VARCHAR), 9, '0'), lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS dist FROM orders")
+_PATTERNS = ["the", "he", "tion", "ee"]
+C.add("pattern_matches", lambda s, d: tx.pattern_matches(table(s, d, "documents"), "doc_id", "text", _PATTERNS).groupBy("id", "pattern").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("start").alias("last")),
+      " UNION ALL ".join(f"SELECT doc_id AS id, '{p}' AS pattern, count(*) AS n, min(i) - 1 AS first, max(i) - 1 AS last FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents) WHERE substr(text, CAST(i AS BIGINT), {len(p)}) = '{p}' GROUP BY 1" for p in _PATTERNS))
+C.add("dict_vectorizer", lambda s, d: tx.dictionary_terms(table(s, d, "events").select("event_id", F.create_map(F.lit("type"), "event_type", F.lit("value"), F.col("value").cast("string")).alias("m")), "event_id", "m"),
+      "SELECT event_id, 'type=' || event_type AS feature, 1.0::DOUBLE AS value FROM events UNION ALL SELECT event_id, 'value', value FROM events", "value")
 C.add("levenshtein_pairs", lambda s, d: table(s, d, "nation").alias("a").join(table(s, d, "nation").alias("b"), F.expr("a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")).select(F.col("a.n_nationkey").alias("i"), F.col("b.n_nationkey").alias("j"), F.levenshtein("a.n_name", "b.n_name").cast("long").alias("dist")),
         "SELECT a.n_nationkey AS i, b.n_nationkey AS j, levenshtein(a.n_name, b.n_name) AS dist FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 
@@ -78,8 +94,33 @@ for _n in (1, 2):
     C.add(f"rouge_{_n}", lambda s, d, n=_n: tx.rouge_n(_pairs(s, d), "id", "r", "c", n),
           f"""WITH o AS (SELECT coalesce(x.id, y.id) AS id, sum(least(coalesce(x.c, 0), coalesce(y.c, 0))) AS hit, sum(coalesce(x.c, 0)) AS ref, sum(coalesce(y.c, 0)) AS cand FROM {_grams('r', _n)} x FULL JOIN {_grams('c', _n)} y ON x.id = y.id AND x.g = y.g GROUP BY 1)
           SELECT id, hit / cand AS precision, hit / ref AS recall, CASE WHEN hit > 0 THEN 2 * (hit / cand) * (hit / ref) / (hit / cand + hit / ref) ELSE 0 END AS f1 FROM o""", "precision recall f1")
-C.add("chrf", lambda s, d: tx.chrf(_pairs(s, d), "id", "r", "c"))
-C.add("rake_keywords", lambda s, d: tx.rake(docs(s, d), "item_id", "text", ["the", "of", "a", "and", "in", "to"]))
+def _char_grams(side, n):
+    return f"(SELECT id, substr(t, CAST(i AS BIGINT), {n}) AS g, count(*) AS c FROM (SELECT id, t, unnest(range(1, length(t) - {n} + 2)) AS i FROM (SELECT id, regexp_replace({side}, '\\s+', '', 'g') AS t FROM {_P})) GROUP BY 1, 2)"
+
+
+def _overlap_sql(x, y):
+    return f"SELECT coalesce(x.id, y.id) AS id, sum(least(coalesce(x.c, 0), coalesce(y.c, 0))) AS hit, sum(coalesce(x.c, 0)) AS ref, sum(coalesce(y.c, 0)) AS cand FROM {x} x FULL JOIN {y} y ON x.id = y.id AND x.g = y.g GROUP BY 1"
+
+
+C.add("chrf", lambda s, d: tx.chrf(_pairs(s, d), "id", "r", "c"),
+      f"SELECT id, avg(CASE WHEN hit > 0 THEN 5 * (hit / cand) * (hit / ref) / (4 * hit / cand + hit / ref) ELSE 0 END) AS chrf FROM ({' UNION ALL '.join(_overlap_sql(_char_grams('r', n), _char_grams('c', n)) for n in range(1, 7))}) WHERE ref > 0 AND cand > 0 GROUP BY 1", "chrf")
+_LEN = f"(SELECT id, len(regexp_extract_all(lower(r), '[A-Za-z'']+')) AS r, len(regexp_extract_all(lower(c), '[A-Za-z'']+')) AS c FROM {_P})"
+C.add("bleu", lambda s, d: tx.bleu(_pairs(s, d), "id", "r", "c"),
+      f"""WITH o AS ({' UNION ALL '.join(f"SELECT {n} AS n, * FROM ({_overlap_sql(_grams('r', n), _grams('c', n))})" for n in range(1, 5))})
+      SELECT id, CASE WHEN min(hit) = 0 THEN 0 ELSE exp(avg(ln(greatest(hit, 1) / greatest(cand, 1)))) * CASE WHEN max(l.c) > max(l.r) THEN 1 ELSE exp(1 - max(l.r) / max(l.c)) END END AS bleu FROM o JOIN {_LEN} l USING (id) WHERE n <= l.c GROUP BY id""", "bleu")
+C.add("rouge_l", lambda s, d: tx.rouge_l(_pairs(s, d), "id", "r", "c"))
+C.add("meteor", lambda s, d: tx.meteor(_pairs(s, d), "id", "r", "c"),
+      f"""WITH h AS (SELECT id, w, count(*) AS have FROM (SELECT id, unnest(regexp_extract_all(lower(r), '[A-Za-z'']+')) AS w FROM {_P}) GROUP BY 1, 2),
+      c AS (SELECT id, t[i] AS w, i FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT id, regexp_extract_all(lower(c), '[A-Za-z'']+') AS t FROM {_P}))),
+      m AS (SELECT c.id, i, CASE WHEN row_number() OVER (PARTITION BY c.id, c.w ORDER BY i) <= coalesce(have, 0) THEN 1 ELSE 0 END AS hit FROM c LEFT JOIN h ON h.id = c.id AND h.w = c.w),
+      b AS (SELECT id, hit, CASE WHEN hit = 1 AND coalesce(lag(hit) OVER (PARTITION BY id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS b FROM m), g AS (SELECT id, sum(hit) AS m, sum(b) AS k FROM b GROUP BY 1)
+      SELECT p.id, CASE WHEN m > 0 THEN (m / c) * (m / r) / (0.9 * m / c + 0.1 * m / r) * (1 - 0.5 * power(k / m, 3)) ELSE 0 END AS meteor FROM {_LEN} p LEFT JOIN g ON g.id = p.id""", "meteor")
+C.add("rake_keywords", lambda s, d: tx.rake(docs(s, d), "item_id", "text", ["the", "of", "a", "and", "in", "to"]),
+      f"""WITH t AS (SELECT item_id, t[i] AS w, i FROM (SELECT item_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z'']+|[.,!?;:()"]') AS t FROM {_CORPUS}))),
+      f AS (SELECT *, w IN ('the', 'of', 'a', 'and', 'in', 'to') OR regexp_matches(w, '^[.,!?;:()"]$') AS e FROM t), g AS (SELECT *, sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY i) AS run FROM f),
+      p AS (SELECT item_id, run, list(w ORDER BY i) AS ws FROM g WHERE NOT e GROUP BY 1, 2), u AS (SELECT item_id, unnest(ws) AS w, len(ws) - 1 AS dg FROM p), k AS (SELECT item_id, w, (sum(dg) + count(*)) / count(*) AS s FROM u GROUP BY 1, 2),
+      x AS (SELECT item_id, phrase, unnest(string_split(phrase, ' ')) AS w FROM (SELECT DISTINCT item_id, array_to_string(ws, ' ') AS phrase FROM p)), y AS (SELECT item_id, phrase, sum(s) AS score FROM x JOIN k USING (item_id, w) GROUP BY 1, 2)
+      SELECT item_id, phrase, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, phrase) AS k FROM y) WHERE k <= 5""", "score")
 C.add("topic_coherence", lambda s, d: tx.topic_coherence(_topics(s, d), tx.count_terms(docs(s, d), "item_id", "text"), "item_id"),
       f"""WITH t AS (SELECT rank % 4 AS topic, rank // 4 AS rank, term FROM (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS rank FROM {_TF} GROUP BY term) WHERE rank < 20),
       h AS (SELECT DISTINCT item_id, term FROM {_TF}), f AS (SELECT term, count(*) AS d FROM h GROUP BY 1), p AS (SELECT a.topic, a.term AS wi, b.term AS wj FROM t a JOIN t b ON a.topic = b.topic AND b.rank < a.rank),
