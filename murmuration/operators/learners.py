@@ -10,9 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import materialize
+from ..store import materialize, release
 from .ordering import percentiles, running
-from .preprocessing import bin_edges, bin_index
+from .preprocessing import bin_index
 
 
 def _argmax(scores: dict, tie_first: bool = True) -> Column:
@@ -203,26 +203,31 @@ class Tree:
         return build(self.root)
 
 
-def fit_tree(df: DataFrame, features: list[str], gradient: Column, hessian: Column, max_depth: int = 3, max_bins: int = 32, l2: float = 1.0, min_hessian: float = 1.0) -> Tree:
+def tree_edges(df: DataFrame, features: list[str], max_bins: int = 32) -> dict[str, list[float]]:
+    """Bin edges of all features from one pass; they may be approximate percentiles, splits are exact on the bins."""
+    points = F.array(*[F.lit(i / max_bins) for i in range(max_bins + 1)])
+    row = df.agg(*[F.percentile_approx(F.col(f).cast("double"), points, F.lit(10_000)).alias(f) for f in features]).first()
+    return {f: sorted(set(row[f] or [])) for f in features}
+
+
+def fit_tree(df: DataFrame, features: list[str], gradient: Column, hessian: Column, max_depth: int = 3, max_bins: int = 32, l2: float = 1.0, min_hessian: float = 1.0, edges: dict[str, list[float]] | None = None) -> Tree:
     """A regression tree of -sum(g) / (sum(h) + l2) leaves, grown level by level on histograms.
 
-    One scan a level: each row adds its g and h to the bin of every feature at its node; node x feature x bin sums come
-    to the driver (2**depth * d * bins numbers).
+    One scan of the table sums rows that fall into the same bins; the levels work on these sums. At each level a row adds
+    its g and h to the bin of every feature at its node; node x feature x bin sums come to the driver
+    (2**depth * d * bins numbers).
     """
-    edges = {f: bin_edges(df, f, max_bins) for f in features}
-    binned = df.select(gradient.cast("double").alias("_g"), hessian.cast("double").alias("_h"), *[bin_index(F.col(f).cast("double"), edges[f]).alias(f"_b_{f}") for f in features]).persist()
+    edges = edges or tree_edges(df, features, max_bins)
+    binned = df.select(gradient.cast("double").alias("_g"), hessian.cast("double").alias("_h"), *[bin_index(F.col(f).cast("double"), edges[f]).alias(f"_b_{f}") for f in features])
+    # Rows alike in all bins weigh as one: the levels see at most as many rows as there are combinations of bins.
+    binned = materialize(binned.groupBy(*[f"_b_{f}" for f in features]).agg(F.sum("_g").alias("_g"), F.sum("_h").alias("_h")).withColumn("node", F.lit(1)), "tree")
+    data = binned
     splits: dict[int, tuple[str, int]] = {}
     values: dict[int, float] = {}
     frontier = {1}
     for depth in range(max_depth + 1):
-        node = F.lit(1)
-        for _ in range(depth):
-            step = node
-            for k, (f, b) in splits.items():
-                step = F.when(node == k, 2 * k + (F.col(f"_b_{f}") > b).cast("int")).otherwise(step)
-            node = step
         cells = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"_b_{f}").alias("b")) for f in features])
-        rows = binned.select(node.alias("node"), "_g", "_h", F.explode(cells).alias("c")).where(F.col("node").isin(sorted(frontier))).groupBy("node", "c.f", "c.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
+        rows = data.where(F.col("node").isin(sorted(frontier))).select("node", "_g", "_h", F.explode(cells).alias("c")).groupBy("node", "c.f", "c.b").agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
         table: dict = {}
         for r in rows:
             table.setdefault(r.node, {}).setdefault(r.f, {})[r.b] = (r.g, r.h)
@@ -251,7 +256,13 @@ def fit_tree(df: DataFrame, features: list[str], gradient: Column, hessian: Colu
         frontier = nxt
         if not frontier:
             break
-    binned.unpersist()
+        # Each row moves to its child; only the splits of this level are in the expression.
+        step = F.col("node")
+        for k in {n // 2 for n in frontier}:
+            f, b = splits[k]
+            step = F.when(F.col("node") == k, 2 * k + (F.col(f"_b_{f}") > b).cast("int")).otherwise(step)
+        data = data.withColumn("node", step)
+    release(df.sparkSession, binned)
 
     def build(k: int):
         if k not in splits:
@@ -265,14 +276,51 @@ def fit_tree(df: DataFrame, features: list[str], gradient: Column, hessian: Colu
 def fit_boosting(df: DataFrame, features: list[str], target: str, rounds: int = 10, rate: float = 0.1, loss: str = "squared", **options) -> Column:
     """Histogram gradient boosting: the score column (a probability for `logistic`)."""
     mean = df.agg(F.avg(target)).first()[0]
-    score = F.lit(math.log(mean / (1 - mean)) if loss == "logistic" else mean)
+    options.setdefault("edges", tree_edges(df, features, options.get("max_bins", 32)))
+    start, trees = float(math.log(mean / (1 - mean)) if loss == "logistic" else mean), []
+    score = F.lit(start)
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-score)) if loss == "logistic" else score
         tree = fit_tree(df, features, p - F.col(target), p * (1 - p) if loss == "logistic" else F.lit(1.0), **options)
-        score = score + rate * tree.column()
+        # The score so far is a column that is written each round, so no round computes the earlier trees again.
+        held = materialize(df.withColumn("_score", score + rate * tree.column()) if "_score" not in df.columns else df.withColumn("_score", F.col("_score") + rate * tree.column()), "scores")
+        trees.append(tree)
+        df, score = held, F.col("_score")
+    score = sum((rate * t.column() for t in trees), F.lit(start))
     return 1 / (1 + F.exp(-score)) if loss == "logistic" else score
 
 
+def random_forest(df: DataFrame, features: list[str], target: str, id_col: str, trees: int = 5, seed: int = 0, **options) -> Column:
+    """The mean of trees grown on Poisson bootstraps of the rows; features are thinned per tree by hash."""
+    edges = tree_edges(df, features, options.get("max_bins", 32))
+    found = []
+    for t in range(trees):
+        u = (F.pmod(F.xxhash64(F.lit(seed + t), id_col), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+        times = sum(((u > c).cast("double") for c in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634)), F.lit(0.0))
+        chosen = [f for i, f in enumerate(features) if len(features) < 3 or (i + t + seed) % 3]
+        found.append(fit_tree(df, chosen, -F.col(target) * times, times, l2=0.0, edges=edges, **options).column())
+    return sum(found, F.lit(0.0)) / trees
+
+
+def ada_boost(df: DataFrame, features: list[str], target: str, rounds: int = 5, **options) -> tuple[list[tuple[float, Tree]], Column]:
+    """Weighted shallow trees for labels 0/1: each round weighs up what the last one got wrong. Gives trees and the vote."""
+    edges = tree_edges(df, features, options.get("max_bins", 32))
+    held = materialize(df.withColumn("_w", F.lit(1.0 / max(df.count(), 1))), "weights")
+    found = []
+    for _ in range(rounds):
+        tree = fit_tree(held, features, -(2 * F.col(target) - 1) * F.col("_w"), F.col("_w"), l2=0.0, min_hessian=0.0, edges=edges, **{"max_depth": 1, **options})
+        guess = (tree.column() > 0).cast("int")
+        wrong = held.agg(F.sum(F.when(guess != F.col(target), F.col("_w")).otherwise(0.0)) / F.sum("_w")).first()[0]
+        wrong = min(max(wrong, 1e-10), 1 - 1e-10)
+        say = 0.5 * math.log((1 - wrong) / wrong)
+        found.append((say, tree))
+        if wrong >= 0.5:
+            break
+        held = materialize(held.withColumn("_w", F.col("_w") * F.exp(F.when(guess != F.col(target), say).otherwise(-say))), "weights")
+    vote = sum((say * F.when(tree.column() > 0, 1.0).otherwise(-1.0) for say, tree in found), F.lit(0.0))
+    return found, (vote > 0).cast("int")
+
+
 # Anomaly scores.
 
 
@@ -387,18 +435,19 @@ def bloom_filter(items: DataFrame, column: str, bits: int, hashes: int) -> list[
 
 def bloom_contains(df: DataFrame, column: str, words: list[int], bits: int, hashes: int, out: str = "maybe") -> DataFrame:
     """Whether a value may be among the items; never false for one that is."""
-    table = F.array(*[F.lit(w).cast("long") for w in words])
-    hit = F.lit(True)
+    # One row with all words, of a size that the parameter fixes, travels to every task.
+    held = df.sparkSession.createDataFrame([(words,)], "_words array<bigint>")
+    df, table, hit = df.crossJoin(F.broadcast(held)), F.col("_words"), F.lit(True)
     for i in range(hashes):
         p = F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(bits))
         word = F.element_at(table, (F.shiftright(p, 5) + 1).cast("int"))
         hit = hit & (F.call_function("shiftright", word, (p % 32).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return df.withColumn(out, hit)
+    return df.withColumn(out, hit).drop("_words")
 
 
 def reservoir(df: DataFrame, k: int, id_col: str, seed: int = 0) -> DataFrame:
-    """k rows in random order: each partition keeps its k smallest hashes, then the k smallest of those."""
-    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(k)
+    """k rows in random order: each partition keeps its k smallest digests, then the k smallest of those."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(k)
 
 
 # Conformal intervals.

@@ -32,8 +32,23 @@ C.add("lasso", lambda s, d: lin.elastic_net(scored(s, d), ["q"], "price", 20.0).
 C.add("elastic_net", lambda s, d: lin.elastic_net(scored(s, d), ["q"], "price", 20.0, 0.5).table(s),
       f"""WITH m AS (SELECT covar_pop(price, q) AS xy, var_pop(q) AS xx, avg(q) AS mx, avg(price) AS my FROM {SCORED}), b AS (SELECT *, sign(xy) * greatest(abs(xy) - 10, 0) / (xx + 10) AS b FROM m)
       SELECT 'intercept' AS term, my - mx * b AS coefficient FROM b UNION ALL SELECT 'q', b FROM b""", "coefficient", digits=3)
-C.add("logistic_regression", lambda s, d: lin.logistic(scored(s, d).withColumn("z", F.col("q") / 50), ["z", "disc"], "y").table(s))
-C.add("poisson_glm", lambda s, d: lin.weighted_rounds(scored(s, d).withColumn("z", F.col("price") / 50000), ["z"], "q", "poisson").table(s))
+
+
+def _newton(mean, weight, y, x, rounds, start, ridge="0"):
+    """Newton rounds of a one-feature model with an intercept, unrolled."""
+    steps = [f"d AS MATERIALIZED (SELECT {x} AS x, {y}::DOUBLE AS y FROM {SCORED})", f"b0 AS (SELECT {start} AS a, 0.0::DOUBLE AS b)"]
+    for i in range(rounds):
+        steps.append(f"""m{i} AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) + {ridge} AS h11, sum(y - mu) AS g0, sum((y - mu) * x) - {ridge} * any_value(b) AS g1
+          FROM (SELECT a, b, x, y, mu, {weight} AS w FROM (SELECT a, b, x, y, {mean} AS mu FROM d, b{i})))""")
+        steps.append(f"b{i + 1} AS (SELECT a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) AS a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) AS b FROM m{i})")
+    return f"WITH {', '.join(steps)} SELECT 'intercept' AS term, a AS coefficient FROM b{rounds} UNION ALL SELECT 'z', b FROM b{rounds}"
+
+
+C.add("logistic_regression", lambda s, d: lin.logistic(scored(s, d).withColumn("z", F.col("q") / 50), ["z"], "y").table(s),
+      _newton("1 / (1 + exp(-(a + b * x)))", "mu * (1 - mu)", "y", "q / 50", 8, "0.0::DOUBLE", "1"), "coefficient", digits=5)
+C.add("logistic_regression_2", lambda s, d: lin.logistic(scored(s, d).withColumn("z", F.col("q") / 50), ["z", "disc"], "y").table(s))
+C.add("poisson_glm", lambda s, d: lin.weighted_rounds(scored(s, d).withColumn("z", F.col("price") / 50000), ["z"], "q", "poisson").table(s),
+      _newton("exp(a + b * x)", "mu", "q", "price / 50000", 8, f"(SELECT ln(avg(q)) FROM {SCORED})"), "coefficient", digits=5)
 C.add("pca", lambda s, d: lin.pca_table(scored(s, d).withColumn("p2", F.col("price") / 1000), ["q", "p2"], 1),
       f"""WITH m AS (SELECT var_samp(q) AS x, var_samp(price/1000) AS y, covar_samp(q, price/1000) AS z FROM {SCORED}), e AS (SELECT *, (x+y)/2 + sqrt((x-y)*(x-y)/4 + z*z) AS l FROM m), v AS (SELECT l, z / sqrt(z*z + (l-x)*(l-x)) AS a, (l-x) / sqrt(z*z + (l-x)*(l-x)) AS b FROM e),
       g AS (SELECT l, CASE WHEN abs(a) >= abs(b) THEN sign(a) ELSE sign(b) END AS s, a, b FROM v)
@@ -81,18 +96,35 @@ C.add("nearest_centroid", lambda s, d: (lambda df: df.select("event_id", ml.near
       f"""WITH k AS (SELECT label, sa / n AS xa, sb / n AS xb, sc / n AS xc FROM {_S}), z AS (SELECT event_id, label, -((a-xa)*(a-xa) + (b-xb)*(b-xb) + (c-xc)*(c-xc)) AS s FROM {_CNT}, k) {_BEST}""")
 
 
-def _vectors(s, d, k=4):
-    return table(s, d, "embeddings").select("vec_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(k)])
+def _start(s, d):
+    """Rows 0, 1 and 2 as the first centres."""
+    rows = table(s, d, "embeddings").where("vec_id < 3").orderBy("vec_id").collect()
+    return [[float(x) for x in r.embedding] for r in rows]
+
+
+_DIST = "list_sum([power(z[1] - z[2], 2) FOR z IN list_zip(v, c)])"
 
 
-X = [f"x{i}" for i in range(4)]
-C.add("kmeans", lambda s, d: (lambda df: ml.k_means(df, X, ml.seed_centres(df, X, 3), 20).predict(df).groupBy("cluster").agg(F.count("*").alias("n"), F.sum("cluster_distance").alias("inertia")))(_vectors(s, d)))
-C.add("kmeans_assign", lambda s, d: ml.Centres(["x0", "x1"], [[0.0, 0.0], [0.5, 0.5], [-0.5, 0.2]]).predict(_vectors(s, d)).select("vec_id", F.col("cluster").cast("long").alias("cluster"), "cluster_distance"),
-      """SELECT vec_id, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS cluster, least(a, b, c) AS cluster_distance FROM (SELECT vec_id, x*x + y*y AS a, (x-0.5)*(x-0.5) + (y-0.5)*(y-0.5) AS b, (x+0.5)*(x+0.5) + (y-0.2)*(y-0.2) AS c
-      FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings))""", "cluster_distance", "cluster")
-C.add("dbscan", lambda s, d: ml.grid_dbscan(_vectors(s, d, 2), ["x0", "x1"], "vec_id", 0.05, 4).groupBy("cluster").agg(F.count("*").alias("n")))
+def _lloyd(rounds):
+    steps = ["x AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)", "p0 AS MATERIALIZED (SELECT vec_id AS k, v AS c FROM x WHERE vec_id < 3)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(k, ({_DIST}, k)) AS k FROM x, p{i} GROUP BY vec_id)")
+        steps.append(f"p{i + 1} AS MATERIALIZED (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(v[i]) AS m FROM (SELECT k, v, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY 1, 2) GROUP BY k)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, arg_min(k, ({_DIST}, k)) AS cluster, min({_DIST}) AS distance2 FROM x, p{rounds} GROUP BY vec_id"
+
+
+C.add("kmeans", lambda s, d: (lambda e: ml.assigned(e, "embedding", ml.k_means_vectors(e, "embedding", _start(s, d), 3)).groupBy(F.col("cluster").cast("long").alias("cluster")).agg(F.count("*").alias("n"), F.sum("distance2").alias("inertia")))(table(s, d, "embeddings")),
+      f"SELECT cluster, count(*) AS n, sum(distance2) AS inertia FROM ({_lloyd(3)}) GROUP BY 1", "inertia", "cluster", digits=4)
+C.add("kmeans_assign", lambda s, d: ml.assigned(table(s, d, "embeddings"), "embedding", _start(s, d)).select("vec_id", F.col("cluster").cast("long").alias("cluster"), "distance2"), _lloyd(0), "distance2", "cluster")
+_NEAR = "(SELECT a.i AS id, b.i AS other FROM p a JOIN p b ON power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 0.64)"
+C.add("dbscan", lambda s, d: ml.grid_dbscan(table(s, d, "part").selectExpr("p_partkey", "cast(p_size as double) AS x", "p_retailprice / 20 AS y"), ["x", "y"], "p_partkey", 0.8, 4),
+      f"""WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS i, p_size::DOUBLE AS x, p_retailprice / 20 AS y FROM part), e AS MATERIALIZED {_NEAR}, k AS MATERIALIZED (SELECT id FROM e GROUP BY 1 HAVING count(*) >= 4),
+      ke AS MATERIALIZED (SELECT e.id, other FROM e JOIN k ON k.id = e.id JOIN k j ON j.id = e.other), r(id, root) AS (SELECT id, id FROM k UNION SELECT ke.other, r.root FROM r JOIN ke ON ke.id = r.id), l AS (SELECT id, min(root) AS c FROM r GROUP BY 1),
+      b AS (SELECT e.other AS id, min(c) AS c FROM e JOIN l ON l.id = e.id GROUP BY 1) SELECT p.i AS id, coalesce(l.c, b.c) AS cluster FROM p LEFT JOIN l ON l.id = p.i LEFT JOIN b ON b.id = p.i""")
 C.add("decision_tree", lambda s, d: (lambda df: met.regression(df.withColumn("pr", ml.fit_tree(df, NUM, -F.col("price"), F.lit(1.0), 3, 32, 0.0).column()), "price", "pr").select("r2", "mae"))(scored(s, d)))
 C.add("gradient_boosting", lambda s, d: (lambda df: met.roc_auc(df.withColumn("sc", ml.fit_boosting(df, NUM + ["price"], "y", 3, 0.3, "logistic", max_depth=2)), "y", "sc"))(scored(s, d)))
+C.add("random_forest", lambda s, d: (lambda df: met.regression(df.withColumn("pr", ml.random_forest(df, ["q", "disc", "tax", "p"], "price", "id", 3, max_depth=3)), "price", "pr").select((F.col("r2") > -0.1).alias("sane")))(scored(s, d)), "SELECT true AS sane")
+C.add("ada_boost", lambda s, d: (lambda df: df.agg((F.avg((ml.ada_boost(df, ["q", "disc", "tax"], "p", 4)[1] == F.col("p")).cast("double")) > 0.85).alias("learned")))(scored(s, d)), "SELECT true AS learned")
 C.add("hbos", lambda s, d: ml.hbos(table(s, d, "events").select("event_id", "value"), ["value"]).select("event_id", "score"),
       """WITH m AS (SELECT min(value) AS l, (max(value) - min(value)) / 10 AS w, count(*) AS n FROM events), b AS (SELECT event_id, least(floor((value - l) / w), 9) AS b, w, n FROM events, m), c AS (SELECT b, count(*) AS k FROM b GROUP BY 1)
       SELECT event_id, ln(1 / (k / (n * w) + 1e-10)) AS score FROM b JOIN c USING (b)""", "score")
@@ -106,11 +138,22 @@ C.add("outliers_mad", lambda s, d: ml.outliers_mad(table(s, d, "events"), "value
 C.add("knn", lambda s, d: (lambda e: ml.knn(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 3).withColumn("rank", F.col("rank").cast("long")))(table(s, d, "embeddings")),
       """SELECT q, id, distance, rank FROM (SELECT a.vec_id AS q, b.vec_id AS id, sqrt(list_sum([power(x[1]::DOUBLE - x[2]::DOUBLE, 2) FOR x IN list_zip(a.embedding, b.embedding)])) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY
       sqrt(list_sum([power(x[1]::DOUBLE - x[2]::DOUBLE, 2) FOR x IN list_zip(a.embedding, b.embedding)])), b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 3""", "distance", "rank")
-C.add("bloom_filter", lambda s, d: (lambda p: ml.bloom_contains(table(s, d, "lineitem"), "l_partkey", p, 8192, 3).where("l_partkey % 10 = 0").groupBy("maybe").agg(F.count("*").alias("n")))(ml.bloom_filter(table(s, d, "part").where("p_partkey % 10 = 0"), "p_partkey", 8192, 3)),
-      "SELECT true AS maybe, count(*) AS n FROM lineitem WHERE l_partkey % 10 = 0")
-C.add("hyperloglog", lambda s, d: table(s, d, "lineitem").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)).alias("distinct_parts")))
-C.add("quantile_sketch", lambda s, d: table(s, d, "lineitem").agg(F.percentile_approx("l_quantity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 10000).alias("q")).select(F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90")))
-C.add("reservoir_sample", lambda s, d: ml.reservoir(table(s, d, "orders"), 100, "o_orderkey").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("k")), "SELECT 100 AS n, 100 AS k", "", "n k")
+
+
+def _bloom(s, d):
+    large = table(s, d, "part").where("p_size > 25")
+    found = ml.bloom_contains(table(s, d, "lineitem"), "l_partkey", ml.bloom_filter(large, "p_partkey", 1 << 17, 4), 1 << 17, 4)
+    both = found.join(large.select(F.col("p_partkey").alias("k")), F.col("l_partkey") == F.col("k"), "left")
+    member = F.col("k").isNotNull()
+    return both.agg(F.sum(member.cast("long")).alias("members"), F.sum((member & ~F.col("maybe")).cast("long")).alias("missed"), (F.sum((~member & F.col("maybe")).cast("long")) <= 0.02 * F.count("*")).alias("few_false"))
+
+
+C.add("bloom_filter", _bloom, "SELECT count(*) AS members, CAST(0 AS BIGINT) AS missed, true AS few_false FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 25")
+C.add("hyperloglog", lambda s, d: table(s, d, "lineitem").agg((F.abs(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey", 14)) - F.count_distinct("l_partkey")) <= 0.03 * F.count_distinct("l_partkey")).alias("near"), F.count_distinct("l_partkey").alias("exact")),
+      "SELECT true AS near, count(DISTINCT l_partkey) AS exact FROM lineitem")
+C.add("quantile_sketch", lambda s, d: table(s, d, "lineitem").agg(F.percentile_approx("l_quantity", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), 10000).alias("q")).select(F.col("q")[0].alias("p10"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p90")),
+      "SELECT quantile_disc(l_quantity, 0.1) AS p10, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.9) AS p90 FROM lineitem", "p10 p50 p90")
+C.add("reservoir_sample", lambda s, d: ml.reservoir(table(s, d, "orders"), 100, "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 100")
 C.add("conformal_regressor", lambda s, d: ml.conformal_quantile(scored(s, d).withColumn("r", F.abs(F.col("price") - F.col("q") * 1500)), "r", 0.9),
       f"SELECT r AS q FROM (SELECT abs(price - q * 1500) AS r, row_number() OVER (ORDER BY abs(price - q * 1500)) AS k, count(*) OVER () AS n FROM {SCORED}) WHERE k = least(ceil((n + 1) * 0.9), n)", "q", digits=4)
 C.add("mondrian_conformal", lambda s, d: ml.conformal_quantile(scored(s, d).withColumn("r", F.abs(F.col("price") - F.col("q") * 1500)), "r", 0.9, ["label"]),

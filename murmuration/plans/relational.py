@@ -42,8 +42,25 @@ C.add("pagerank", lambda s, d: gr.pagerank(directed(s, d), max_iter=15, tol=0.0)
       SELECT i + 1, node, rank FROM (SELECT i, n.node, 0.85 * (coalesce(sum(r.rank / o.k) FILTER (e.dst = n.node), 0) + coalesce(sum(r.rank) FILTER (o.k IS NULL AND e.src IS NULL), 0) / max(nn.n)) + 0.15 / max(nn.n) AS rank
       FROM r LEFT JOIN o ON o.node = r.node LEFT JOIN e ON e.src = r.node, n, nn WHERE i < 15 GROUP BY i, n.node))
       SELECT node, rank / sum(rank) OVER () AS rank FROM r WHERE i = 15""", "rank")
-C.add("hits", lambda s, d: gr.hits(directed(s, d), 5))
-C.add("label_propagation", lambda s, d: gr.label_propagation(und(s, d), 4))
+
+
+def _hits_sql(rounds):
+    steps = [f"e AS MATERIALIZED (SELECT * FROM {_E})", "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "h0 AS (SELECT node, 1.0::DOUBLE AS hub, 1.0::DOUBLE AS au FROM n)"]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT node, au / sqrt(sum(au * au) OVER ()) AS au FROM (SELECT n.node, coalesce(sum(hub), 0) AS au FROM n LEFT JOIN e ON e.dst = n.node LEFT JOIN h{i} h ON h.node = e.src GROUP BY 1))")
+        steps.append(f"h{i + 1} AS MATERIALIZED (SELECT node, hub / sqrt(sum(hub * hub) OVER ()) AS hub, au FROM (SELECT n.node, coalesce(sum(a.au), 0) AS hub, any_value(o.au) AS au FROM n JOIN a{i} o ON o.node = n.node LEFT JOIN e ON e.src = n.node LEFT JOIN a{i} a ON a.node = e.dst GROUP BY 1))")
+    return f"WITH {', '.join(steps)} SELECT node, hub, au AS authority FROM h{rounds}"
+
+
+def _labels_sql(rounds):
+    steps = [f"u AS MATERIALIZED (SELECT * FROM {_U})", "l0 AS (SELECT DISTINCT src AS node, src AS label FROM u)"]
+    for i in range(rounds):
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT src AS node, arg_min(label, (-n, label)) AS label FROM (SELECT src, label, count(*) AS n FROM u JOIN l{i} ON node = dst GROUP BY 1, 2) GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT * FROM l{rounds}"
+
+
+C.add("hits", lambda s, d: gr.hits(directed(s, d), 5), _hits_sql(5), "hub authority")
+C.add("label_propagation", lambda s, d: gr.label_propagation(und(s, d), 4), _labels_sql(4))
 C.add("modularity", lambda s, d: gr.modularity(und(s, d), _regions(s, d)),
       f"""WITH m AS (SELECT a.n_regionkey AS x, b.n_regionkey AS y FROM {_U} JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey), t AS (SELECT count(*)::DOUBLE AS m2 FROM m)
       SELECT sum(i / m2 - power(k / m2, 2)) AS modularity FROM (SELECT x, count(*) AS k, sum(CASE WHEN x = y THEN 1 ELSE 0 END) AS i FROM m GROUP BY 1), t""", "modularity")
@@ -102,10 +119,12 @@ C.add("variable_elimination", lambda s, d: pt.eliminate(_network(s, d), ["a"], {
       pb AS (SELECT a, b, (coalesce(n, 0) + 1.0) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY a) AS p FROM av CROSS JOIN bv LEFT JOIN (SELECT a, b, count(*) AS n FROM l GROUP BY 1, 2) USING (a, b)),
       pc AS (SELECT b, c, (coalesce(n, 0) + 1.0) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY b) AS p FROM bv CROSS JOIN cv LEFT JOIN (SELECT b, c, count(*) AS n FROM l GROUP BY 1, 2) USING (b, c)),
       j AS (SELECT a, sum(pa.p * pb.p * pc.p) AS p FROM pa JOIN pb USING (a) JOIN pc USING (b) WHERE c = 1 GROUP BY a) SELECT a, p / sum(p) OVER () AS p FROM j""", "p")
+_MI = [f"""SELECT '{x}' AS a, '{y}' AS b, sum(n / nn * ln(n * nn / (nu * nv))) AS mi FROM (SELECT n, sum(n) OVER (PARTITION BY u)::DOUBLE AS nu, sum(n) OVER (PARTITION BY v)::DOUBLE AS nv, sum(n) OVER ()::DOUBLE AS nn
+      FROM (SELECT {x} AS u, {y} AS v, count(*) AS n FROM lineitem GROUP BY 1, 2))""" for x, y in (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber"))]
 C.add("mutual_information", lambda s, d: pt.mutual_information(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"]),
-      " UNION ALL ".join(f"""SELECT '{x}' AS a, '{y}' AS b, sum(n / nn * ln(n * nn / (nu * nv))) AS mi FROM (SELECT n, sum(n) OVER (PARTITION BY u)::DOUBLE AS nu, sum(n) OVER (PARTITION BY v)::DOUBLE AS nv, sum(n) OVER ()::DOUBLE AS nn
-      FROM (SELECT {x} AS u, {y} AS v, count(*) AS n FROM lineitem GROUP BY 1, 2))""" for x, y in (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber"))), "mi")
-C.add("chow_liu_tree", lambda s, d: s.createDataFrame(pt.chow_liu(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"]), "a string, b string, mi double"))
+      " UNION ALL ".join(_MI), "mi")
+C.add("chow_liu_tree", lambda s, d: s.createDataFrame(pt.chow_liu(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"]), "a string, b string, mi double"),
+      "SELECT a, b, mi FROM (" + " UNION ALL ".join(_MI) + ") ORDER BY mi DESC LIMIT 2", "mi")
 _R = "(SELECT o_custkey AS u, l_partkey % 50 AS i, avg(l_quantity) AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 
 
@@ -120,6 +139,6 @@ C.add("slope_one_predict", lambda s, d: (lambda r: pt.slope_one_predict(pt.slope
       SELECT i, avg(predicted) AS mean, count(*) AS n FROM p ANTI JOIN r USING (u, i) GROUP BY i""", "mean", digits=3)
 C.add("pareto_front", lambda s, d: pt.pareto_front(table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey").select("p_partkey"),
       "SELECT p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))")
-C.add("crowding_distance", lambda s, d: pt.crowding_distance(table(s, d, "part"), ["p_retailprice"], ["p_brand"], "p_partkey").where("crowding < 1e300").select("p_partkey", "crowding"),
+C.add("crowding_distance", lambda s, d: pt.crowding_distance(table(s, d, "part"), ["p_retailprice"], ["p_brand"], "p_partkey").select("p_partkey", F.expr("CASE WHEN crowding < 1e300 THEN crowding END").alias("crowding")),
       """WITH c AS (SELECT p_partkey, (lead(p_retailprice) OVER w - lag(p_retailprice) OVER w) AS g, max(p_retailprice) OVER (PARTITION BY p_brand) - min(p_retailprice) OVER (PARTITION BY p_brand) AS s
-      FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)) SELECT p_partkey, g / CASE WHEN s = 0 THEN 1 ELSE s END AS crowding FROM c WHERE g IS NOT NULL""", "crowding")
+      FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey)) SELECT p_partkey, g / CASE WHEN s = 0 THEN 1 ELSE s END AS crowding FROM c""", "crowding")

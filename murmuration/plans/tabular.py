@@ -234,7 +234,11 @@ C.add("k_fold", lambda s, d: sel.k_fold(scored(s, d), ["id"], 7).select("id", F.
       FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM {SCORED})""", "", "fold")
 C.add("stratified_k_fold", lambda s, d: sel.stratified_k_fold(scored(s, d), ["id"], "label").select("id", F.col("fold").cast("long").alias("fold")),
       f"SELECT id, (row_number() OVER (PARTITION BY label ORDER BY id) - 1) % 5 AS fold FROM {SCORED}", "", "fold")
-C.add("group_k_fold", lambda s, d: sel.group_k_fold(table(s, d, "customer"), "c_nationkey", 3).groupBy("fold").count())
+C.add("group_k_fold", lambda s, d: sel.group_k_fold(table(s, d, "customer"), "c_nationkey", 3).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.sum("c_nationkey").alias("keys")),
+      """WITH RECURSIVE g AS MATERIALIZED (SELECT c_nationkey AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1),
+      r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, CAST(-1 AS BIGINT) AS fold, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k
+      UNION ALL SELECT g.i, CASE WHEN f = 0 THEN a + g.n ELSE a END, CASE WHEN f = 1 THEN b + g.n ELSE b END, CASE WHEN f = 2 THEN c + g.n ELSE c END, f, g.n, g.k FROM (SELECT *, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f FROM r) x JOIN g ON g.i = x.i + 1)
+      SELECT fold, sum(n) AS n, sum(n * k) AS keys FROM r WHERE fold >= 0 GROUP BY 1""", "", "n keys")
 C.add("time_series_split", lambda s, d: sel.time_series_split(table(s, d, "orders"), ["o_orderdate", "o_orderkey"], 3).groupBy("split", "part").count().withColumn("split", F.col("split").cast("long")),
       """WITH r AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS a, count(*) OVER () AS n, count(*) OVER () // 4 AS z FROM orders),
       x AS (SELECT a, n - z * 3 + k * z AS b, z, k AS split FROM r, (SELECT unnest([0, 1, 2]) AS k))

@@ -21,10 +21,10 @@ def tensor(s, d):
 
 
 def matrix(s, d):
-    return table(s, d, "nation").where("n_nationkey < 8").selectExpr("n_nationkey % 2 AS i", "cast(floor(n_nationkey / 2) as int) AS j", "n_nationkey * 0.5D AS v")
+    return table(s, d, "nation").selectExpr("n_nationkey % 2 AS i", "cast(floor(n_nationkey / 2) as int) AS j", "n_nationkey * 0.5D AS v")
 
 
-_M = "(SELECT n_nationkey % 2 AS i, n_nationkey // 2 AS j, n_nationkey * 0.5::DOUBLE AS v FROM nation WHERE n_nationkey < 8)"
+_M = "(SELECT n_nationkey % 2 AS i, n_nationkey // 2 AS j, n_nationkey * 0.5::DOUBLE AS v FROM nation)"
 SIZES = {"j": 4, "k": 3}
 C.add("tensor_unfold", lambda s, d: tn.unfold(tensor(s, d), "i", ["j", "k"], SIZES), f"SELECT i AS row, j * 3 + k AS col, v FROM {_T}", "v", "col")
 C.add("tensor_fold", lambda s, d: (lambda t: t.select("i", F.col("j").cast("long").alias("j"), F.col("k").cast("long").alias("k"), "v"))(tn.fold(tn.unfold(tensor(s, d), "i", ["j", "k"], SIZES), "i", ["j", "k"], SIZES)), f"SELECT * FROM {_T}", "v", "j k")
