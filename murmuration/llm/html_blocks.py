@@ -107,8 +107,10 @@ class _Reader(HTMLParser):
 
 def blocks(html: str | None) -> list[Block]:
     """The page's blocks in order; character references decoded, white space in a block made one space."""
-    reader = _Reader()
-    reader.feed(html or "")
+    reader, html = _Reader(), html or ""
+    # A comment that is never closed hides the rest of the page, as browsers read it.
+    opened = html.rfind("<!--")
+    reader.feed(html[:opened] if opened >= 0 and html.find("-->", opened) < 0 else html)
     reader.close()
     reader.flush()
     return reader.blocks

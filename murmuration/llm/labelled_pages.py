@@ -1,7 +1,7 @@
 """Made-up web pages with a label for each block, to train the page model on.
 
-A page is a random layout: banners, menus, adverts, notices, an article in one of many containers (with adverts, forms
-and notices inside it), reader comments, side bars and a footer. Words are random letters, so nothing can be learned
+A page is a random layout: banners, menus, adverts, notices, an article in one of many containers (with a header or footer
+of its own, adverts, forms and notices inside it), reader comments, side bars and a footer. Words are random letters, so nothing can be learned
 from vocabulary, only from ancestors and the look of the text.
 """
 
@@ -23,6 +23,8 @@ PARTS = {
     "form": [("form", ""), ("form", "search"), ("form", "subscribe"), ("div", "login-form")],
     "side": [("aside", ""), ("div", "sidebar"), ("div", "related"), ("section", "widget"), ("div", "share"), ("div", "tags"), ("aside", "recommended")],
     "comments": [("div", "comments"), ("section", "comments"), ("ol", "comment-list"), ("div", "discussion"), ("div", "replies"), ("section", "responses"), ("div", "disqus")],
+    "byline": [("header", ""), ("header", "entry-header"), ("div", "header")],
+    "colophon": [("footer", ""), ("footer", "entry-footer"), ("footer", "post-meta")],
     "footer": [("footer", ""), ("div", "footer"), ("div", "copyright"), ("footer", "site-footer"), ("div", "legal")],
 }
 
@@ -67,6 +69,10 @@ class _Page:
         if kind in ("advert", "notice", "side", "form", "banner"):
             for _ in range(r.randint(1, 2)):
                 self.block(r.choice(["p", "div", "p", "h3"]), _sentences(r, 1, 3), 0)
+        if kind in ("byline", "colophon"):
+            for _ in range(r.randint(1, 2)):
+                text = _words(r, r.randint(2, 6))
+                self.block(r.choice(["p", "div"]), text + r.choice(["", "", "."]), 0)
         if kind == "form":
             self.block(r.choice(["button", "div", "p"]), _words(r, 2), 0)
         if kind == "comments":
@@ -80,7 +86,11 @@ class _Page:
     def article(self) -> None:
         r = self.r
         ends = [self.wrap(r.choice(SHELL)) for _ in range(r.randint(0, 2))]
-        ends.append(self.wrap(r.choice(MAIN)))
+        # Sites name their containers as they like: a third have names that say nothing.
+        shell = r.choice(MAIN)
+        ends.append(self.wrap((shell[0], _words(r, 1)) if r.random() < 0.33 else shell))
+        if r.random() < 0.15:
+            self.part("byline")
         if r.random() < 0.9:
             self.block(r.choice(["h1", "h1", "h2"]), _words(r, r.randint(2, 12)), 1)
         for _ in range(r.randint(1, 10)):
@@ -96,6 +106,8 @@ class _Page:
                 self.block(r.choice(["blockquote", "pre", "td", "figcaption"]), _sentences(r, 1, 2), 1)
             else:
                 self.part(r.choice(["advert", "notice", "form", "side"]))
+        if r.random() < 0.2:
+            self.part("colophon")
         self.out.extend(reversed(ends))
 
     def html(self) -> str:

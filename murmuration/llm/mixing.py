@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
-from .store import WHITE_SPACE, WHITE_SPACE_RUN, materialize
+from .store import WHITE_SPACE, WHITE_SPACE_RUN, materialize, sized
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -101,7 +101,7 @@ def mix(
     served = running_sums(sliced, ["source"], "slice", ["place", "doc_id", "size"], {"served": "size"})
     named = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
     timed = materialize(
-        served.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "slice"), "mix-times"
+        served.join(sized(named), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "slice"), "mix-times"
     )
     passes = timed.select(
         "doc_id", "rank", "size", "place", "source_size", "target", "served",
@@ -135,8 +135,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document without words belongs to no share and is left out.
     """
-    from .store import sized
-
     per_id = materialize(
         mix(docs, id_col, text_col, source_col, **options)
         .where("taken > 0")

@@ -125,7 +125,10 @@ class PieceModel:
         return "" if i < 0 else self.piece[i] if i < self.size else chr(i - self.size)
 
     def split(self, word: str) -> list[int]:
-        """The pieces of a word, in one pass; characters outside the vocabulary stand alone."""
+        """The pieces of a word, in one pass; characters outside the vocabulary stand alone.
+
+        Should no stable split be found, a BPE word is merged from its characters instead.
+        """
         n = len(word)
         last, strange = [-1] * (n + 1), not self.single.issuperset(word)
         relax = self._relax_unigram if self.kind == "unigram" else self._relax_bpe
@@ -134,7 +137,7 @@ class PieceModel:
         while i:
             piece = last[i]
             if piece < 0:
-                raise ValueError(f"no stable split of {word!r}")
+                return [self.ids[p] if p in self.ids else self.size + ord(p) for p in self.merge(word)]
             out.append(piece)
             i -= len(self.piece[piece]) if piece < self.size else 1
         return out[::-1]

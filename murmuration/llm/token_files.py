@@ -100,7 +100,8 @@ def write_tokens(
 ) -> DataFrame:
     """Write all documents; returns the manifest: part, path, dtype, n_docs, n_tokens, base.
 
-    Files stand in the shared folder, in ascending order of id (null ids first, ties in any order). Null and empty
+    Files stand in the shared folder, in ascending order of id (null ids first, rows of one id by a hash of their text, so
+    that a rerun writes the same ids in the same order). Null and empty
     texts have the end id alone. Texts are encoded whole, whatever their length. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
@@ -109,7 +110,7 @@ def write_tokens(
     ordered = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id")
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
 
     def write(batches: Iterator) -> Iterator:

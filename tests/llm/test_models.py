@@ -241,6 +241,33 @@ def test_held_out_pages_are_labelled_well():
     assert wrong < 0.02 * total
 
 
+def test_unknown_containers_and_parts_of_an_article():
+    model = html_extract.default_model()
+    text = "A sentence of some length stands here. Another one follows it."
+    for tag, name in (("div", "inhalt"), ("section", "x7"), ("div", "corps-texte")):
+        page = f'<body><nav><a href=x>Home</a></nav><div class="{name}"><h1>Title of it</h1><p>{text}</p><p>{text}</p></div><footer>&copy; x</footer></body>'
+        assert html_extract.main_text(page, model) == f"Title of it\n\n{text}\n\n{text}", tag
+    page = f"<body><article><header><p>by someone</p></header><h1>Title of it</h1><p>{text}</p><footer><p>Tags: x y</p></footer></article></body>"
+    assert html_extract.main_text(page, model) == f"Title of it\n\n{text}"
+    assert html_extract.main_text(f"<article><p>{text}</p><!-- oops <p>gone</p></article>", model) == text
+
+
+def test_viterbi_is_the_best_by_exhaustion():
+    from itertools import product
+
+    model = html_extract.default_model()
+    for chain, _ in html_extract.training_data(40, seed=77):
+        chain = chain[:10]
+        node = [sum(model.weights.get(f, 0.0) for f in b) for b in chain]
+
+        def score(labels):
+            pairs = sum(model.pairs[a][b] for a, b in zip(labels, labels[1:]))
+            return pairs + sum(n for n, y in zip(node, labels) if y)
+
+        best = max(product((0, 1), repeat=len(chain)), key=score)
+        assert math.isclose(score(model.decode(chain)), score(best), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_extraction_of_pages(spark):
     long = "word " * 40000
     html = f"<html><body><div class='ad'><p>Buy it.</p></div><article><h1>Title here</h1><p>First  text.</p><p>{long}</p></article><div class='comments'><p>Nice one!</p></div></body></html>"

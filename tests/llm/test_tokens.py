@@ -31,6 +31,15 @@ def test_token_files_hold_what_the_library_encodes(spark):
     assert token_files.read_tokens(token_files.write_tokens(empty(spark), BPE)).count() == 0
 
 
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(5, f"text number {i}", "s") for i in range(30)] + [(1, "first", "s"), (9, "last", "s")]
+    found = []
+    for parts in (2, 7):
+        got = token_files.read_tokens(token_files.write_tokens(documents(spark, rows).repartition(parts), BPE)).collect()
+        found.append(sorted((r.start, r.doc_id, r.ids_crc32) for r in got))
+    assert found[0] == found[1]
+
+
 def test_token_files_are_flat_integers(spark):
     row = token_files.write_tokens(documents(spark), BPE).orderBy("part").first()
     tokens = np.memmap(row.path.removeprefix("file:") + ".bin", row.dtype, "r")
@@ -55,6 +64,13 @@ def test_pieces_equal_the_library(spark):
     assert pieces.decode(none, SPM).first().decoded == ""
 
 
+def test_a_word_without_a_stable_split_is_merged(monkeypatch):
+    model = pieces.PieceModel(SPM)
+    want = model.split("▁internationalization")
+    monkeypatch.setattr(model, "_relax_bpe", lambda word, last, strange: None)
+    assert model.split("▁internationalization") == want
+
+
 @pytest.mark.parametrize("word", ["▁the", "▁internationalization", "漢é▁", "", "aaaaaaa", "▁▁▁x"])
 def test_unigram_split_is_the_best_by_exhaustion(word):
     model = pieces._model(SPM, "unigram")
