@@ -32,7 +32,7 @@ GROUP = 256
 #: Shingles hashed at once, for all minimum hashes.
 BLOCK = 2048
 #: Pivots of a key in each round.
-PIVOTS = (1, 16)
+PIVOTS = (1, 2)
 _random = np.random.default_rng(20)
 _STEP = _random.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 _TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
