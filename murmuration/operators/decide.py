@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize
+from .ordering import numbered
 from .preprocessing import bin_edges, bin_index
 
 
@@ -97,3 +99,21 @@ def accumulated_effects(df: DataFrame, feature: str, predict, n_bins: int = 20)
     g = df.select(b.alias("bin"), (predict(high) - predict(low)).alias("d")).groupBy("bin").agg(F.count("*").alias("n"), F.avg("d").alias("d"))
     a = g.withColumn("a", F.sum("d").over(Window.orderBy("bin")))
     return a.select("bin", "n", (F.col("a") - F.avg("a").over(Window.partitionBy())).alias("effect"))
+
+
+def permutation_importance(df: DataFrame, id_col: str, columns: list[str], y: str, predict, score, seed: int = 0) -> DataFrame:
+    """(feature, drop): how much the score falls when one column's values are dealt out anew among the rows.
+
+    Values move from a row's place in id order to the one of its place in the order of a digest, so a rerun is the same.
+    `predict` makes the prediction column from the features by name, `score` the aggregate of truth and prediction.
+    """
+    base = df.agg(score(F.col(y), predict())).first()[0]
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    plain = numbered(df.select(id_col, y, *columns), [id_col]).withColumnRenamed("_at", "_p").drop("_n")
+    dealt = numbered(df.select(id_col, *[F.col(c).alias(f"_dealt_{c}") for c in columns]), [digest, id_col]).select(F.col("_at").alias("_p"), *[f"_dealt_{c}" for c in columns])
+    both = materialize(plain.join(dealt, "_p"), "dealt")
+    rows = []
+    for c in columns:
+        fallen = both.withColumn(c, F.col(f"_dealt_{c}")).agg(score(F.col(y), predict())).first()[0]
+        rows.append((c, float(base - fallen)))
+    return df.sparkSession.createDataFrame(rows, "feature string, drop double")

@@ -79,6 +79,16 @@ def pagerank(edges: DataFrame, damping: float = 0.85, max_iter: int = 200, tol:
     return rank.crossJoin(total).select("node", (F.col("rank") / F.col("_t")).alias("rank"))
 
 
+def katz(edges: DataFrame, alpha: float = 0.05, beta: float = 1.0, rounds: int = 20) -> DataFrame:
+    """(node, centrality): beta plus alpha times the neighbours' centralities, over some rounds."""
+    e = cut(edges.select("src", "dst"))
+    state = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("x", F.lit(0.0)))
+    for _ in range(rounds):
+        got = e.join(state.select(F.col("node").alias("src"), "x"), "src").groupBy("dst").agg(F.sum("x").alias("g"))
+        state = cut(state.join(got, F.col("node") == F.col("dst"), "left").select("node", (alpha * F.coalesce("g", F.lit(0.0)) + beta).alias("x")))
+    return state.select("node", F.col("x").alias("centrality"))
+
+
 def hits(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, hub, authority) after some rounds, each of length one."""
     e = cut(edges.select("src", "dst"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize, sized
+
 
 def frequent_itemsets(baskets: DataFrame, items: str, min_support: float = 0.1, max_size: int | None = None) -> DataFrame:
     """(items, n, support): itemsets in at least min_support of the baskets, by level-wise joins of frequent sets.
@@ -32,6 +34,32 @@ def frequent_itemsets(baskets: DataFrame, items: str, min_support: float = 0.1,
     return found.select("items", "n", (F.col("n") / float(n or 1)).alias("support"))
 
 
+def eclat(baskets: DataFrame, items: str, id_col: str, min_support: float = 0.1, max_size: int | None = None) -> DataFrame:
+    """(items, n, support): the same itemsets from the vertical form, by intersecting sets of basket ids.
+
+    A set is its rows (items, last, basket). Two sets of one prefix meet on their baskets, so an intersection is a join
+    on (prefix, basket), and no set of ids is gathered.
+    """
+    flat = materialize(baskets.select(F.col(id_col).alias("b"), F.explode(F.array_distinct(items)).alias("last")), "tids")
+    n = baskets.count()
+    least = min_support * n
+
+    def frequent(level: DataFrame) -> tuple[DataFrame, DataFrame]:
+        counts = materialize(level.groupBy("prefix", "last").agg(F.count("*").alias("n")).where(F.col("n") >= least), "counts")
+        return materialize(level.join(sized(counts.select("prefix", "last")), ["prefix", "last"], "left_semi"), "tids"), counts
+
+    level, counts = frequent(flat.select(F.array().cast("array<string>").alias("prefix"), "last", "b"))
+    found, size = counts, 1
+    while max_size is None or size < max_size:
+        x, y = level.alias("x"), level.alias("y")
+        met = x.join(y, (F.col("x.prefix") == F.col("y.prefix")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.last") < F.col("y.last")))
+        level, counts = frequent(met.select(F.concat("x.prefix", F.array("x.last")).alias("prefix"), F.col("y.last").alias("last"), F.col("x.b").alias("b")))
+        if counts.isEmpty():
+            break
+        found, size = found.unionByName(counts), size + 1
+    return found.select(F.concat("prefix", F.array("last")).alias("items"), "n", (F.col("n") / float(n or 1)).alias("support"))
+
+
 def association_rules(itemsets: DataFrame, min_confidence: float = 0.5, min_lift: float = 1.0) -> DataFrame:
     """(antecedent, consequent, support, confidence, lift) over every split of every frequent itemset."""
     multi = itemsets.where(F.size("items") > 1)
@@ -148,7 +176,7 @@ def slope_one_predict(deviations: DataFrame, ratings: DataFrame, user: str, item
 def pareto_front(df: DataFrame, objectives: list[str], id_col: str) -> DataFrame:
     """Rows that no other row dominates (all objectives are minimised).
 
-    Candidates are thinned first: a row beaten by the best row of its own partition range cannot be in the front.
+    Rows are thinned first by the 64 with the smallest sums of objectives, which beat most of the others.
     """
     distinct = df.groupBy(*objectives).agg(F.min(id_col).alias("_i"))
     best = distinct.orderBy(sum((F.col(o) for o in objectives), F.lit(0.0)), *objectives).limit(64)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fitting, matching, modelling, relational, search, streams, tabular, textual, various
+from . import fitting, growing, matching, modelling, relational, search, streams, tabular, textual, various
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual, relational, modelling, streams, various, matching, fitting, search)
+MODULES = (tabular, textual, relational, modelling, streams, various, matching, fitting, search, growing)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

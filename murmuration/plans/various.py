@@ -9,7 +9,6 @@ from ..operators import decide as dec
 from ..operators import preprocessing as pre
 from ..operators import tensors as tn
 from ..session import table
-from ..sources import generators as gen
 from .inputs import SCORED, Catalog, scored
 
 C = Catalog()
@@ -74,5 +73,3 @@ C.add("accumulated_local_effects", lambda s, d: dec.accumulated_effects(scored(s
 C.add("rbf_sampler", lambda s, d: pre.rbf_sample(scored(s, d), ["disc", "tax"], [[1.0, 2.0], [-0.5, 3.0]], [0.1, 1.2]).select("id", "rff0", "rff1"),
       f"SELECT id, cos(disc + 2 * tax + 0.1) AS rff0, cos(-0.5 * disc + 3 * tax + 1.2) AS rff1 FROM {SCORED}", "rff0 rff1")
 C.add("random_projection", lambda s, d: pre.random_projection(scored(s, d), ["q", "disc"], [[0.6, -0.8]]).select("id", "rp0"), f"SELECT id, 0.6 * q - 0.8 * disc AS rp0 FROM {SCORED}", "rp0")
-C.add("make_moons", lambda s, d: gen.make_moons(s, 1000).groupBy("label").agg(F.count("*").alias("n"), F.avg("x0").alias("x"), F.avg("x1").alias("y")))
-C.add("make_blobs", lambda s, d: gen.make_blobs(s, 1000).groupBy("label").agg(F.count("*").alias("n"), F.stddev("x0").alias("sd")))

@@ -61,3 +61,17 @@ def make_spiral(spark: SparkSession, n: int, n_arms: int = 2, noise: float = 0.1
     r = F.floor(F.col("id") / n_arms) / max(n // n_arms - 1, 1)
     t = 4 * r + 2 * math.pi / n_arms * F.col("label") + noise * normal(seed, 0)
     return rows.withColumns({"x0": r * F.cos(t), "x1": r * F.sin(t)})
+
+
+def make_classification(spark: SparkSession, n: int, n_features: int = 10, n_informative: int = 4, n_classes: int = 2, sep: float = 2.0, flip: float = 0.0, seed: int = 0) -> DataFrame:
+    """id, x0.., label: classes at corners of a cube in the first features, noise in the others, some labels flipped."""
+    corners = np.random.default_rng(seed).choice([-1.0, 1.0], size=(n_classes, n_informative))
+    for k in range(n_classes):
+        # Corners differ at least in the bits of the class's number.
+        for j in range(min(n_informative, n_classes.bit_length())):
+            corners[k, j] = 1.0 if k >> j & 1 else -1.0
+    rows = spark.range(n).withColumn("_k", (F.col("id") % n_classes).cast("int"))
+    at = lambda j: F.element_at(F.array(*[F.lit(float(v)) for v in sep * corners[:, j]]), F.col("_k") + 1)
+    rows = rows.withColumns({f"x{j}": (at(j) if j < n_informative else F.lit(0.0)) + normal(seed, j) for j in range(n_features)})
+    other = (uniform(seed, 998) * n_classes).cast("int")
+    return rows.withColumn("label", F.when(uniform(seed, 999) < flip, other).otherwise(F.col("_k"))).drop("_k")
