@@ -29,7 +29,7 @@ def _halves(s, d, by=None):
     return state
 
 
-C.add("incremental_scaler", lambda s, d: inc.scaler_table(_halves(s, d), ["q", "disc"]), f"SELECT 'q' AS feature, avg(q) AS mean, stddev_pop(q) AS sd FROM {SCORED} UNION ALL SELECT 'disc', avg(disc), stddev_pop(disc) FROM {SCORED}", "mean sd")
+C.add("incremental_scaler", lambda s, d: inc.scaler_table(_halves(s, d), ["q", "disc"]), f"SELECT 'q' AS feature, avg(q) AS mean, stddev_pop(q) AS sd FROM {SCORED} UNION ALL SELECT 'disc', avg(disc), stddev_pop(disc) FROM {SCORED}", "mean sd", digits=9)
 C.add("incremental_centroids", lambda s, d: inc.nearest_means(_halves(s, d, "label"), "label", ["q", "disc"]), f"SELECT label, avg(q) AS q, avg(disc) AS disc FROM {SCORED} GROUP BY 1", "q disc")
 C.add("incremental_pca", lambda s, d: inc.components(_halves(s, d), ["q", "disc"], 1).where("feature = 'q'").select("variance"),
       f"SELECT (x + y) / 2 + sqrt((x - y) * (x - y) / 4 + z * z) AS variance FROM (SELECT var_samp(q) AS x, var_samp(disc) AS y, covar_samp(q, disc) AS z FROM {SCORED})", "variance", digits=5)

@@ -70,10 +70,11 @@ C.add("popularity", lambda s, d: rec.popularity(ratings(s, d), "i", "r"), f"SELE
 
 
 def _als(s, d):
-    r = ratings(s, d)
+    """Ratings that are a product of a user's and an item's number: the factors have to find it."""
+    r = ratings(s, d).withColumn("r", (F.col("u") % 7 * (F.col("i") % 5)).cast("double"))
     users, items, mean = rec.alternating_least_squares(r, "u", "i", "r", 4, 4, 0.1)
     e = rec.factor_predict(r, users, items, mean, "u", "i")
-    return e.agg((F.sqrt(F.avg((F.col("r") - F.col("predicted")) ** 2)) < 0.9 * F.stddev_pop("r")).alias("fits"))
+    return e.agg((F.sqrt(F.avg((F.col("r") - F.col("predicted")) ** 2)) < 0.2 * F.stddev_pop("r")).alias("fits"))
 
 
 C.add("alternating_least_squares", _als, "SELECT true AS fits")

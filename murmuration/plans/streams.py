@@ -16,7 +16,7 @@ def ev(s, d):
 
 
 C.add("tumbling_windows", lambda s, d: online.windowed(ev(s, d), "ts", "event_type", "value", "6 hours"),
-      "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) / count(value) AS mean FROM events GROUP BY 1, 2", "total mean", digits=4)
+      "SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(28, 6))) AS DOUBLE) / count(value) AS mean FROM events GROUP BY 1, 2", "total mean", digits=8)
 C.add("session_windows", lambda s, d: online.sessions(ev(s, d), "ts", "user_id", "2 hours"),
       """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOURS THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
