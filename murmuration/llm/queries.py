@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat_format, exact_dedup, html_extract, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
+from . import chat_format, collocations, exact_dedup, html_extract, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +226,50 @@ FROM p
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+OP13_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+g AS (
+  SELECT lang, m, array_to_string(list_slice(words, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))
+),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS parts FROM f WHERE m > 1),
+k AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(parts, 1, k), ' ') AS head,
+         array_to_string(list_slice(parts, k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+),
+s AS (
+  SELECT k.lang, k.phrase, k.k, k.a, x.a AS l, y.a AS r, n,
+         CAST((1000::HUGEINT * k.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.head JOIN f y ON y.lang = k.lang AND y.phrase = k.tail JOIN n ON n.lang = k.lang
+),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, a, parts, size, unnest(range(1, m - size + 2)) AS i
+  FROM (SELECT *, unnest(range(2, m)) AS size FROM c)
+),
+d AS (SELECT lang, array_to_string(list_slice(parts, i, i + size - 1), ' ') AS phrase, max(a) AS longer FROM i GROUP BY ALL),
+r AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN d ON d.lang = b.lang AND d.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_token_files": op2_token_files,
@@ -237,6 +281,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pitman_yor_scores": op9_pitman_yor_scores,
     "op10_simhash_groups": op10_simhash_groups,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -244,4 +289,5 @@ ORACLES = {
     "op5_exact_dedup": OP5_SQL,
     "op6_chat_perspectives": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op13_collocations": OP13_SQL,
 }
