@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import chat_format, collocations, exact_dedup, html_extract, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files
+from . import chat_format, collocations, exact_dedup, html_extract, language_model, mixing, pieces, quality_rules, sharding, simhash, token_files, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,6 +226,17 @@ FROM p
 """
 
 
+def op11_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scores = toxicity.score_documents(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= toxicity.PREDICT_FROM).cast("int")
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"), "n_sentences", "worst_start", "worst_stop", "worst_score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -281,6 +292,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_pitman_yor_scores": op9_pitman_yor_scores,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_toxic_sentences": op11_toxic_sentences,
+    "op12_whitening": op12_whitening,
     "op13_collocations": op13_collocations,
 }
 
