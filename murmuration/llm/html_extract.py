@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,7 +19,7 @@ from .html_blocks import blocks, features
 from .labelled_pages import labelled_pages
 
 #: Labelled pages the model is fitted on; a fixed number, whatever the table.
-TRAINING_PAGES = 240
+TRAINING_PAGES = 800
 EPOCHS = 12
 GROUP = 64
 
@@ -31,6 +31,11 @@ class ChainModel:
     weights: dict[str, float]
     pairs: tuple[tuple[float, float], tuple[float, float]]
 
+    @cached_property
+    def names(self) -> frozenset[str]:
+        """The words of class and id that the model knows: pages need no others."""
+        return frozenset(f[5:] for f in self.weights if f.startswith("name:"))
+
     def decode(self, chain: list[list[str]]) -> list[int]:
         """The likeliest labels of a page, by Viterbi."""
         if not chain:
@@ -87,7 +92,10 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS, ra
 
 
 def training_data(count: int, seed: int) -> list[tuple[list[list[str]], list[int]]]:
-    return [([features(b) for b in blocks(html)], labels) for html, labels in labelled_pages(count, seed)]
+    """Every page as it is, and every second one also without the words of its class and id."""
+    pages = [(blocks(html), labels) for html, labels in labelled_pages(count, seed)]
+    named = [([features(b) for b in found], labels) for found, labels in pages]
+    return named + [([features(b, named=False) for b in found], labels) for found, labels in pages[::2]]
 
 
 @lru_cache(maxsize=1)
@@ -97,7 +105,7 @@ def default_model() -> ChainModel:
 
 
 def main_text(html: str | None, model: ChainModel) -> str:
-    found = blocks(html)
+    found = blocks(html, model.names)
     labels = model.decode([features(b) for b in found])
     return "\n\n".join(b.text for b, y in zip(found, labels) if y)
 

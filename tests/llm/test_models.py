@@ -1,9 +1,11 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from fixtures import document_rows, documents, empty
 from pyspark.sql import functions as F
 
@@ -227,7 +229,7 @@ def test_large_parties_are_seated_as_in_turn():
 def test_blocks_of_broken_markup():
     found = blocks("<title>t</title><body><nav><a href=x>Home</a></nav><article><h1>A &amp;  b</h1><p>one<br>two<p>three <b>four</article><script>if(a<b){}</script><footer>&copy; x")
     assert [b.text for b in found] == ["Home", "A & b", "one two", "three four", "© x"]
-    assert found[0].linked == 4 and "article" in found[2].tags and found[2].tags[-1] == "p"
+    assert found[0].linked == 4 and "article" in found[2].tags and found[2].own == "p"
     assert blocks(None) == blocks("") == blocks("<p> \n</p>") == []
 
 
@@ -252,6 +254,37 @@ def test_unknown_containers_and_parts_of_an_article():
     assert html_extract.main_text(f"<article><p>{text}</p><!-- oops <p>gone</p></article>", model) == text
 
 
+def test_notices_and_comments_of_unknown_names_go():
+    model = html_extract.default_model()
+    text = "It was a long day in the harbour, and nobody had seen the ship come in. They waited."
+    want = f"Title of it\n\n{text}\n\n{text}"
+    body = f"<h1>Title of it</h1><p>{text}</p><p>{text}</p>"
+    notice = "<div id='gdpr' role='dialog'><p>We use cookies and similar technologies to improve the site.</p><button>OK</button></div>"
+    entries = "".join(f"<div class='k'><b>{n}</b><p>{t}</p></div>" for n, t in (("Anna", "Sehr schön, danke dafür."), ("Otto", "Das finde ich nicht gut.")))
+    for page in (
+        f"{notice}<main>{body}</main>",
+        f"<main>{body}<div class='kommentare'><h3>Kommentare</h3>{entries}</div></main>",
+        f"<main>{body}<div class='kommentare'><p>Sehr schön, danke dafür. Das war es.</p><p>Das finde ich nicht gut.</p></div></main>",
+        f"<body>{notice}<div class='inhalt'>{body}</div></body>",
+    ):
+        assert html_extract.main_text(page, model) == want, page
+    plain = [c for c, _ in html_extract.training_data(60, seed=31)[60:]]
+    assert not any(f.startswith("name:") for c in plain for b in c for f in b)
+
+
+@pytest.mark.parametrize("part", ["<div class=a{}>x", "<span>y<p>x", "<div><p>x y z a b c d.</section>", "<head><body>x<i>", "<li><ul>x</b>"])
+def test_time_grows_in_proportion_to_the_page(part):
+    model = html_extract.default_model()
+
+    def seconds(n):
+        page = "".join(part.replace("{}", str(i)) for i in range(n))
+        began = time.process_time()
+        html_extract.main_text(page, model)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 4 and seconds(64_000) < 16
+
+
 def test_viterbi_is_the_best_by_exhaustion():
     from itertools import product
 
