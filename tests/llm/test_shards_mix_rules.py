@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from fixtures import document_rows, documents, empty
 
 from murmuration.llm import mixing, quality_rules, sharding
@@ -72,6 +73,29 @@ def test_mix_meets_its_targets(spark):
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
 
 
+@pytest.mark.parametrize("ids", ["own", "shared", "null"])
+def test_mixed_documents_keep_their_shares_whatever_the_ids(spark, ids):
+    name = {"own": lambda i: i, "shared": lambda i: i % 7, "null": lambda i: None}[ids]
+    source = lambda i: "A" if i < 300 else "B" if i < 400 else "C"
+    rows = [(name(i), f"w{i} " + "w " * (9 + i % 2), source(i)) for i in range(430)]
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(WORD.findall(t))
+    want = brute_targets(size)
+    got = mixing.mixed_documents(documents(spark, rows)).collect()
+    words, times = Counter(), Counter()
+    for r in got:
+        words[r.source] += len(WORD.findall(r.text))
+        times[r.text] += 1
+    assert max(times.values()) <= 3
+    assert all(abs(words[s] - t) <= 3 * 11 + 1 for s, t in want.items())
+    assert sum(words.values()) <= sum(size.values())
+    # Each row is taken a whole number of passes; within a source none is more than a pass ahead of another.
+    for s in size:
+        taken = [times[t] for _, t, x in rows if x == s]
+        assert max(taken) - min(taken) <= 1
+
+
 def test_mix_of_awkward_rows(spark):
     got = mixing.mix(documents(spark)).collect()
     text = {i: t for i, t, _ in document_rows()}
