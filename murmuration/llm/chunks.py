@@ -1,31 +1,50 @@
-"""A bounded memory of encoded words, kept by a Python worker from task to task."""
+"""A memory of encoded words, bounded in bytes, kept by a Python worker from task to task."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-#: Entries of one generation; two generations are held (some 150 bytes an entry).
+#: Entries and bytes of one generation; two generations are held.
 GENERATION = 300_000
+BYTES = 48 << 20
+#: Longer strings are encoded each time: in texts without spaces every text is a string of its own.
+LONGEST = 64
+#: What an entry takes beside its characters.
+_ENTRY = 150
 
 
 class Memory:
     """Remembers what `encode_new` gives for a string. Old entries go by generation, and are computed again if asked for."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterable[bytes]], size: int = GENERATION):
-        self.encode_new, self.size = encode_new, size
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def __init__(self, encode_new: Callable[[list], Iterable], size: int = GENERATION, most: int = BYTES):
+        self.encode_new, self.size, self.most = encode_new, size, most
+        self.young: dict = {}
+        self.old: dict = {}
+        self.bytes = 0
+        self.passing: list = []
 
-    def prepare(self, needed: set[str]) -> None:
-        """Afterwards every needed string is in the young generation."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
+    def prepare(self, needed: set) -> None:
+        """Afterwards every needed string is in the young generation, until the next call."""
+        for s in self.passing:
+            del self.young[s]
+        self.passing = []
+        if len(self.young) > self.size or self.bytes > self.most:
+            self.old, self.young, self.bytes = self.young, {}, 0
         unknown = []
         for s in needed.difference(self.young):
             known = self.old.get(s)
             if known is None:
                 unknown.append(s)
             else:
-                self.young[s] = known
-        if unknown:
-            self.young.update(zip(unknown, self.encode_new(unknown), strict=True))
+                self._keep(s, known)
+        for s, found in zip(unknown, self.encode_new(unknown) if unknown else (), strict=True):
+            if len(s) > LONGEST:
+                self.young[s] = found
+                self.passing.append(s)
+            else:
+                self._keep(s, found)
+
+    def _keep(self, s, found) -> None:
+        self.young[s] = found
+        # Characters beyond Latin-1 take up to four bytes.
+        self.bytes += _ENTRY + 4 * len(s) + (len(found) if isinstance(found, bytes) else 8)

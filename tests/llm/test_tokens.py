@@ -98,3 +98,23 @@ def test_word_memory_survives_generations():
         assert memory.young[f"w{i}"] == f"W{i}" and memory.young["often"] == "OFTEN"
     assert len(memory.young) + len(memory.old) < 30
     assert F is not None
+
+
+def test_memory_is_bounded_in_bytes_and_forgets_long_strings():
+    from murmuration.llm.chunks import LONGEST, Memory
+
+    asked = []
+
+    def encode(strings):
+        asked.extend(strings)
+        return [s.encode() for s in strings]
+
+    memory = Memory(encode, size=10_000, most=20_000)
+    for k in range(50):
+        needed = {f"word{k}-{i}" for i in range(60)} | {"x" * 5000 + str(k), "漢" * 300, "common"}
+        memory.prepare(needed)
+        assert all(memory.young[s] == s.encode() for s in needed)
+        assert memory.bytes <= 20_000 + 60 * 250
+        assert sum(len(s) > LONGEST for s in memory.young) == 2 and not any(len(s) > LONGEST for s in memory.old)
+    assert asked.count("common") < 10 and asked.count("漢" * 300) == 50
+    assert len(memory.young) + len(memory.old) < 400
