@@ -37,7 +37,9 @@ SALTS = 32
 _END = b"\xff"  # a byte that UTF-8 never has: the end of a piece
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _PLAIN = bytes(0xFF if c in _ENDS else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-INDEX = "block long, lang string, words array<string>, hashes array<bigint>, counts array<bigint>, codes binary"
+INDEX = "block long, lang string, words array<string>, counts array<bigint>, codes binary"
+#: Bits that number the rows of a partition in Spark's increasing ids.
+_ROW_BITS = 33
 
 
 class _Codes(dict):
@@ -48,27 +50,31 @@ class _Codes(dict):
         return code
 
 
-def _block(lang: str, texts: list[bytes]) -> dict:
+def word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    """What xxhash64(lang, word) gives for each word."""
     import xxhash
 
+    seed = xxhash.xxh64_intdigest(lang, 42)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64).view(np.int64)
+
+
+def _block(lang: str, texts: list[bytes]) -> dict:
     codes = _Codes({_END: 0})
     words = _END.join(texts).translate(_PLAIN).replace(_END, b" \xff ").split()
     at = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
     names = list(codes)[1:]
-    seed = xxhash.xxh64_intdigest(lang)
-    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64).view(np.int64)
     counts = np.bincount(at, minlength=len(codes))[1:]
-    return {"lang": lang, "words": [w.decode() for w in names], "hashes": hashes, "counts": counts, "codes": at.tobytes()}
+    return {"lang": lang, "words": [w.decode() for w in names], "counts": counts, "codes": at.tobytes()}
 
 
 def index(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The corpus as blocks: a vocabulary with hashes and counts, and a code for every word (0 ends a piece)."""
+    """The corpus as blocks: a vocabulary with counts, and a code for every word (0 ends a piece)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+        schema = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
         part, made, size = TaskContext.get().partitionId(), 0, 0
         open_texts: dict[str, list[bytes]] = {}
 
@@ -101,14 +107,17 @@ class Known:
     ids: list[np.ndarray]
 
 
-def known(words: np.ndarray, longer: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Known:
-    """From the hashes of words, and for each greater length the ids of (phrase before, last word, phrase)."""
-    keys = [np.sort(words)]
-    ids = [keys[0]]
+def known(words: tuple[np.ndarray, np.ndarray], longer: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Known:
+    """From the hashes and ids of words, and for each greater length the ids of (phrase before, last word, phrase)."""
+    by = np.argsort(words[0])
+    keys, ids = [words[0][by]], [words[1][by]]
+
+    def place(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        order = np.argsort(held)
+        return order[np.searchsorted(held, wanted, sorter=order)] if len(order) else np.zeros(0, np.int64)
+
     for prefix, word, own in longer:
-        order = np.argsort(ids[-1])
-        place = order[np.searchsorted(ids[-1], prefix, sorter=order)] if len(order) else np.zeros(0, np.int64)
-        key = place * len(keys[0]) + np.searchsorted(keys[0], word)
+        key = place(ids[-1], prefix) * len(keys[0]) + place(ids[0], word)
         by = np.argsort(key)
         keys.append(key[by])
         ids.append(own[by])
@@ -141,7 +150,7 @@ def extended(hashes: np.ndarray, codes: np.ndarray, frequent: Known) -> tuple[np
             phrase = _place(frequent.keys[length], key)
             at, phrase = at[phrase >= 0], phrase[phrase >= 0]
     found, lengths = np.unique(key, return_counts=True)
-    return frequent.ids[-1][found // max(n_words, 1)], frequent.keys[0][found % max(n_words, 1)], lengths
+    return frequent.ids[-1][found // max(n_words, 1)], frequent.ids[0][found % max(n_words, 1)], lengths
 
 
 def _lists(blocks: DataFrame, held, depth: int) -> DataFrame:
@@ -152,14 +161,14 @@ def _lists(blocks: DataFrame, held, depth: int) -> DataFrame:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                block, hashes, codes, *own = (batch.column(i)[row] for i in range(batch.num_columns))
+                block, lang, words, codes, *own = (batch.column(i)[row] for i in range(batch.num_columns))
                 array = lambda x: x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.zeros(0, np.int64)
                 if held is None:
                     columns = [array(x) for x in own]
-                    frequent = known(columns[0], [tuple(columns[i : i + 3]) for i in range(1, 3 * depth - 2, 3)])
+                    frequent = known((columns[0], columns[1]), [tuple(columns[i : i + 3]) for i in range(2, 3 * depth - 1, 3)])
                 else:
                     frequent = held.value
-                prefix, word, n = extended(array(hashes), np.frombuffer(codes.as_py(), np.int32), frequent)
+                prefix, word, n = extended(word_hashes(lang.as_py(), words.as_py()), np.frombuffer(codes.as_py(), np.int32), frequent)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block.as_py())), pa.array(prefix), pa.array(word), pa.array(n.astype(np.int64))], names=["block", "prefix", "word", "n"])
 
     return blocks.mapInArrow(run, "block long, prefix long, word long, n long")
@@ -167,9 +176,9 @@ def _lists(blocks: DataFrame, held, depth: int) -> DataFrame:
 
 def _own(blocks: DataFrame, levels: list[DataFrame], lists: list[DataFrame]) -> DataFrame:
     """The blocks with the frequent phrases that each of them has, length by length."""
-    out = blocks.select("block", "hashes", "codes")
-    words = blocks.select("block", F.explode("hashes").alias("id")).join(levels[0].select("id").hint("merge"), "id")
-    out = out.join(words.groupBy("block").agg(F.collect_list("id").alias("w1")), "block", "left")
+    out = blocks.select("block", "lang", "words", "codes")
+    words = blocks.select("block", "lang", F.explode("words").alias("w")).select("block", F.xxhash64("lang", "w").alias("hash")).join(levels[0].select("hash", "id").hint("merge"), "hash")
+    out = out.join(words.groupBy("block").agg(F.collect_list("hash").alias("hash1"), F.collect_list("id").alias("id1")), "block", "left")
     for k, (level, local) in enumerate(zip(levels[1:], lists), 2):
         mine = local.select("block", "prefix", "word").join(level.select("prefix", "word", "id").hint("merge"), ["prefix", "word"])
         per = mine.groupBy("block").agg(*[F.collect_list(c).alias(f"{c}{k}") for c in ("prefix", "word", "id")])
@@ -185,26 +194,40 @@ def _held(levels: list[DataFrame]):
         found = df.toArrow()
         return tuple(found.column(c).to_numpy() for c in df.columns)
 
-    words = columns(levels[0].select("id"))[0]
+    words = columns(levels[0].select("hash", "id"))
     return spark.sparkContext.broadcast(known(words, [columns(x.select("prefix", "word", "id")) for x in levels[1:]]))
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """The table written, with ids from 0 without gaps: small numbers, as the lists are full of them."""
+    rows = materialize(df.withColumn("_id", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_id", _ROW_BITS).cast("int")
+    sizes = {r.p: r.n for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    starts = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=-1) + 1))]).tolist()
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in starts]), part + 1)
+    return rows.withColumn("id", first + F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)).drop("_id")
+
+
 def frequent_phrases(blocks: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, held: int = HELD) -> DataFrame:
     """lang, phrase (space-joined), words (how many), f: every phrase of 1 to `max_words` words met `min_count` times.
 
     Counts are exact: overlapping occurrences count, none reaches over the end of a piece. Words are known by 64-bit
     hashes within a language; two words of one hash end the job with an error rather than share a count.
     """
-    entries = blocks.select("lang", F.explode(F.arrays_zip("hashes", "words", "counts")).alias("e"))
-    per = entries.groupBy("lang", F.col("e.hashes").alias("id")).agg(F.sum("e.counts").alias("f"), F.min("e.words").alias("phrase"), F.max("e.words").alias("other"))
-    alone = F.when(F.col("phrase") == F.col("other"), F.col("f")).otherwise(F.raise_error(F.lit("two words share a hash")).cast("long"))
     none = F.lit(None).cast("long")
-    levels = [materialize(per.withColumn("f", alone).where(F.col("f") >= min_count).select("id", none.alias("prefix"), none.alias("word"), "lang", "phrase", "f"), "words")]
+    entries = blocks.select("block", "lang", F.explode(F.arrays_zip("words", "counts")).alias("e")).select("block", "lang", F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
+    hashed = entries.withColumn("hash", F.xxhash64("lang", "word"))
+    check = F.crc32("word") % (1 << 16)
+    often = hashed.groupBy("hash").agg(F.sum("n").alias("f"), F.min("block").alias("block"), F.sum(F.col("n") * check).alias("checks")).where(F.col("f") >= min_count)
+    # One block tells what word a hash stands for; the sum of a second hash tells whether all others mean the same.
+    named = hashed.drop("n").join(sized(materialize(often, "counts")), ["hash", "block"])
+    alone = F.when(F.col("checks") == check * F.col("f"), F.col("word")).otherwise(F.raise_error(F.lit("two words share a hash")).cast("string"))
+    levels = [_numbered(named.select("hash", none.alias("prefix"), none.alias("word"), "lang", alone.alias("phrase"), "f"), "words")]
     sizes, lists = [levels[0].count()], []
     while sizes[-1] and len(levels) < max_words:
         if max(sizes) <= held:
             arrays = _held(levels)
-            local = _lists(blocks.select("block", "hashes", "codes"), arrays, len(levels))
+            local = _lists(blocks.select("block", "lang", "words", "codes"), arrays, len(levels))
         else:
             # The lists of earlier lengths that were counted without their blocks are joined again here.
             while len(lists) < len(levels) - 1:
@@ -215,9 +238,9 @@ def frequent_phrases(blocks: DataFrame, min_count: int = MIN_COUNT, max_words: i
             arrays = None
         counts = local.groupBy("prefix", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         before, last = levels[-1], levels[0]
-        named = counts.join(sized(before.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head")), sizes[-1]), "prefix")
-        named = named.join(sized(last.select(F.col("id").alias("word"), F.col("phrase").alias("tail")), sizes[0]), "word")
-        levels.append(materialize(named.select(F.monotonically_increasing_id().alias("id"), "prefix", "word", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), "phrases"))
+        named = counts.join(sized(before.select(F.col("id").alias("prefix"), "lang", F.col("phrase").alias("head")), 3 * sizes[-1]), "prefix")
+        named = named.join(sized(last.select(F.col("id").alias("word"), F.col("phrase").alias("tail")), 3 * sizes[0]), "word")
+        levels.append(_numbered(named.select("prefix", "word", "lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "f"), "phrases"))
         sizes.append(levels[-1].count())
         if arrays is not None:
             arrays.unpersist()
@@ -255,7 +278,7 @@ def collocations(
     cuts = candidates.select("lang", "phrase", "a", "words", "parts", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", join_words(F.lit(1), F.col("k")).alias("left"), join_words(F.col("k") + 1, F.col("words") - F.col("k")).alias("right"))
     for side, name in (("left", "l"), ("right", "r")):
-        cuts = cuts.join(sized(f.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), rows), ["lang", side])
+        cuts = cuts.join(sized(f.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), 3 * rows), ["lang", side])
     big = lambda c: F.col(c).cast("decimal(19,0)")
     scored = cuts.join(totals, "lang").withColumns({"up": (big("a") * 1000).cast("decimal(19,0)") * big("n"), "down": big("l") * big("r")}).withColumn("score", F.expr("up div down"))
     least = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.*")
