@@ -123,3 +123,31 @@ def normal_cdf_column(x: Column) -> Column:
         return _vector(normal_cdf)(x)
 
     return run(x.cast("double"))
+
+
+def digamma_array(x: np.ndarray) -> np.ndarray:
+    """The derivative of log gamma at positive values: shifted up to 10, then its asymptotic series."""
+    x = np.array(x, float)
+    out = np.zeros_like(x)
+    while True:
+        small = x < 10
+        if not small.any():
+            break
+        out = np.where(small, out - 1 / np.where(small, x, 1.0), out)
+        x = np.where(small, x + 1, x)
+    f = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f * (1 / 132)))))
+
+
+def log_gamma_array(x: np.ndarray) -> np.ndarray:
+    """Log gamma at positive values: shifted up to 16, then Stirling's series."""
+    x = np.array(x, float)
+    shift = np.zeros_like(x)
+    while True:
+        small = x < 16
+        if not small.any():
+            break
+        shift = np.where(small, shift + np.log(np.where(small, x, 1.0)), shift)
+        x = np.where(small, x + 1, x)
+    f = 1 / (x * x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - f * (1 / 360 - f * (1 / 1260 - f / 1680))) / x - shift

@@ -287,27 +287,31 @@ def meteor(df: DataFrame, id_col: str, reference: str, candidate: str, alpha: fl
     return joined.select(id_col, F.when(F.col("m") > 0, score).otherwise(0.0).alias("meteor"))
 
 
+# How letters of English sound in a metaphone key. Groups are replaced first, in this order; then each
+# letter takes the first row that has it and whose condition on the next letter holds. "" is silent; others sound as they are.
+SOUND_GROUPS = {"PH": "F", "GH": "", "TH": "0", "SH": "X", "CH": "X"}
+SOUNDS = [
+    ("AEIOU", "not first", ""),
+    ("C", "before IEY", "S"), ("C", "", "K"), ("Q", "", "K"), ("V", "", "F"), ("Z", "", "S"),
+    ("WY", "before no vowel", ""),
+]
+
+
 def metaphone(word: Column) -> Column:
-    """A consonant key of how an English word sounds."""
-    w = F.upper(F.regexp_replace(word, "[^A-Za-z]", ""))
-    w = F.regexp_replace(w, r"([^C])\1", "$1")
-    # Letter groups that sound as one.
-    for group, sound in (("PH", "F"), ("GH", ""), ("TH", "0"), ("SH", "X"), ("CH", "X")):
+    """A consonant key of how an English word sounds, by the table of sounds; a letter that the key ends in adds nothing."""
+    w = F.regexp_replace(F.upper(F.regexp_replace(word, "[^A-Za-z]", "")), r"([^C])\1", "$1")
+    for group, sound in SOUND_GROUPS.items():
         w = F.replace(w, F.lit(group), F.lit(sound))
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substr(w, i, F.lit(1)).alias("c"), F.substr(w, i + 1, F.lit(1)).alias("next")))
-
-    def add(out: Column, e: Column) -> Column:
-        c, following = e["c"], e["next"]
-        vowel_follows = (following != "") & F.contains(F.lit("AEIOU"), following)
-        soft = (following != "") & F.contains(F.lit("IEY"), following)
-        sound = (
-            F.when(c == "C", F.when(soft, "S").otherwise("K")).when(c == "Q", "K").when(c == "V", "F").when(c == "Z", "S")
-            .when(c.isin("W", "Y") & ~vowel_follows, "").otherwise(c)
-        )
-        consonant = F.when((out != "") & (F.right(out, F.lit(1)) == c), out).otherwise(F.concat(out, sound))
-        return F.when(c == "", out).when(c.isin(*"AEIOU"), F.when(e["i"] == 1, F.concat(out, c)).otherwise(out)).otherwise(consonant)
-
-    return F.when(w == "", "").otherwise(F.aggregate(at, F.lit(""), add))
+    letters = F.filter(F.split(w, ""), lambda c: c != "")
+    pairs = F.transform(letters, lambda c, i: F.struct(c.alias("c"), F.coalesce(F.get(letters, i + 1), F.lit("-")).alias("after"), i.alias("i")))
+
+    def sound_of(e: Column) -> Column:
+        holds = {
+            "": F.lit(True), "not first": e["i"] > 0, "before IEY": e["after"].isin(*"IEY"), "before no vowel": ~e["after"].isin(*"AEIOU"),
+        }
+        return F.coalesce(*[F.when(e["c"].isin(*of) & holds[when], F.lit(sound)) for of, when, sound in SOUNDS], e["c"])
+
+    return F.aggregate(pairs, F.lit(""), lambda key, e: F.when(~e["c"].isin(*"AEIOU") & F.endswith(key, e["c"]), key).otherwise(F.concat(key, sound_of(e))))
 
 
 def pattern_matches(df: DataFrame, id_col: str, text_col: str, patterns: list[str]) -> DataFrame:

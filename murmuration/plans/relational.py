@@ -11,17 +11,16 @@ from .inputs import Catalog
 
 C = Catalog()
 
-# Nations are linked if a customer of one bought from a supplier of the other in an urgent order.
-_E = """(SELECT DISTINCT a AS src, b AS dst FROM (SELECT c_nationkey AS a, s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderpriority = '1-URGENT' AND l_quantity > 48) WHERE a <> b)"""
+# Parts are linked if they stand in neighbouring lines of an order.
+_E = "(SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"
 _U = f"(SELECT src, dst FROM {_E} UNION SELECT dst, src FROM {_E})"
 _D = f"(SELECT src AS node, count(*) AS degree FROM {_U} GROUP BY 1)"
 
 
 def directed(s, d):
-    j = table(s, d, "orders").where("o_orderpriority = '1-URGENT'").join(table(s, d, "customer"), F.expr("o_custkey = c_custkey"))
-    j = j.join(table(s, d, "lineitem").where("l_quantity > 48"), F.expr("l_orderkey = o_orderkey")).join(table(s, d, "supplier"), F.expr("l_suppkey = s_suppkey"))
-    return j.where("c_nationkey <> s_nationkey").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    return lines.withColumnRenamed("l_partkey", "src").join(after, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
 
 
 def und(s, d):
@@ -29,19 +28,27 @@ def und(s, d):
 
 
 C.add("degrees", lambda s, d: gr.degrees(und(s, d)), f"SELECT * FROM {_D}")
-C.add("link_scores", lambda s, d: gr.link_scores(und(s, d)),
-      f"""SELECT a, b, count(*) AS common, sum(CASE WHEN k > 1 THEN 1 / ln(k) ELSE 0 END) AS adamic_adar, sum(1 / k) AS resource_allocation, count(*) / (max(da) + max(db) - count(*)) AS jaccard, max(da) * max(db) AS preferential_attachment
-      FROM (SELECT x.dst AS a, y.dst AS b, z.degree AS k, p.degree AS da, q.degree AS db FROM {_U} x JOIN {_U} y ON x.src = y.src AND x.dst < y.dst JOIN {_D} z ON z.node = x.src JOIN {_D} p ON p.node = x.dst JOIN {_D} q ON q.node = y.dst) GROUP BY 1, 2""",
-      "adamic_adar resource_allocation jaccard")
+_SCORES = ("adamic_adar", "resource_allocation", "jaccard", "preferential_attachment")
+C.add("link_scores", lambda s, d: gr.link_scores(und(s, d)).groupBy("a").agg(F.count("*").alias("pairs"), F.sum("common").alias("common"), *[F.sum(c).alias(c) for c in _SCORES]),
+      f"""WITH u AS MATERIALIZED (SELECT * FROM {_U}), d AS MATERIALIZED (SELECT src AS node, count(*) AS degree FROM u GROUP BY 1), p AS (
+      SELECT a, b, count(*) AS common, sum(CASE WHEN k > 1 THEN 1 / ln(k) ELSE 0 END) AS adamic_adar, sum(1 / k) AS resource_allocation FROM (SELECT x.dst AS a, y.dst AS b, z.degree AS k FROM u x JOIN u y ON x.src = y.src AND x.dst < y.dst JOIN d z ON z.node = x.src) GROUP BY 1, 2)
+      SELECT a, count(*) AS pairs, sum(common) AS common, sum(adamic_adar) AS adamic_adar, sum(resource_allocation) AS resource_allocation, sum(common / (e.degree + f.degree - common)) AS jaccard, sum(e.degree * f.degree) AS preferential_attachment
+      FROM p JOIN d e ON e.node = a JOIN d f ON f.node = b GROUP BY a""",
+      "adamic_adar resource_allocation jaccard", "pairs common preferential_attachment")
 C.add("normalized_adjacency", lambda s, d: gr.normalized_adjacency(und(s, d)),
       f"""WITH l AS (SELECT src, dst FROM {_U} UNION ALL SELECT DISTINCT src, src FROM {_U}), g AS (SELECT src AS node, count(*) AS k FROM l GROUP BY 1)
       SELECT l.src, l.dst, 1 / sqrt(a.k * b.k) AS w FROM l JOIN g a ON a.node = l.src JOIN g b ON b.node = l.dst""", "w")
-C.add("pagerank", lambda s, d: gr.pagerank(directed(s, d), max_iter=15, tol=0.0),
-      f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_E}), n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS MATERIALIZED (SELECT src AS node, count(*) AS k FROM e GROUP BY 1),
-      nn AS (SELECT count(*) AS n FROM n), r(i, node, rank) AS (SELECT 0, node, CAST(1.0 AS DOUBLE) / (SELECT n FROM nn) FROM n UNION ALL
-      SELECT i + 1, node, rank FROM (SELECT i, n.node, 0.85 * (coalesce(sum(r.rank / o.k) FILTER (e.dst = n.node), 0) + coalesce(sum(r.rank) FILTER (o.k IS NULL AND e.src IS NULL), 0) / max(nn.n)) + 0.15 / max(nn.n) AS rank
-      FROM r LEFT JOIN o ON o.node = r.node LEFT JOIN e ON e.src = r.node, n, nn WHERE i < 15 GROUP BY i, n.node))
-      SELECT node, rank / sum(rank) OVER () AS rank FROM r WHERE i = 15""", "rank")
+
+
+def _pagerank_sql(rounds):
+    steps = [f"e AS MATERIALIZED (SELECT * FROM {_E})", "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e)", "o AS MATERIALIZED (SELECT src AS node, count(*) AS k FROM e GROUP BY 1)", "nn AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM n)", "r0 AS (SELECT node, 1 / n AS rank FROM n, nn)"]
+    for i in range(rounds):
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT n.node, 0.85 * (coalesce(x, 0) + lost / n) + 0.15 / n AS rank FROM n LEFT JOIN (SELECT e.dst, sum(rank / k) AS x FROM e JOIN r{i} r ON r.node = e.src JOIN o ON o.node = e.src GROUP BY 1) g ON g.dst = n.node,
+          (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} r ANTI JOIN o ON o.node = r.node), nn)""")
+    return f"WITH {', '.join(steps)} SELECT node, rank / sum(rank) OVER () AS rank FROM r{rounds}"
+
+
+C.add("pagerank", lambda s, d: gr.pagerank(directed(s, d), max_iter=15, tol=0.0), _pagerank_sql(15), "rank", digits=9)
 
 
 def _hits_sql(rounds):
@@ -62,23 +69,23 @@ def _labels_sql(rounds):
 C.add("hits", lambda s, d: gr.hits(directed(s, d), 5), _hits_sql(5), "hub authority")
 C.add("label_propagation", lambda s, d: gr.label_propagation(und(s, d), 4), _labels_sql(4))
 C.add("modularity", lambda s, d: gr.modularity(und(s, d), _regions(s, d)),
-      f"""WITH m AS (SELECT a.n_regionkey AS x, b.n_regionkey AS y FROM {_U} JOIN nation a ON src = a.n_nationkey JOIN nation b ON dst = b.n_nationkey), t AS (SELECT count(*)::DOUBLE AS m2 FROM m)
+      f"""WITH m AS (SELECT a.p_brand AS x, b.p_brand AS y FROM {_U} JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey), t AS (SELECT count(*)::DOUBLE AS m2 FROM m)
       SELECT sum(i / m2 - power(k / m2, 2)) AS modularity FROM (SELECT x, count(*) AS k, sum(CASE WHEN x = y THEN 1 ELSE 0 END) AS i FROM m GROUP BY 1), t""", "modularity")
 C.add("degree_assortativity", lambda s, d: gr.assortativity(und(s, d)),
       f"SELECT coalesce(corr(a.degree, b.degree), 0) AS assortativity FROM {_U} JOIN {_D} a ON src = a.node JOIN {_D} b ON dst = b.node", "assortativity")
 C.add("triangles", lambda s, d: gr.triangles(und(s, d)),
       f"""WITH t AS (SELECT x.src AS node, count(*) / 2 AS t FROM {_U} x JOIN {_U} y ON x.src = y.src AND x.dst <> y.dst JOIN {_U} z ON z.src = x.dst AND z.dst = y.dst GROUP BY 1)
       SELECT g.node, coalesce(t, 0) AS triangles, CASE WHEN degree > 1 THEN 2 * coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END AS clustering FROM {_D} g LEFT JOIN t USING (node)""", "clustering", "triangles")
-C.add("shortest_paths", lambda s, d: gr.shortest_paths(und(s, d), table(s, d, "nation").where("n_nationkey IN (0, 7)").select(F.col("n_nationkey").alias("node"))).withColumn("depth", F.col("depth").cast("long")),
-      f"""WITH RECURSIVE p(source, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey IN (0, 7) UNION SELECT source, dst, depth + 1 FROM p JOIN {_U} ON src = node WHERE depth < 8)
+C.add("shortest_paths", lambda s, d: gr.shortest_paths(und(s, d), table(s, d, "part").where("p_partkey IN (1, 8)").select(F.col("p_partkey").alias("node"))).withColumn("depth", F.col("depth").cast("long")),
+      f"""WITH RECURSIVE p(source, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1, 8) UNION SELECT source, dst, depth + 1 FROM p JOIN {_U} ON src = node WHERE depth < 8)
       SELECT source, node, min(depth) AS depth FROM p GROUP BY 1, 2""", "", "depth")
 C.add("weisfeiler_lehman", lambda s, d: gr.weisfeiler_lehman(und(s, d), _regions(s, d), 1).withColumn("round", F.col("round").cast("long")),
-      f"""WITH l AS (SELECT n_nationkey AS node, CAST(n_regionkey AS VARCHAR) AS label FROM nation), a AS (SELECT src AS node, string_agg(label, ',' ORDER BY label) AS around FROM {_U} JOIN l ON l.node = dst GROUP BY 1)
+      f"""WITH l AS (SELECT p_partkey AS node, p_brand AS label FROM part), a AS (SELECT src AS node, string_agg(label, ',' ORDER BY label) AS around FROM {_U} JOIN l ON l.node = dst GROUP BY 1)
       SELECT node, 0 AS round, label FROM l UNION ALL SELECT node, 1, md5(label || CASE WHEN around IS NULL THEN '' ELSE '|' || around END) FROM l LEFT JOIN a USING (node)""", "", "round")
 
 
 def _regions(s, d):
-    return table(s, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("label"))
 
 
 # Baskets: the part brands of an order.

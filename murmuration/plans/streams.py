@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import recurrence as rc
 from ..session import table
 from ..streaming import online
 from .inputs import Catalog
@@ -52,7 +53,7 @@ C.add("page_hinkley", _detected(online.PageHinkley(threshold=150.0)), _fold(
     "CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS low",
     "n + 1 AS n1, mean + (x - mean) / (n + 1) AS mean1, total + x - mean1 - 0.005 AS total1, least(low, total1) AS low1",
     _reset(n="0", mean="0", total="0", low="0"), ("n1 >= 30 AND total1 - low1 > 150", "false")))
-C.add("online_smoothing", _detected(online.Smoothing()), _fold(
+C.add("online_smoothing", lambda s, d: rc.simple_smoothing(ev(s, d), "value", ["ts", "event_id"], ["event_type"]).select("event_id", (F.abs(F.col("value") - F.col("fitted")) > 100).alias("flag")), _fold(
     "CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS level", "n + 1 AS n1, CASE WHEN n = 0 THEN x ELSE 0.3 * x + 0.7 * level END AS level1",
     "n1 AS n, level1 AS level", ("n > 0 AND abs(x - level) > 100", "false")))
 C.add("error_rate_drift", _detected(online.ErrorRate(), "CASE WHEN value > 80 THEN 1.0D ELSE 0.0D END"), _fold(
@@ -63,11 +64,11 @@ C.add("error_distance_drift", _detected(online.ErrorDistance(), "CASE WHEN value
     "CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS er, CAST(0 AS BIGINT) AS la, CAST(0 AS DOUBLE) AS mean, CAST(0 AS DOUBLE) AS m2, CAST(0 AS DOUBLE) AS wide",
     "n + 1 AS n1, CASE WHEN x > 0 THEN er + 1 ELSE er END AS er1, CASE WHEN x > 0 THEN n1 ELSE la END AS la1, CAST(n1 - la AS DOUBLE) AS gap, CASE WHEN x > 0 THEN mean + (gap - mean) / er1 ELSE mean END AS mean1, CASE WHEN x > 0 THEN m2 + (gap - mean) * (gap - mean1) ELSE m2 END AS m21, x > 0 AND er1 >= 30 AS ready, CASE WHEN ready THEN mean1 + 2 * sqrt(greatest(m21, 0) / er1) ELSE 0 END AS sc, greatest(wide, sc) AS wide1",
     _reset(n="0", er="0", la="0", mean="0", m2="0", wide="0"), ("ready AND sc / (wide1 + 1e-12) < 0.9", "false"), value=f"CAST({_WRONG} AS DOUBLE)"))
-C.add("local_level_filter", _detected(online.LocalLevel()), _fold(
+C.add("local_level_filter", lambda s, d: rc.local_level(ev(s, d), "value", ["ts", "event_id"], ["event_type"]).select("event_id", F.col("level").alias("flag")), _fold(
     "CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS spread",
     "(spread + 1) / (spread + 11) AS gain, CASE WHEN n = 0 THEN x ELSE level + gain * (x - level) END AS level1, CASE WHEN n = 0 THEN 10 ELSE (1 - gain) * (spread + 1) END AS spread1",
     "n + 1 AS n, level1 AS level, spread1 AS spread", ("level1", "CAST(0 AS DOUBLE)")), "flag")
-C.add("adaptive_coverage", _detected(online.AdaptiveCoverage(), "CASE WHEN value > 80 THEN 1.0D ELSE 0.0D END"),
+C.add("adaptive_coverage", lambda s, d: rc.adaptive_coverage(ev(s, d).withColumn("missed", F.col("value") > 80), "missed", ["ts", "event_id"], ["event_type"]).select("event_id", F.col("alpha").alias("flag")),
       f"SELECT event_id, 0.1 + 0.05 * sum(0.1 - {_WRONG}) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS flag FROM events", "flag")
 C.add("online_moments", lambda s, d: online.moment_flags(ev(s, d), "event_type", "value", ["ts", "event_id"], 2.0).select("event_id", "flag"),
       """SELECT event_id, coalesce(n >= 30 AND abs(value - m) > 2 * sd, false) AS flag FROM (SELECT event_id, value, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd
