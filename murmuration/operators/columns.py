@@ -93,3 +93,12 @@ def check_table(df: DataFrame, columns: list[str], allow_nan: bool = False) -> D
     if typed.agg(F.sum(bad)).first()[0]:
         raise ValueError("the columns hold infinite or missing values")
     return typed
+
+
+def draw(*parts) -> Column:
+    """An even draw in [0, 1) that depends on the parts alone: the first 52 bits of an MD5 digest of their texts.
+
+    Any engine with MD5 draws the same. Nulls are left out of the text.
+    """
+    text = F.concat_ws(":", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / float(1 << 52)

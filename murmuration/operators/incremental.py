@@ -7,7 +7,7 @@ either way the model is the one that the whole data gives.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
@@ -64,6 +64,40 @@ def nearest_means(state: DataFrame, by: str, columns: list[str]) -> DataFrame:
     return state.select(by, *[(F.col(f"s{i}") / F.col("n")).alias(c) for i, c in enumerate(columns)])
 
 
+def naive_bayes(state: DataFrame, by: str, columns: list[str], smooth: float = 1e-9) -> Column:
+    """The likeliest class of a row, from the sums of each class: independent normal columns, least class of equal ones.
+
+    Variances are raised by `smooth` times the greatest variance of a column over all classes.
+    """
+    rows = state.where(F.col(by).isNotNull()).orderBy(by).collect()
+    total = sum(r["n"] for r in rows)
+    d = len(columns)
+    whole = {k: sum(r[k] for r in rows) for r in rows[:1] for k in r.asDict() if k != by}
+    floor = smooth * max(np.diag(moments(whole, d)[2])) if rows else 0.0
+    scores = []
+    for r in rows:
+        n, mean, cov = moments(r, d)
+        score = F.lit(float(np.log(n / total)))
+        for c, m, v in zip(columns, mean, np.diag(cov) + floor):
+            score = score - (F.col(c) - float(m)) ** 2 / (2 * float(v)) - 0.5 * float(np.log(2 * np.pi * v))
+        scores.append(F.struct((-score).alias("s"), F.lit(r[by]).alias("c")))
+    return F.array_min(F.array(*scores))["c"] if scores else F.lit(None).cast(state.schema[by].dataType)
+
+
+def grow_stream(stream: DataFrame, columns: list[str], by: str | None, checkpoint: str, held: dict):
+    """Adds every micro-batch of a stream to the sums in held["state"]; the running query.
+
+    A micro-batch that is given again after a failure is told by its number and not added twice.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        if number > held.get("batch", -1):
+            held["state"] = grow(held.get("state"), sums(batch, columns, by), by)
+            held["batch"] = number
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def mini_batch_k_means(batches: list[DataFrame], columns: list[str], start: list[list[float]]) -> list[list[float]]:
     """Centres moved by each batch towards the mean of its rows, by the share of all rows a centre has seen."""
     points, seen = [list(p) for p in start], [0] * len(start)

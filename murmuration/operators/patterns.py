@@ -14,23 +14,25 @@ def frequent_itemsets(baskets: DataFrame, items: str, min_support: float = 0.1,
     Level k joins each basket's frequent (k-1)-sets with its frequent larger items, so only candidates with a frequent
     prefix are ever made, and counts are summed where they arise.
     """
-    df = baskets.select(F.monotonically_increasing_id().alias("_b"), F.array_distinct(items).alias("_i")).persist()
+    # Written, so that a basket keeps its number whatever is lost.
+    df = materialize(baskets.select(F.monotonically_increasing_id().alias("_b"), F.array_distinct(items).alias("_i")), "baskets")
     n = df.count()
     flat = df.select("_b", F.explode("_i").alias("item"))
     least = min_support * n
-    single = flat.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = flat.join(F.broadcast(single.select("item")), "item", "left_semi").persist()
+    single = materialize(flat.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least), "counts")
+    kept = materialize(flat.join(sized(single.select("item")), "item", "left_semi"), "items")
     level = kept.select("_b", F.array("item").alias("items"))
     found = single.select(F.array("item").alias("items"), "n")
     size = 1
     while max_size is None or size < max_size:
         grown = level.join(kept, "_b").where(F.col("item") > F.element_at("items", -1)).select("_b", F.concat("items", F.array("item")).alias("items"))
-        counts = grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least).persist()
-        if not counts.limit(1).count():
+        counts = materialize(grown.groupBy("items").agg(F.count("*").alias("n")).where(F.col("n") >= least), "counts")
+        some = counts.count()
+        if not some:
             break
-        found = found.unionByName(counts)
-        level = grown.join(F.broadcast(counts.select("items")), "items", "left_semi").persist()
-        size += 1
+        found, size = found.unionByName(counts), size + 1
+        if max_size is None or size < max_size:
+            level = materialize(grown.join(sized(counts.select("items"), some), "items", "left_semi"), "sets")
     return found.select("items", "n", (F.col("n") / float(n or 1)).alias("support"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import materialize
+from .columns import draw
 
 
 def item_similarity(ratings: DataFrame, user: str, item: str, rating: str) -> DataFrame:
@@ -40,7 +41,7 @@ def popularity(ratings: DataFrame, item: str, rating: str, prior: float = 10.0)
 
 
 def _start(keys: DataFrame, rank: int, seed: int) -> DataFrame:
-    values = [(F.pmod(F.xxhash64(F.lit(seed + f), "k"), F.lit(1_000_003)) / 1_000_003.0 - 0.5).alias(f"v{f}") for f in range(rank)]
+    values = [(draw(seed, f, F.col("k")) - 0.5).alias(f"v{f}") for f in range(rank)]
     return keys.select("k", F.array(*values).alias("f"))
 
 

@@ -169,8 +169,8 @@ def recurrence(
     return folded.mapInArrow(apply, f"{schema}, `{out}` array<double>")
 
 
-def _with_starts(df: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
-    """The rows with the state their series starts from; starts: a row for each series."""
+def with_groups(df: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with the columns of their series; starts: a row for each series. Null keys are series, too."""
     if not by:
         return df.crossJoin(F.broadcast(starts))
     named = starts.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[c for c in starts.columns if c not in by])
@@ -200,7 +200,7 @@ def simple_smoothing(df: DataFrame, value: str, order: list, by: list[str], alph
     Rows without a value are left out.
     """
     rows = _known(df, value)
-    rows = _with_starts(rows, _first_values(rows, value, order, by, 1), by)
+    rows = with_groups(rows, _first_values(rows, value, order, by, 1), by)
     keep = 1.0 - alpha
     found = recurrence(rows, order, by, [[keep, 0], [1, 0]], [[alpha], [0]], [F.col(value)], F.concat("_x", F.array(F.lit(0.0))), out="_state")
     return found.withColumns({"level": F.col("_state")[0], "fitted": F.col("_state")[1]}).drop("_state", "_x")
@@ -216,7 +216,7 @@ def holt(df: DataFrame, value: str, order: list, by: list[str], alpha: float = 0
     starts = _first_values(rows, value, order, by, 2)
     x = F.col("_x")
     begin = F.array(x[0], F.when(F.size(x) > 1, F.try_element_at(x, F.lit(2)) - x[0]).otherwise(0.0), F.lit(0.0))
-    rows = _with_starts(rows, starts.select(*by, begin.alias("_x")), by)
+    rows = with_groups(rows, starts.select(*by, begin.alias("_x")), by)
     ahead = np.array([1.0, phi, 0.0])  # level plus damped trend
     level = (1 - alpha) * ahead
     trend = beta * (level - [1, 0, 0]) + [0, (1 - beta) * phi, 0]
@@ -254,7 +254,7 @@ def holt_winters(
     a[2] = ahead + old
     a[np.arange(3, d - 1), np.arange(4, d)] = 1
     a[d - 1], b[d - 1] = (1 - gamma) * old - gamma * a[0], gamma * (1 - alpha)
-    found = recurrence(_with_starts(rows, starts, by), order, by, a, b, [F.col(value)], x, out="_state")
+    found = recurrence(with_groups(rows, starts, by), order, by, a, b, [F.col(value)], x, out="_state")
     return found.withColumns({"level": F.col("_state")[0], "trend": F.col("_state")[1], "fitted": F.col("_state")[2], "seasonal": F.col("_state")[d - 1], "seasons": F.slice("_state", 4, m)}).drop("_state", "_x")
 
 
@@ -288,7 +288,7 @@ def autoregression(df: DataFrame, value: str, order: list, by: list[str], p: int
     Sums of products are aggregated by series; series whose lags are collinear get the solution of least norm.
     """
     centre = _known(df, value).groupBy(*by).agg(F.avg(value).alias("_mean"))
-    rows = _with_starts(_known(df, value), centre, by).withColumn("_c", F.col(value).cast("double") - F.col("_mean"))
+    rows = with_groups(_known(df, value), centre, by).withColumn("_c", F.col(value).cast("double") - F.col("_mean"))
     used = lags(rows, "_c", order, by, p).where(F.col("_at") >= p)
     terms = [F.col("lags")[i] for i in range(p)] + [F.col("_c")]
     sums = used.groupBy(*by, F.col("_mean").alias("mean")).agg(
@@ -363,7 +363,7 @@ def kalman_filter(df: DataFrame, values: list[str], order: list, by: list[str],
 def local_level(df: DataFrame, value: str, order: list, by: list[str], walk: float = 1.0, noise: float = 10.0) -> DataFrame:
     """Adds level: the filtered level of a random walk seen through noise; a series starts at its first value."""
     rows = _known(df, value)
-    rows = _with_starts(rows, _first_values(rows, value, order, by, 1), by)
+    rows = with_groups(rows, _first_values(rows, value, order, by, 1), by)
     gains, _ = kalman_gains(1.0, 1.0, walk, noise, noise)
     k = np.append(0.0, gains.ravel())
     placed = numbered(rows, order, by).withColumn("_kind", F.least("_at", F.lit(len(k) - 1)).cast("int")).drop("_at", "_n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..store import materialize
+from .columns import draw
 from .gaussian import weighted_least_squares
 from .learners import knn
 
@@ -19,9 +20,9 @@ def smote(df: DataFrame, id_col: str, label: str, rare, columns: list[str], k: i
     near = knn(own, own, "id", "v", k).select("q", "id", "rank")
     made = own.select(F.col("id").alias("q"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
     count = near.groupBy("q").agg(F.count("*").alias("n"))
-    pick = (F.pmod(F.xxhash64(F.lit(seed), "q", "copy"), F.col("n")) + 1).cast("int")
+    pick = (F.floor(draw(seed, "pick", F.col("q"), F.col("copy")) * F.col("n")) + 1).cast("int")
     chosen = made.join(count, "q").withColumn("rank", pick).join(near, ["q", "rank"])
-    share = F.pmod(F.xxhash64(F.lit(seed + 1), "q", "copy"), F.lit(1_000_000)) / 1_000_000.0
+    share = draw(seed, "share", F.col("q"), F.col("copy"))
     placed = chosen.join(own.withColumnRenamed("v", "nv"), "id").withColumn("share", share)
     values = [(F.col("qv")[i] + F.col("share") * (F.col("nv")[i] - F.col("qv")[i])).alias(c) for i, c in enumerate(columns)]
     return placed.select(F.col("q").alias(id_col), "copy", F.col("id").alias("neighbour"), "share", *values)
@@ -69,7 +70,7 @@ def tomek_links(df: DataFrame, id_col: str, label: str, vector: str) -> DataFram
 
 def bootstrap_counts(df: DataFrame, id_col: str, bags: int, seed: int = 0) -> DataFrame:
     """(rows..., bag, times): how often each row is drawn into each bag, Poisson of mean one by hash; 0 is out of bag."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "bag", id_col), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = draw(seed, F.col("bag"), F.col(id_col))
     times, chance, total = F.lit(0), 0.36787944117144233, 0.0
     for n in range(1, 9):
         total += chance

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..store import materialize
 from .ordering import numbered, running
+from .recurrence import with_groups
 
 
 def difference(df: DataFrame, value: str, order: list, by: list[str], d: int = 1, out: str = "diff") -> DataFrame:
@@ -107,10 +108,10 @@ def jarque_bera(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def cusum(df: DataFrame, value: str, order: list, by: list[str], drift: float = 0.0) -> DataFrame:
     """(by..., at, peak, change): the place of the largest cumulative deviation, and whether it passes 4 sd sqrt(n)."""
-    every = Window.partitionBy(*by)
-    w = every.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    c = df.withColumn("_d", F.col(value) - F.avg(value).over(every) - drift).withColumns({"_s": F.sum("_d").over(w), "_i": F.row_number().over(every.orderBy(*order)) - 1})
-    g = c.groupBy(*by).agg(F.max(F.abs("_s")).alias("peak"), F.stddev_pop(value).alias("_sd"), F.count("*").alias("_n"), F.max_by("_i", F.abs("_s")).alias("at"))
+    stats = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    centred = with_groups(df, stats, by).withColumns({"_d": F.col(value) - F.col("_mean") - drift, "_one": F.lit(1).cast("long")})
+    c = running(centred, order, {"_s": "_d", "_i": "_one"}, by)
+    g = c.groupBy(*by).agg(F.max(F.abs("_s")).alias("peak"), F.first("_sd").alias("_sd"), F.count("*").alias("_n"), (F.max_by("_i", F.abs("_s")) - 1).alias("at"))
     return g.select(*by, "at", "peak", (F.col("peak") > 4 * F.col("_sd") * F.sqrt("_n")).alias("change"))
 
 
@@ -138,24 +139,26 @@ def zero_crossing_rate(df: DataFrame, value: str, order: list, by: list[str], fr
 def life_table(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
     """(by..., time, d, c, n): events, all exits and the number at risk at every distinct time."""
     g = df.groupBy(*by, F.col(duration).alias("time")).agg(F.sum(F.col(event).cast("long")).alias("d"), F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("n", F.sum("c").over(w))
+    gone = running(g, ["time"], {"_upto": "c"}, by, totals=True)
+    return gone.withColumn("n", F.col("_upto_all") - F.col("_upto") + F.col("c")).drop("_upto", "_upto_all")
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
     """(by..., time, d, n, survival, variance): the product of 1 - d/n and Greenwood's variance."""
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    t = life_table(df, duration, event, by).where("d > 0")
-    over = F.max((F.col("d") == F.col("n")).cast("int")).over(w)
-    s = F.when(over == 1, 0.0).otherwise(F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n")))).over(w)))
-    g = F.coalesce(F.sum(F.when(F.col("d") < F.col("n"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d"))))).over(w), F.lit(0.0))
-    return t.select(*by, "time", "d", "n", s.alias("survival"), (s * s * g).alias("variance"))
+    t = life_table(df, duration, event, by).where("d > 0").drop("c")
+    left, all_gone = F.col("n") - F.col("d"), F.col("d") == F.col("n")
+    terms = t.withColumns({
+        "_log": F.when(~all_gone, F.ln(left / F.col("n"))).otherwise(0.0), "_over": all_gone.cast("long"),
+        "_var": F.when(~all_gone, F.col("d") / (F.col("n") * left)).otherwise(0.0),
+    })
+    sums = running(terms, ["time"], {"_logs": "_log", "_ended": "_over", "_vars": "_var"}, by)
+    s = F.when(F.col("_ended") > 0, 0.0).otherwise(F.exp("_logs"))
+    return sums.select(*by, "time", "d", "n", s.alias("survival"), (s * s * F.col("_vars")).alias("variance"))
 
 
 def nelson_aalen(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    t = life_table(df, duration, event, by).where("d > 0")
-    return t.select(*by, "time", F.sum(F.col("d") / F.col("n")).over(w).alias("hazard"))
+    t = life_table(df, duration, event, by).where("d > 0").withColumn("_h", F.col("d") / F.col("n"))
+    return running(t, ["time"], {"hazard": "_h"}, by).select(*by, "time", "hazard")
 
 
 def aalen_johansen(df: DataFrame, duration: str, cause: str, of: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialize, sized
 from .strings import subsequence_length
 
 TOKEN = r"(?U)\b\w\w+\b"
@@ -59,11 +60,11 @@ def vocabulary(tf: DataFrame) -> DataFrame:
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, smooth: bool = True, norm: str | None = "l2", **options) -> DataFrame:
     """(id, term, weight): tf * (ln((n + s) / (df + s)) + 1), each document scaled to length one."""
-    tf = count_terms(df, id_col, text_col, **options)
-    s = 1 if smooth else 0
-    n = F.broadcast(df.agg(F.count("*").alias("_n")))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(n).select("term", (F.ln((F.col("_n") + s) / (F.col("df") + s)) + 1).alias("idf"))
-    weighed = tf.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    # Counted once, and written: frequencies, weights and lengths read the table of terms, not the texts.
+    tf = materialize(count_terms(df, id_col, text_col, **options), "terms")
+    s, n = 1 if smooth else 0, df.count()
+    idf = materialize(tf.groupBy("term").agg(F.count("*").alias("df")).select("term", (F.ln((n + s) / (F.col("df") + s)) + 1).alias("idf")), "idf")
+    weighed = tf.join(sized(idf), "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("weight"))
     if norm is None:
         return weighed
     w = Window.partitionBy(id_col)
@@ -81,18 +82,17 @@ def hashed_terms(df: DataFrame, id_col: str, text_col: str, n_features: int = 1
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, id, score): all documents that share a term with a query, scored; join and sum, no pair without a term."""
-    tf = count_terms(docs, id_col, text_col)
-    stats = tokens(docs, id_col, text_col).groupBy(id_col).agg(F.count("*").alias("len"))
-    lengths = docs.select(id_col).join(stats, id_col, "left").select(id_col, F.coalesce("len", F.lit(0)).alias("len"))
-    mean = F.broadcast(lengths.agg(F.avg("len").alias("_avg"), F.count("*").alias("_n")))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = tokens(queries, query_id, query_text).select(query_id, "term")
-    weight = F.ln((F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("_avg")))
-    return (
-        tf.join(asked, "term").join(idf, "term").join(lengths, id_col).crossJoin(mean)
-        .groupBy(query_id, id_col).agg(F.sum(weight * gain).alias("score"))
-    )
+    tf = materialize(count_terms(docs, id_col, text_col), "terms")
+    n, total = docs.count(), tf.agg(F.sum("tf")).first()[0] or 0
+    asked = materialize(tokens(queries, query_id, query_text).select(query_id, "term"), "asked")
+    # Only the queries' terms and the documents that have one of them are looked at from here on.
+    wanted = asked.select("term").distinct()
+    found = materialize(tf.join(sized(wanted), "term"), "found")
+    idf = found.groupBy("term").agg(F.count("*").alias("df")).select("term", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    lengths = tf.groupBy(id_col).agg(F.sum("tf").alias("len"))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (total / n if total else 1.0)))
+    gains = found.join(sized(lengths, n), id_col).join(sized(idf), "term").select("term", id_col, (F.col("idf") * gain).alias("_g"))
+    return gains.join(sized(asked), "term").groupBy(query_id, id_col).agg(F.sum("_g").alias("score"))
 
 
 def top_per_query(scores: DataFrame, query_id: str, id_col: str, k: int) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import fitting, growing, matching, mining, modelling, recurrences, relational, search, streams, tabular, textual, various
+from . import effects, fitting, growing, matching, mining, modelling, recurrences, relational, search, streams, tabular, textual, various
 
 FLAGSHIP = "target_encode_mestimate"
-MODULES = (tabular, textual, relational, modelling, streams, various, matching, fitting, search, growing, recurrences, mining)
+MODULES = (tabular, textual, relational, modelling, streams, various, matching, fitting, search, growing, recurrences, mining, effects)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

@@ -31,6 +31,10 @@ def _halves(s, d, by=None):
 
 C.add("incremental_scaler", lambda s, d: inc.scaler_table(_halves(s, d), ["q", "disc"]), f"SELECT 'q' AS feature, avg(q) AS mean, stddev_pop(q) AS sd FROM {SCORED} UNION ALL SELECT 'disc', avg(disc), stddev_pop(disc) FROM {SCORED}", "mean sd", digits=9)
 C.add("incremental_centroids", lambda s, d: inc.nearest_means(_halves(s, d, "label"), "label", ["q", "disc"]), f"SELECT label, avg(q) AS q, avg(disc) AS disc FROM {SCORED} GROUP BY 1", "q disc")
+C.add("incremental_naive_bayes", lambda s, d: scored(s, d).select("q", "disc").distinct().withColumn("predicted", inc.naive_bayes(_halves(s, d, "label"), "label", ["q", "disc"])),
+      f"""WITH t AS (SELECT label, count(*) AS n, avg(q) AS mq, var_pop(q) AS vq, avg(disc) AS md, var_pop(disc) AS vd FROM {SCORED} GROUP BY 1), f AS (SELECT 1e-9 * greatest(var_pop(q), var_pop(disc)) AS f, count(*) AS total FROM {SCORED}),
+      s AS (SELECT x.q, x.disc, label, ln(n / total) - power(x.q - mq, 2) / (2 * (vq + f)) - 0.5 * ln(2 * pi() * (vq + f)) - power(x.disc - md, 2) / (2 * (vd + f)) - 0.5 * ln(2 * pi() * (vd + f)) AS s FROM (SELECT DISTINCT q, disc FROM {SCORED}) x, t, f)
+      SELECT q, disc, arg_max(label, s) AS predicted FROM s GROUP BY 1, 2""")
 C.add("incremental_pca", lambda s, d: inc.components(_halves(s, d), ["q", "disc"], 1).where("feature = 'q'").select("variance"),
       f"SELECT (x + y) / 2 + sqrt((x - y) * (x - y) / 4 + z * z) AS variance FROM (SELECT var_samp(q) AS x, var_samp(disc) AS y, covar_samp(q, disc) AS z FROM {SCORED})", "variance", digits=5)
 

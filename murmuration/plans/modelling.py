@@ -121,9 +121,18 @@ C.add("dbscan", lambda s, d: ml.grid_dbscan(table(s, d, "part").selectExpr("p_pa
       f"""WITH RECURSIVE p AS MATERIALIZED (SELECT p_partkey AS i, p_size::DOUBLE AS x, p_retailprice / 20 AS y FROM part), e AS MATERIALIZED {_NEAR}, k AS MATERIALIZED (SELECT id FROM e GROUP BY 1 HAVING count(*) >= 4),
       ke AS MATERIALIZED (SELECT e.id, other FROM e JOIN k ON k.id = e.id JOIN k j ON j.id = e.other), r(id, root) AS (SELECT id, id FROM k UNION SELECT ke.other, r.root FROM r JOIN ke ON ke.id = r.id), l AS (SELECT id, min(root) AS c FROM r GROUP BY 1),
       b AS (SELECT e.other AS id, min(c) AS c FROM e JOIN l ON l.id = e.id GROUP BY 1) SELECT p.i AS id, coalesce(l.c, b.c) AS cluster FROM p LEFT JOIN l ON l.id = p.i LEFT JOIN b ON b.id = p.i""")
-C.add("decision_tree", lambda s, d: (lambda df: met.regression(df.withColumn("pr", ml.fit_tree(df, NUM, -F.col("price"), F.lit(1.0), 3, 32, 0.0).column()), "price", "pr").select("r2", "mae"))(scored(s, d)))
+def _stump(s, d):
+    df = scored(s, d).withColumn("t", F.col("q") * F.col("disc"))
+    return df.withColumn("predicted", ml.fit_tree(df, ["disc", "tax"], -F.col("t"), F.lit(1.0), 1, 32, 0.0).column()).groupBy("disc").agg(F.max("predicted").alias("predicted"), F.min("predicted").alias("least"))
+
+
+# The best split of either feature: the greatest sum of squared sums over sizes of the two sides.
+C.add("decision_tree", _stump, f"""WITH d AS MATERIALIZED (SELECT disc, tax, q * disc AS t FROM {SCORED}), v AS (SELECT disc AS x, 'disc' AS f, t FROM d UNION ALL SELECT tax, 'tax', t FROM d), g AS (SELECT f, x, sum(t) AS s, count(*) AS n FROM v GROUP BY 1, 2),
+      c AS (SELECT f, x, sum(s) OVER w - s AS sl, sum(n) OVER w - n AS nl, sum(s) OVER (PARTITION BY f) AS sa, sum(n) OVER (PARTITION BY f) AS na FROM g WINDOW w AS (PARTITION BY f ORDER BY x)),
+      b AS (SELECT arg_max(f, k) AS f, arg_max(x, k) AS x, arg_max(sl / nl, k) AS low, arg_max((sa - sl) / (na - nl), k) AS high FROM (SELECT *, sl * sl / nl + (sa - sl) * (sa - sl) / (na - nl) AS k FROM c WHERE nl > 0))
+      SELECT disc, max(p) AS predicted, min(p) AS least FROM (SELECT d.disc, CASE WHEN CASE WHEN f = 'disc' THEN d.disc ELSE tax END < x THEN low ELSE high END AS p FROM d, b) GROUP BY disc""", "predicted least")
 C.add("gradient_boosting", lambda s, d: (lambda df: met.roc_auc(df.withColumn("sc", ml.fit_boosting(df, NUM + ["price"], "y", 3, 0.3, "logistic", max_depth=2)), "y", "sc"))(scored(s, d)))
-C.add("random_forest", lambda s, d: (lambda df: met.regression(df.withColumn("pr", ml.random_forest(df, ["q", "disc", "tax", "p"], "price", "id", 3, max_depth=3)), "price", "pr").select((F.col("r2") > -0.1).alias("sane")))(scored(s, d)), "SELECT true AS sane")
+C.add("random_forest", lambda s, d: (lambda df: met.regression(df.withColumn("pr", ml.random_forest(df, ["q", "disc", "tax", "p"], "t", "id", 6, max_depth=4)), "t", "pr").select((F.col("r2") > 0.6).alias("explains")))(scored(s, d).withColumn("t", F.col("q") * F.col("disc"))), "SELECT true AS explains")
 C.add("ada_boost", lambda s, d: (lambda df: df.agg((F.avg((ml.ada_boost(df, ["q", "disc", "tax"], "p", 4)[1] == F.col("p")).cast("double")) > 0.85).alias("learned")))(scored(s, d)), "SELECT true AS learned")
 C.add("hbos", lambda s, d: ml.hbos(table(s, d, "events").select("event_id", "value"), ["value"]).select("event_id", "score"),
       """WITH m AS (SELECT min(value) AS l, (max(value) - min(value)) / 10 AS w, count(*) AS n FROM events), b AS (SELECT event_id, least(floor((value - l) / w), 9) AS b, w, n FROM events, m), c AS (SELECT b, count(*) AS k FROM b GROUP BY 1)

@@ -69,15 +69,24 @@ C.add("item_based_cf", lambda s, d: rec.item_predict(rec.item_similarity(ratings
 C.add("popularity", lambda s, d: rec.popularity(ratings(s, d), "i", "r"), f"SELECT i, (sum(r) + 10 * (SELECT avg(r) FROM {_R})) / (count(*) + 10) AS score FROM {_R} GROUP BY 1", "score")
 
 
+_DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 def _als(s, d):
-    """Ratings that are a product of a user's and an item's number: the factors have to find it."""
-    r = ratings(s, d).withColumn("r", (F.col("u") % 7 * (F.col("i") % 5)).cast("double"))
-    users, items, mean = rec.alternating_least_squares(r, "u", "i", "r", 4, 4, 0.1)
-    e = rec.factor_predict(r, users, items, mean, "u", "i")
-    return e.agg((F.sqrt(F.avg((F.col("r") - F.col("predicted")) ** 2)) < 0.2 * F.stddev_pop("r")).alias("fits"))
+    r = ratings(s, d)
+    users, items, mean = rec.alternating_least_squares(r, "u", "i", "r", 1, 2, 0.1)
+    return rec.factor_predict(r, users, items, mean, "u", "i").groupBy("i").agg(F.avg("predicted").alias("mean"), F.avg((F.col("r") - F.col("predicted")) ** 2).alias("mse"))
+
+
+def _als_sql(rounds):
+    steps = [f"g AS MATERIALIZED (SELECT u, i, r, r - avg(r) OVER () AS c, avg(r) OVER () AS m FROM {_R})", f"i0 AS MATERIALIZED (SELECT DISTINCT i AS k, {_DRAW.format("'3:0:' || i")} - 0.5 AS f FROM g)"]
+    for n in range(rounds):
+        steps.append(f"u{n + 1} AS MATERIALIZED (SELECT u AS k, sum(c * f) / (sum(f * f) + 0.1 * count(*)) AS f FROM g JOIN i{n} x ON x.k = g.i GROUP BY u)")
+        steps.append(f"i{n + 1} AS MATERIALIZED (SELECT i AS k, sum(c * f) / (sum(f * f) + 0.1 * count(*)) AS f FROM g JOIN u{n + 1} x ON x.k = g.u GROUP BY i)")
+    return f"WITH {', '.join(steps)} SELECT i, avg(m + x.f * y.f) AS mean, avg(power(r - m - x.f * y.f, 2)) AS mse FROM g JOIN u{rounds} x ON x.k = g.u JOIN i{rounds} y ON y.k = g.i GROUP BY i"
 
 
-C.add("alternating_least_squares", _als, "SELECT true AS fits")
+C.add("alternating_least_squares", _als, _als_sql(2), "mean mse")
 
 
 def _few(s, d):
@@ -85,8 +94,8 @@ def _few(s, d):
 
 
 _SM = "(SELECT s_suppkey AS id, s_acctbal / 1000 AS a, s_nationkey::DOUBLE AS b FROM supplier WHERE s_nationkey % 3 = 1)"
-C.add("smote", lambda s, d: rs.smote(_few(s, d), "s_suppkey", "c", 1, ["a", "b"], 1, 1).select("s_suppkey", "neighbour", ((F.col("a") - 0) * 0 + F.col("share")).isNotNull().alias("made")),
-      f"SELECT id AS s_suppkey, n AS neighbour, true AS made FROM (SELECT x.id, y.id AS n, row_number() OVER (PARTITION BY x.id ORDER BY power(x.a - y.a, 2) + power(x.b - y.b, 2), y.id) AS k FROM {_SM} x JOIN {_SM} y ON x.id <> y.id) WHERE k = 1")
+C.add("smote", lambda s, d: rs.smote(_few(s, d), "s_suppkey", "c", 1, ["a", "b"], 1, 1).select("s_suppkey", "neighbour", "a", "b"),
+      f"SELECT id AS s_suppkey, n AS neighbour, a + s * (na - a) AS a, b + s * (nb - b) AS b FROM (SELECT x.id, x.a, x.b, y.a AS na, y.b AS nb, {_DRAW.format("'0:share:' || x.id || ':1'")} AS s, y.id AS n, row_number() OVER (PARTITION BY x.id ORDER BY power(x.a - y.a, 2) + power(x.b - y.b, 2), y.id) AS k FROM {_SM} x JOIN {_SM} y ON x.id <> y.id) WHERE k = 1", "a b")
 _GAP = "(SELECT p_partkey, p_size::DOUBLE AS z, p_retailprice AS p, CASE WHEN p_partkey % 25 = 0 THEN NULL ELSE p_partkey % 7 + p_size / 10.0 END AS t FROM part)"
 
 
@@ -101,5 +110,5 @@ C.add("iterative_imputer", lambda s, d: rs.iterative_impute(_gaps(s, d).select("
 C.add("tomek_links", lambda s, d: rs.tomek_links(_few(s, d).withColumn("v", F.array("a", "b")), "s_suppkey", "c", "v"),
       """WITH v AS (SELECT s_suppkey AS id, s_nationkey % 3 AS c, s_acctbal / 1000 AS a, s_nationkey::DOUBLE AS b FROM supplier), n AS (SELECT q, id FROM (SELECT x.id AS q, y.id, row_number() OVER (PARTITION BY x.id ORDER BY sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2)), y.id) AS k FROM v x JOIN v y ON x.id <> y.id) WHERE k = 1)
       SELECT m.q AS a, m.id AS b FROM n m JOIN n o ON m.q = o.id AND m.id = o.q JOIN v x ON x.id = m.q JOIN v y ON y.id = m.id WHERE m.q < m.id AND x.c <> y.c""")
-C.add("out_of_bag", lambda s, d: (lambda b: b.groupBy("bag").agg((F.abs(F.avg((F.col("times") == 0).cast("double")) - 0.36788) < 0.05).alias("share_right"), (F.abs(F.avg("times") - 1) < 0.1).alias("mean_right")))(rs.bootstrap_counts(table(s, d, "orders"), "o_orderkey", 4)).withColumn("bag", F.col("bag").cast("long")),
-      "SELECT unnest(range(4)) AS bag, true AS share_right, true AS mean_right")
+C.add("out_of_bag", lambda s, d: rs.out_of_bag(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 4).withColumn("bag", F.col("bag").cast("long")),
+      f"SELECT o_orderkey, bag FROM orders, (SELECT unnest(range(4)) AS bag) WHERE {_DRAW.format("'0:' || bag || ':' || o_orderkey")} <= 0.36787944117144233")

@@ -77,8 +77,15 @@ C.add("adaptive_window", _detected(online.AdaptiveWindow()))
 C.add("window_test_drift", _detected(online.WindowTest()))
 C.add("running_quantile", lambda s, d: _detected(online.Quantile(0.5))(s, d).join(ev(s, d), "event_id").groupBy("event_type").agg((F.abs(F.max_by("flag", F.struct("ts", "event_id")) - F.median("value")) < 0.1 * F.stddev("value")).alias("near")),
       "SELECT DISTINCT event_type, true AS near FROM events")
-C.add("sparse_logistic_stream", lambda s, d: online.detect(ev(s, d).select("event_id", "ts", "event_type", F.array(F.lit(1.0), F.col("value") / 100, (F.col("value") > 50).cast("double")).alias("x")), online.SparseLogistic(), "event_type", "x", ["ts", "event_id"]).withColumn("hit", ((F.col("flag") > 0.5) == (F.col("x")[2] > 0.5)).cast("double")).groupBy("event_type").agg((F.avg("hit") > 0.7).alias("learned")),
-      "SELECT DISTINCT event_type, true AS learned FROM events")
+C.add("sparse_logistic_stream", lambda s, d: online.detect(ev(s, d).select("event_id", "ts", "event_type", F.array(F.lit(1.0), F.col("value") / 100, (F.col("value") > 50).cast("double")).alias("x")), online.SparseLogistic(), "event_type", "x", ["ts", "event_id"]).select("event_id", "flag"), _fold(
+    ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in ("z1", "n1", "z2", "n2")),
+    "x / 100 AS v, CASE WHEN x > 50 THEN 1.0 ELSE 0.0 END AS y, " + ", ".join(f"CASE WHEN abs(z{i}) <= 1 THEN 0 ELSE -(z{i} - sign(z{i})) / ((1 + sqrt(n{i})) / 0.1 + 1) END AS w{i}" for i in (1, 2))
+    + ", 1 / (1 + exp(-greatest(-35, least(35, w1 + w2 * v)))) AS p, p - y AS g1, (p - y) * v AS g2",
+    ", ".join(f"z{i} + g{i} - (sqrt(n{i} + g{i} * g{i}) - sqrt(n{i})) / 0.1 * w{i} AS z{i}, n{i} + g{i} * g{i} AS n{i}" for i in (1, 2)), ("p", "CAST(0 AS DOUBLE)")), "flag")
+C.add("gradient_descent_stream", lambda s, d: online.detect(ev(s, d).select("event_id", "ts", "event_type", F.array(F.lit(1.0), F.col("value") / 100, (F.col("value") > 50).cast("double")).alias("x")), online.GradientDescent(), "event_type", "x", ["ts", "event_id"]).select("event_id", "flag"), _fold(
+    "CAST(0 AS BIGINT) AS t, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2",
+    "x / 100 AS v, CASE WHEN x > 50 THEN 1.0 ELSE 0.0 END AS y, 1 / (1 + exp(-greatest(-35, least(35, w1 + w2 * v)))) AS p, 0.5 / sqrt(t + 1) AS h",
+    "t + 1 AS t, w1 - h * (p - y) AS w1, w2 - h * (p - y) * v AS w2", ("p", "CAST(0 AS DOUBLE)")), "flag")
 C.add("hedge", lambda s, d: online.detect(ev(s, d).select("event_id", "ts", "event_type", F.array(F.col("value") / 100, 1 - F.col("value") / 100).alias("x")), online.Hedge(), "event_type", "x", ["ts", "event_id"]).select("event_id", "flag"),
       """SELECT event_id, (x * exp(-0.5 * (a - least(a, b))) + (1 - x) * exp(-0.5 * (b - least(a, b)))) / (exp(-0.5 * (a - least(a, b))) + exp(-0.5 * (b - least(a, b)))) AS flag FROM (SELECT event_id, value / 100 AS x, coalesce(sum(value / 100) OVER w, 0) AS a, coalesce(sum(1 - value / 100) OVER w, 0) AS b
       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "flag")
