@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 
 #: Entries and bytes of one generation; two generations are held.
 GENERATION = 300_000
-BYTES = 48 << 20
+BYTES = 64 << 20
 #: Longer strings are encoded each time: in texts without spaces every text is a string of its own.
 LONGEST = 64
 #: What an entry takes beside its characters.
@@ -30,21 +30,24 @@ class Memory:
         self.passing = []
         if len(self.young) > self.size or self.bytes > self.most:
             self.old, self.young, self.bytes = self.young, {}, 0
-        unknown = []
-        for s in needed.difference(self.young):
-            known = self.old.get(s)
-            if known is None:
-                unknown.append(s)
-            else:
-                self._keep(s, known)
-        for s, found in zip(unknown, self.encode_new(unknown) if unknown else (), strict=True):
-            if len(s) > LONGEST:
-                self.young[s] = found
-                self.passing.append(s)
-            else:
-                self._keep(s, found)
-
-    def _keep(self, s, found) -> None:
-        self.young[s] = found
+        needed = needed.difference(self.young)
+        # By lookups: an intersection with a dictionary would walk through all of it.
+        held = list(filter(self.old.__contains__, needed)) if self.old else []
+        if held:
+            self._keep(held, list(map(self.old.__getitem__, held)))
+            needed = needed.difference(held)
+        if not needed:
+            return
+        unknown = list(needed)
+        found = list(self.encode_new(unknown))
+        if max(map(len, unknown)) > LONGEST:
+            pairs = list(zip(unknown, found, strict=True))
+            self.young.update((s, x) for s, x in pairs if len(s) > LONGEST)
+            self.passing = [s for s in unknown if len(s) > LONGEST]
+            unknown, found = [s for s, _ in pairs if len(s) <= LONGEST], [x for s, x in pairs if len(s) <= LONGEST]
+        self._keep(unknown, found)
+
+    def _keep(self, strings, found: list) -> None:
+        self.young.update(zip(strings, found, strict=True))
         # Characters beyond Latin-1 take up to four bytes.
-        self.bytes += _ENTRY + 4 * len(s) + (len(found) if isinstance(found, bytes) else 8)
+        self.bytes += _ENTRY * len(found) + 4 * sum(map(len, strings)) + (sum(map(len, found)) if found and isinstance(found[0], bytes) else 8 * len(found))
