@@ -23,7 +23,6 @@ from .store import materialize, new_path
 
 #: A space between two visible characters always starts a new pre-token, so texts can be encoded piece by piece there.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_UNEVEN = re.compile(r"^\s|\s\s|\s$")
 #: Documents encoded at once, and unknown words in one run.
 GROUP = 128
 RUN = 256
@@ -67,15 +66,19 @@ class TextEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and the end id, as bytes."""
         parts = [self._cut(t or "") for t in texts]
-        self.first.prepare({p[0] for p in parts})
-        self.spaced.prepare(set().union(*(p[1:] for p in parts)))
+        heads = [p.pop(0) for p in parts]
+        self.first.prepare(set(heads))
+        self.spaced.prepare(set().union(*parts))
         first, spaced = self.first.young, self.spaced.young
-        return [first[p[0]] + b"".join(map(spaced.__getitem__, p[1:])) + self.end for p in parts]
+        return [first[h] + b"".join(map(spaced.__getitem__, p)) + self.end for h, p in zip(heads, parts)]
 
     @staticmethod
     def _cut(text: str) -> list[str]:
-        if not _UNEVEN.search(text):
-            return text.split(" ")
+        # Words apart by single spaces or line ends, with no other white space: what most texts are.
+        words = text.split()
+        apart = text.count(" ") + text.count("\n")
+        if len(words) - 1 == apart and sum(map(len, words)) + apart == len(text):
+            return text.split(" ") if "\n" in text else words
         head, *rest = _CUT.split(text)
         return [head, *(r[1:] for r in rest)]
 
