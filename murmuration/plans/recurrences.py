@@ -12,6 +12,11 @@ C = Catalog()
 _ORDER, _BY = ["ts", "event_id"], ["event_type"]
 
 
+def _uneven(s, d):
+    """Events whose values are no short decimals: no rounding meets a tie."""
+    return ev(s, d).withColumn("value", F.col("value") / 3.7)
+
+
 def _recursive(start: str, step: str, state: str, given: str, first: str = "") -> str:
     """One row of each type after another: `start` reads x1, x2 and xs (a type's first values, in order)."""
     return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type AS k, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL),
@@ -29,9 +34,9 @@ C.add("damped_trend", lambda s, d: rc.holt(ev(s, d), "value", _ORDER, _BY, 0.4,
 _SEASONS = _recursive(
     "list_sum(xs[1:6]) / 6 AS l, (list_sum(xs[7:12]) - list_sum(xs[1:6])) / 36 AS b, list_transform(xs[1:6], lambda v: v - list_sum(xs[1:6]) / 6) AS s, 0.0::DOUBLE AS fit",
     "l + b + s[1] AS f1, 0.3 * (e.x - s[1]) + 0.7 * (l + b) AS l1, 0.1 * (l1 - l) + 0.9 * b AS b1, list_append(s[2:6], 0.1 * (e.x - l1) + 0.9 * s[1]) AS s1",
-    "l1 AS l, b1 AS b, s1 AS s, f1 AS fit", "fit AS fitted, l AS level, b AS trend, s[6] AS seasonal", "WHERE len(xs) >= 12")
-C.add("holt_winters", lambda s, d: rc.holt_winters(ev(s, d), "value", _ORDER, _BY, 6).select("event_id", "fitted", "level", "trend", "seasonal"), _SEASONS, "fitted level trend seasonal")
-C.add("seasonal_forecast", lambda s, d: rc.forecast(rc.holt_winters(ev(s, d), "value", _ORDER, _BY, 6), _ORDER, _BY, 9),
+    "l1 AS l, b1 AS b, s1 AS s, f1 AS fit", "fit AS fitted, l AS level, b AS trend, s[6] AS seasonal", "WHERE len(xs) >= 12").replace("value AS x", "value / 3.7 AS x")
+C.add("holt_winters", lambda s, d: rc.holt_winters(_uneven(s, d), "value", _ORDER, _BY, 6).select("event_id", "fitted", "level", "trend", "seasonal"), _SEASONS, "fitted level trend seasonal")
+C.add("seasonal_forecast", lambda s, d: rc.forecast(rc.holt_winters(_uneven(s, d), "value", _ORDER, _BY, 6), _ORDER, _BY, 9),
       f"""SELECT event_type, h AS step, l + h * b + s[(h - 1) % 6 + 1] AS forecast FROM ({_SEASONS.replace("SELECT event_id, fit AS fitted, l AS level, b AS trend, s[6] AS seasonal FROM r", "SELECT k AS event_type, arg_max(l, i) AS l, arg_max(b, i) AS b, arg_max(s, i) AS s FROM r")} GROUP BY k), (SELECT unnest(range(1, 10)) AS h)""", "forecast", "step")
 C.add("arma_residuals", lambda s, d: rc.arma_residuals(ev(s, d).withColumn("value", F.col("value") - 50), "value", _ORDER, _BY, [0.5, -0.2], [0.3]).select("event_id", "resid"), _recursive(
     "0.0::DOUBLE AS e1, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2", "(e.x - 50) - 0.5 * x1 + 0.2 * x2 - 0.3 * e1 AS r1", "r1 AS e1, x - 50 AS x1, x1 AS x2", "e1 AS resid"), "resid")
