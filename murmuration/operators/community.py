@@ -44,11 +44,12 @@ def _moved(edges: DataFrame, state: DataFrame, m2: float, parts: int, turn: int)
     return state.join(gone, "node", "left").select("node", F.coalesce("best", "label").alias("label"), "k", F.col("best").isNotNull().alias("changed"))
 
 
-def louvain(edges: DataFrame, levels: int = 10) -> tuple[DataFrame, list[float]]:
+def louvain(edges: DataFrame, levels: int = 10, most_parts: int = MOST_PARTS, least: float = _GAIN) -> tuple[DataFrame, list[float]]:
     """(node, label) by Louvain's method, and the modularity after every accepted step, which never falls.
 
     A step moves the nodes of one part, chosen by hash, all at once. Nodes that move together may spoil each other's
-    gain: a step that would lower the modularity is not taken, and nodes are dealt to twice as many parts from then on.
+    gain: a step that does not raise the modularity by `least` is not taken, and nodes are dealt to twice as many parts from
+    then on, up to `most_parts`.
     When no part moves any more, communities become nodes, whose weights are summed, until nothing changes. Labels are
     ids of nodes. Node ids have to be numbers; isolated nodes are in no edge and so in no community.
     """
@@ -69,9 +70,9 @@ def louvain(edges: DataFrame, levels: int = 10) -> tuple[DataFrame, list[float]]
                 still += 1
                 continue
             q = weighted_modularity(current, after.select("node", "label"), m2)
-            if q <= reached[-1] + _GAIN:
+            if q <= reached[-1] + least:
                 parts, still = parts * 2, 0
-                if parts > MOST_PARTS:
+                if parts > most_parts:
                     break
                 continue
             reached.append(q)
