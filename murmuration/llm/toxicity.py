@@ -223,7 +223,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
                 found = _scored(text, weight, model.bias)
                 odds = np.array([z for _, _, z in found])
                 worst = int(odds.argmax())
-                out.append((-math.expm1(-np.logaddexp(0, odds).sum()), len(found) if found[0][1] else 0, found[worst][0], found[worst][1], 1 / (1 + math.exp(-odds[worst]))))
+                out.append((-math.expm1(-np.logaddexp(0, odds).sum()), len(found) if found[0][1] else 0, found[worst][0], found[worst][1], math.exp(-np.logaddexp(0, -odds[worst]))))
             kinds = (pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds))], names=["doc_id", "score", "n_sentences", "worst_start", "worst_stop", "worst_score"])
 
@@ -240,7 +240,7 @@ def offending_sentences(docs: DataFrame, model: ToxicityModel, threshold: float
 
         weight, least = _Weights(model), math.log(threshold / (1 - threshold))
         for batch in batches:
-            out = [(at, a, b, text[a:b], 1 / (1 + math.exp(-z))) for at, text in enumerate(batch.column(1).to_pylist()) for a, b, z in _scored(text, weight, model.bias) if z >= least and b]
+            out = [(at, a, b, text[a:b], math.exp(-np.logaddexp(0, -z))) for at, text in enumerate(batch.column(1).to_pylist()) for a, b, z in _scored(text, weight, model.bias) if z >= least and b]
             at, *rest = zip(*out) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(rest, kinds))], names=["doc_id", "start", "stop", "sentence", "score"])

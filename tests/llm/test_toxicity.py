@@ -109,3 +109,14 @@ def test_the_bound_takes_the_same_documents_each_time(spark):
     a, b = (fitted(spark, r, fit_toxic=40, fit_clean=60) for r in (rows, rows[::-1]))
     assert a.weights.keys() == b.weights.keys() and abs(a.bias - b.bias) < 1e-6
     assert all(abs(a.weights[f] - b.weights[f]) < 1e-6 for f in a.weights)
+
+
+def test_very_unlikely_sentences_score_zero(spark):
+    """A long sentence of words that speak against it has odds below what exp can hold."""
+    model = toxicity.ToxicityModel({"mild": -2.0, "bad": 3.0}, -6.0)
+    docs = spark.createDataFrame([(1, "mild " * 400), (2, "bad bad bad. "), (3, None), (4, "bad " * 400)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+    assert rows[1].score == rows[1].worst_score == 0.0
+    assert rows[4].score == rows[4].worst_score == 1.0
+    assert 0.9 < rows[2].score < 1.0 and 0.0 < rows[3].score < 0.01
+    assert sorted(r.doc_id for r in toxicity.offending_sentences(docs, model, 1e-12).collect()) == [2, 4]
