@@ -2,10 +2,11 @@
 
 import math
 import random
+import time
 
 from oracle import assert_same
 
-from murmuration.operators import learners, text
+from murmuration.operators import graph, learners, text
 from murmuration.plans import catalog
 
 
@@ -28,3 +29,40 @@ def test_sketched_quantiles_are_exact(spark):
         want = [sorted(values)[max(1, len(values) - math.floor(len(values) - p * len(values))) - 1] for p in (0.1, 0.5, 0.9)]
         # A coarse sketch is off by more than a row.
         assert learners.quantiles_by_sketch(df, "v", [0.1, 0.5, 0.9], 50).first().q == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_pairs_of_link_scores_are_never_shuffled(spark):
+    edges = graph.undirected(spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (5, 4)], "src long, dst long"))
+    scored = graph.link_scores(edges)
+    lines = plan(scored)
+    unfolds = min(i for i, x in enumerate(lines) if "Generate" in x)
+    assert not any("Exchange" in x for x in lines[:unfolds])
+    assert {(r.a, r.b): (r.common, r.preferential_attachment) for r in scored.collect()} == {(1, 2): (1, 4), (1, 3): (1, 6), (2, 3): (1, 6), (1, 4): (1, 4), (2, 4): (1, 4), (3, 5): (1, 3)}
+
+
+def test_keywords_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "Red apple pie, and red apples; pie of apple"), (2, None), (3, "of and")], "item_id long, text string")
+    found = text.rake(docs, "item_id", "text", ["of", "and"])
+    assert not any("Exchange" in x for x in plan(found))
+    assert {(r.phrase, round(r.score, 6)) for r in found.collect()} == {("red apple pie", 6.5), ("red apples", 4.5), ("pie", 2.0), ("apple", 2.0)}
+
+
+def test_trigrams_of_a_long_text(spark):
+    n = 1_500_000
+    docs = spark.createDataFrame([(1, "abcdé" * (n // 5)), (2, ""), (3, None)], "id long, t string")
+    began = time.perf_counter()
+    got = {(r.id, r.gram): r.n for r in text.trigram_counts(docs, "t", "id").collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1, "abc"] == n // 5 and got[1, "éab"] == n // 5 - 1 and got[1, "  a"] == 1 and got[2, "   "] == 1
+    assert sum(v for (i, _), v in got.items() if i == 1) == n + 1
+
+
+def test_rows_at_one_place_are_one_point(spark):
+    rows = spark.range(60_000).selectExpr("id", "cast(id % 3 AS double) * 10 AS x", "0.0D AS y").unionByName(spark.createDataFrame([(99_999, 55.0, 0.0)], "id long, x double, y double"))
+    began = time.perf_counter()
+    got = {(r.cluster, r["count"]) for r in learners.grid_dbscan(rows, ["x", "y"], "id", 0.5, 4).groupBy("cluster").count().collect()}
+    assert got == {(0, 20_000), (1, 20_000), (2, 20_000), (None, 1)} and time.perf_counter() - began < 60
