@@ -4,9 +4,10 @@ import math
 import random
 import time
 
+import numpy as np
 from oracle import assert_same
 
-from murmuration.operators import graph, learners, text
+from murmuration.operators import graph, learners, text, topics
 from murmuration.plans import catalog
 
 
@@ -66,3 +67,24 @@ def test_rows_at_one_place_are_one_point(spark):
     began = time.perf_counter()
     got = {(r.cluster, r["count"]) for r in learners.grid_dbscan(rows, ["x", "y"], "id", 0.5, 4).groupBy("cluster").count().collect()}
     assert got == {(0, 20_000), (1, 20_000), (2, 20_000), (None, 1)} and time.perf_counter() - began < 60
+
+
+def test_topics_of_many_documents_are_improved_side_by_side(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 40, 300)
+    beta, n = r.random((sizes.sum(), 3)), r.integers(1, 9, sizes.sum()).astype(float)
+    gamma, expected = topics._mixtures(n, beta, sizes, 0.1)
+    for i, end in enumerate(np.cumsum(sizes)):
+        of = slice(end - sizes[i], end)
+        one, told = topics._mixtures(n[of], beta[of], sizes[i : i + 1], 0.1)
+        assert np.allclose(one[0], gamma[i], rtol=1e-12) and np.allclose(told, expected[of], rtol=1e-12)
+    counts = spark.range(150_000).selectExpr("id % 6000 AS doc", "concat('t', pmod(xxhash64(id), 900)) AS term", "id % 3 + 1 AS tf").groupBy("doc", "term").sum("tf").withColumnRenamed("sum(tf)", "tf")
+    began = time.perf_counter()
+    _, mixtures, bounds = topics.latent_dirichlet(counts, "doc", 4, rounds=2)
+    met = {x.doc: x.mixture for x in mixtures.collect()}
+    assert time.perf_counter() - began < 25 and len(met) == 6000
+    # Weights that are too many to travel meet the documents in a join.
+    monkeypatch.setattr(topics, "WEIGHT_BYTES", 0)
+    _, mixtures, again = topics.latent_dirichlet(counts, "doc", 4, rounds=2)
+    assert np.allclose(bounds, again, rtol=1e-9)
+    assert all(np.allclose(x.mixture, met[x.doc], atol=1e-6) for x in mixtures.collect())
