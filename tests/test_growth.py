@@ -7,7 +7,7 @@ import time
 import numpy as np
 from oracle import assert_same
 
-from murmuration.operators import graph, learners, text, topics
+from murmuration.operators import graph, learners, nearest, text, topics
 from murmuration.plans import catalog
 
 
@@ -88,3 +88,27 @@ def test_topics_of_many_documents_are_improved_side_by_side(spark, monkeypatch):
     _, mixtures, again = topics.latent_dirichlet(counts, "doc", 4, rounds=2)
     assert np.allclose(bounds, again, rtol=1e-9)
     assert all(np.allclose(x.mixture, met[x.doc], atol=1e-6) for x in mixtures.collect())
+
+
+def test_pairs_of_crowded_buckets_are_no_rows_before_they_are_decided(spark, monkeypatch):
+    r = random.Random(8)
+    sets = [sorted(r.sample([f"i{j}" for j in range(12)], r.randint(7, 11))) for _ in range(150)]
+    sets += [sorted({f"w{r.randrange(10**6)}" for _ in range(10)}) for _ in range(40)]
+    sets += [[*s[:-1], "new"] for s in sets[-20:]] + [["lone"], []]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>").repartition(5)
+    classes = {}
+    for i, s in enumerate(sets):
+        classes.setdefault(tuple(s), i)
+    pairs = [(i, j, len(set(a) & set(b)) / len(set(a) | set(b))) for a, i in classes.items() for b, j in classes.items() if i < j]
+    want = {(i, j): v for i, j, v in pairs if v >= 0.7}
+    for crowd, size, tile in ((nearest.CROWD, nearest.SET_BYTES, 1024), (2, 40_000, 7), (10**6, 1, 1)):
+        for name, value in (("CROWD", crowd), ("SET_BYTES", size), ("TILE", tile), ("ITEMS", 5)):
+            monkeypatch.setattr(nearest, name, value)
+        got = [(x.a, x.b, x.jaccard) for x in nearest.similar_sets(df, "id", "items", 0.7, 48, 2).collect()]
+        assert len(got) == len({x[:2] for x in got}) and {x[:2]: x[2] for x in got} == want
+    monkeypatch.undo()
+    # Some 8 million pairs share a bucket, most of them in many bands.
+    many = spark.range(4000).selectExpr("id", "filter(transform(sequence(1, 25), j -> if(pmod(xxhash64(id, j), 10) < 8, j, null)), x -> x is not null) AS items")
+    found = nearest.similar_sets(many, "id", "items", 0.9, 48, 3)
+    began = time.perf_counter()
+    assert found.count() > 1000 and time.perf_counter() - began < 15
