@@ -112,3 +112,25 @@ def test_pairs_of_crowded_buckets_are_no_rows_before_they_are_decided(spark, mon
     found = nearest.similar_sets(many, "id", "items", 0.9, 48, 3)
     began = time.perf_counter()
     assert found.count() > 1000 and time.perf_counter() - began < 15
+
+
+def test_terms_are_counted_where_their_text_stands(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog and the end"), (2, None), (3, ""), (4, "The cat"), (None, "cat cat")], "id long, t string")
+    want = {1: {"the": 3, "and": 2, "cat": 1, "dog": 1, "end": 1}, 4: {"the": 1, "cat": 1}, None: {"cat": 2}}
+    for options in ({}, {"ngram_range": (2, 2)}):
+        found = text.count_terms(docs, "id", "t", **options)
+        assert not any("Exchange" in x for x in plan(found))
+    assert {(x.id, x.term): x.tf for x in found.collect()} == {(1, "the cat"): 1, (1, "cat and"): 1, (1, "and the"): 2, (1, "the dog"): 1, (1, "dog and"): 1, (1, "the end"): 1, (4, "the cat"): 1, (None, "cat cat"): 1}
+    assert {(x.id, x.term): x.tf for x in text.count_terms(docs, "id", "t").collect()} == {(i, t): n for i, m in want.items() for t, n in m.items()}
+    # Rows that share an id are one document.
+    twice = docs.unionByName(docs)
+    assert {(x.id, x.term): x.tf for x in text.count_terms(twice, "id", "t").collect()} == {(i, t): 2 * n for i, m in want.items() for t, n in m.items()}
+    few = text.count_terms(docs, "id", "t", min_df=2, max_df=0.9)
+    assert {(x.id, x.term) for x in few.collect()} == {(1, "the"), (4, "the"), (1, "cat"), (4, "cat"), (None, "cat")}
+    # Weights meet their documents' lengths without a shuffle of all terms.
+    weights = text.tfidf(docs, "id", "t")
+    assert not any("hashpartitioning(id" in x for x in plan(weights))
+    sums = {}
+    for x in weights.collect():
+        sums[x.id] = sums.get(x.id, 0) + x.weight**2
+    assert set(sums) == {1, 4, None} and all(abs(v - 1) < 1e-9 for v in sums.values())
