@@ -6,8 +6,9 @@ import time
 
 import numpy as np
 from oracle import assert_same
+from pyspark.sql import functions as F
 
-from murmuration.operators import graph, learners, nearest, text, topics
+from murmuration.operators import graph, learners, nearest, patterns, recommend, text, topics
 from murmuration.plans import catalog
 
 
@@ -134,3 +135,33 @@ def test_terms_are_counted_where_their_text_stands(spark):
     for x in weights.collect():
         sums[x.id] = sums.get(x.id, 0) + x.weight**2
     assert set(sums) == {1, 4, None} and all(abs(v - 1) < 1e-9 for v in sums.values())
+
+
+def test_predictions_of_a_user_are_summed_where_the_ratings_stand(spark):
+    r = random.Random(11)
+    rated = {(u, i): float(r.randint(1, 5)) for u in range(30) for i in range(8) if r.random() < 0.6}
+    ratings = spark.createDataFrame([(u, i, v) for (u, i), v in rated.items()], "u long, i long, r double")
+    between = [(i, j, r.uniform(-1, 1), r.randint(1, 9)) for i in range(8) for j in range(8) if i != j and r.random() < 0.9]
+    table = spark.createDataFrame(between, "i long, j long, dev double, n long")
+    want = {}
+    for u in range(30):
+        for i in range(8):
+            met = [(rated[u, j] + d, n) for x, j, d, n in between if x == i and (u, j) in rated]
+            if met and (u, i) not in rated:
+                want[u, i] = sum(a * n for a, n in met) / sum(n for _, n in met)
+    found = patterns.slope_one_predict(table, ratings, "u", "i", "r")
+    assert not any("hashpartitioning(u" in x and ", i#" in x for x in plan(found))
+    got = {(x.u, x.i): x.predicted for x in found.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+    similar = table.select("i", "j", F.col("dev").alias("sim"))
+    for k in (3, 100):
+        want = {}
+        for u in range(30):
+            for i in range(8):
+                met = sorted([(-abs(d), j, d) for x, j, d, _ in between if x == i and (u, j) in rated])[:k]
+                if met and (u, i) not in rated:
+                    want[u, i] = sum(d * rated[u, j] for _, j, d in met) / sum(-a for a, _, _ in met)
+        found = recommend.item_predict(similar, ratings, "u", "i", "r", k)
+        assert not any("hashpartitioning(u" in x and ", i#" in x for x in plan(found)) and (k == 3 or not any("Window" in x for x in plan(found)))
+        got = {(x.u, x.i): x.predicted for x in found.collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
