@@ -8,7 +8,7 @@ import numpy as np
 from oracle import assert_same
 from pyspark.sql import functions as F
 
-from murmuration.operators import graph, learners, nearest, patterns, recommend, text, topics
+from murmuration.operators import decide, graph, learners, metrics, nearest, patterns, recommend, text, topics
 from murmuration.plans import catalog
 
 
@@ -165,3 +165,18 @@ def test_predictions_of_a_user_are_summed_where_the_ratings_stand(spark):
         assert not any("hashpartitioning(u" in x and ", i#" in x for x in plan(found)) and (k == 3 or not any("Window" in x for x in plan(found)))
         got = {(x.u, x.i): x.predicted for x in found.collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want)
+
+
+def test_exact_medians_need_no_task_with_all_values(spark):
+    nan = float("nan")
+    for values in ([3.0, 1.0, 2.0, 10.0], [5.0], [1.0, 1.0, 7.0], [1.0, nan, nan], [1.0, 2.0, 3.0, nan]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").withColumn("p", F.lit(0.0))
+        want = df.agg(F.median("v"), F.percentile("v", F.lit(0.3))).first()
+        same = lambda a, b: (a != a and b != b) or math.isclose(a, b, rel_tol=1e-12)
+        assert same(df.select(decide.dummy_value(df, "v", "median").alias("m")).first().m, want[0])
+        assert same(df.select(decide.dummy_value(df, "v", "quantile", 0.3).alias("m")).first().m, want[1])
+        if len(values) == 1:
+            continue
+        scored = metrics.regression(df, "v", "p")
+        assert same(scored.first().median_ae, df.agg(F.median(F.abs("v"))).first()[0])
+        assert not any("median(" in x or "percentile(" in x for x in plan(scored))
