@@ -180,3 +180,18 @@ def test_exact_medians_need_no_task_with_all_values(spark):
         scored = metrics.regression(df, "v", "p")
         assert same(scored.first().median_ae, df.agg(F.median(F.abs("v"))).first()[0])
         assert not any("median(" in x or "percentile(" in x for x in plan(scored))
+
+
+def test_matches_of_a_batch_leave_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "x")], "id long, t string")
+    held = []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, f, schema: held.append(f))
+        text.pattern_matches(docs, "id", "t", ["ab", "b"])
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["ab" * 100_000, None, "xab"])], names=["id", "t"])
+    parts = list(held[0](iter([batch])))
+    assert max(x.num_rows for x in parts) <= 1 << 16
+    rows = [r for x in parts for r in x.to_pylist()]
+    assert len(rows) == 200_002 and {(r["id"], r["pattern"], r["start"]) for r in rows if r["id"] != 7} == {(9, "ab", 1), (9, "b", 2)}
