@@ -152,6 +152,23 @@ def test_singular_triples_equal_numpy(spark, positive):
         assert other[np.abs(other).argmax()] > 0
 
 
+def test_rows_meet_a_thin_matrix_where_they_stand(spark, monkeypatch):
+    a = sparse(2, positive=False)
+    df = entries(spark, a)
+
+    def found():
+        left, values, right = dc.truncated_svd(df, 2, oversample=2, rounds=1)
+        return values, np.array([x.vector for x in left.orderBy("row").collect()]), np.array([x.vector for x in right.orderBy("col").collect()])
+
+    monkeypatch.setattr(dc, "THIN_BYTES", 0, raising=False)
+    joined = found()
+    monkeypatch.undo()
+    # No entry is joined with a vector.
+    monkeypatch.setattr(dc, "multiply", None)
+    for x, y in zip(found(), joined, strict=True):
+        assert np.allclose(x, y, atol=1e-4)
+
+
 def test_low_rank_and_empty_matrices(spark):
     a = np.outer([1.0, 2, 0, 3], [1.0, 0, 2])
     left, values, right = dc.truncated_svd(entries(spark, a), 3)
