@@ -195,3 +195,18 @@ def test_matches_of_a_batch_leave_in_parts(spark, monkeypatch):
     assert max(x.num_rows for x in parts) <= 1 << 16
     rows = [r for x in parts for r in x.to_pylist()]
     assert len(rows) == 200_002 and {(r["id"], r["pattern"], r["start"]) for r in rows if r["id"] != 7} == {(9, "ab", 1), (9, "b", 2)}
+
+
+def test_goss_ranges_keys_alone_and_counts_repeated_keys(spark, monkeypatch):
+    from murmuration.operators import selection
+
+    seen, plain = [], selection.numbered
+    monkeypatch.setattr(selection, "numbered", lambda df, order, by=None: seen.append(df.columns) or plain(df, order, by))
+    df = spark.createDataFrame([(i, float(i % 7 - 3), "wide") for i in range(100)], "id long, g double, other string")
+    rows = selection.goss(df, "g", "id").collect()
+    assert all("other" not in columns for columns in seen)
+    order = sorted(range(100), key=lambda i: (-abs(i % 7 - 3), i))
+    assert {r.id for r in rows if r.weight == 1.0} == set(order[:20])
+    assert len([r for r in rows if r.weight == 8.0]) == 10 and {r.id for r in rows if r.weight == 8.0} <= set(order[20:])
+    same = spark.createDataFrame([(1, 1.0)] * 10, "id long, g double")
+    assert sorted(r.weight for r in selection.goss(same, "g", "id").collect()) == [1.0, 1.0, 8.0]
