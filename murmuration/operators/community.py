@@ -5,13 +5,15 @@ Edges are rows (src, dst) in both directions, as `graph.undirected` gives them,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..store import materialize, release
+from ..store import materialize, placed, release
 
 #: Parts that nodes are dealt to, at most: a part's nodes move at once.
 MOST_PARTS = 16
+#: Edges of one node up to which they stand in one list.
+LIST = 1 << 16
 _GAIN = 1e-12
 
 
@@ -92,17 +94,26 @@ def louvain(edges: DataFrame, levels: int = 10, most_parts: int = MOST_PARTS, le
 def random_walks(edges: DataFrame, length: int, per_node: int = 1, seed: str = "walk", salts: int = 64) -> DataFrame:
     """(walk, start, step, node): `per_node` walks from every node, each step to a random neighbour by weight.
 
-    All walkers take a step by one join: a walker's draw in [0, 1) is a hash of its name and step, neighbours own even
-    intervals of [0, 1) by running weights, and both meet by slices of that interval, so a hub's walkers and edges are
-    spread over `salts` slices. A walk ends where there is nowhere to go. Draws repeat from run to run.
+    All walkers take a step by one join: a walker's draw in [0, 1) is a hash of its name and step, and neighbours own even
+    intervals of [0, 1) by running weights. A node's neighbours stand in one list, dealt by the node once. If a node has more
+    than LIST edges, walkers and edges meet by slices of the interval as well, so a hub is spread over `salts` slices.
+    A walk ends where there is nowhere to go. Draws repeat from run to run.
     """
     e = edges.withColumn("w", F.lit(1.0)) if "w" not in edges.columns else edges
     from .ordering import running
 
-    upto = running(e.select("src", "dst", F.col("w").cast("double").alias("w")), ["dst"], {"high": "w"}, ["src"], totals=True)
-    spans = upto.select("src", "dst", ((F.col("high") - F.col("w")) / F.col("high_all")).alias("low"), (F.col("high") / F.col("high_all")).alias("high"))
-    slices = F.sequence(F.floor(F.col("low") * salts), F.least(F.floor(F.col("high") * salts), F.lit(salts - 1).cast("long")))
-    spans = materialize(spans.select("src", "dst", "low", "high", F.explode(slices).alias("slice")), "spans")
+    e = materialize(e.select("src", "dst", F.col("w").cast("double").alias("w")), "edges")
+    most = e.groupBy("src").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+    sliced = most > LIST
+    if sliced:
+        upto = running(e, ["dst"], {"high": "w"}, ["src"], totals=True)
+        spans = upto.select("src", "dst", ((F.col("high") - F.col("w")) / F.col("high_all")).alias("low"), (F.col("high") / F.col("high_all")).alias("high"))
+        slices = F.sequence(F.floor(F.col("low") * salts), F.least(F.floor(F.col("high") * salts), F.lit(salts - 1).cast("long")))
+        spans = materialize(spans.select("src", "dst", "low", "high", F.explode(slices).alias("slice")), "spans")
+    else:
+        own = Window.partitionBy("src")
+        upto = e.withColumns({"high": F.coalesce(F.sum("w").over(own.orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)), "all": F.sum("w").over(own)})
+        spans = placed(upto.groupBy("src").agg(F.collect_list(F.struct("dst", "high", "w")).alias("l"), F.first("all").alias("all")), "src", "spans")
     nodes = e.select(F.col("src").alias("start")).union(e.select("dst")).distinct()
     at = nodes.select("start", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1))).alias("walk")).withColumn("node", F.col("start"))
     at = materialize(at.withColumn("step", F.lit(0)), "walkers")
@@ -111,8 +122,13 @@ def random_walks(edges: DataFrame, length: int, per_node: int = 1, seed: str = "
         digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("start").cast("string"), F.col("walk").cast("string"), F.lit(str(k))))
         draw = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
         walkers = steps[-1].withColumns({"draw": draw, "slice": F.floor(draw * salts)})
-        met = walkers.join(spans, (F.col("node") == F.col("src")) & (walkers["slice"] == spans["slice"]) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")))
+        if sliced:
+            met = walkers.join(spans, (F.col("node") == F.col("src")) & (walkers["slice"] == spans["slice"]) & (F.col("draw") >= F.col("low")) & (F.col("draw") < F.col("high")))
+        else:
+            told = walkers.join(spans, F.col("node") == F.col("src")).select("start", "walk", "draw", "all", F.explode("l").alias("x"))
+            met = told.where((F.col("draw") >= (F.col("x.high") - F.col("x.w")) / F.col("all")) & (F.col("draw") < F.col("x.high") / F.col("all"))).select("start", "walk", "x.dst")
         steps.append(materialize(met.select("start", "walk", F.col("dst").alias("node"), F.lit(k).alias("step")), "walkers"))
+    spans.unpersist()
     out = steps[0]
     for s in steps[1:]:
         out = out.unionByName(s)

@@ -114,6 +114,19 @@ def test_walks_go_along_edges_by_weight(spark):
     assert all(abs(second[i] / total - i / 10) < 0.03 for i in range(1, 5))
 
 
+def test_walks_over_lists_and_over_slices_agree(spark, monkeypatch):
+    e = both_ways(spark, [(1, j) for j in range(2, 30)] + [(2, 3), (4, 5)])
+    listed = sorted(cm.random_walks(e, 2, per_node=3).collect())
+    from murmuration.operators import ordering
+
+    monkeypatch.setattr(cm, "LIST", 3)
+    assert sorted(cm.random_walks(e, 2, per_node=3, salts=7).collect()) == listed
+    monkeypatch.undo()
+    # Lists need no ranges and no slices.
+    monkeypatch.setattr(ordering, "running", None)
+    assert sorted(cm.random_walks(e, 2, per_node=3).collect()) == listed
+
+
 def test_visits_approach_degrees(spark):
     r = random.Random(5)
     e = both_ways(spark, [(a, b) for a in range(20) for b in range(a) if r.random() < 0.3])
@@ -249,6 +262,12 @@ def test_planted_outliers_are_isolated_early(spark):
     assert len({x.score for x in iso.isolation_scores(flat, iso.fit_isolation_forest(flat, "id", ["a"], 5)).collect()}) == 1
 
 
+def test_rows_go_down_trees_as_one_by_one(spark, monkeypatch):
+    forest = iso.IsolationForest(("a",), (np.array([(0, 0.5, 1, 0.0), (-1, 0, 0, 1.0), (0, 2.0, 3, 0.0), (-1, 0, 0, 2.0), (-1, 0, 0, 3.0)]), np.array([(-1, 0, 0, 4.0)])), 8)
+    monkeypatch.setattr(iso, "ROWS", 2)
+    assert forest.depths(np.array([[0.0], [0.5], [2.0], [np.nan], [-np.inf]])).tolist() == [2.5, 3.0, 3.5, 3.5, 2.5]
+
+
 def test_half_spaces_hold_less_where_nothing_was(spark):
     r = np.random.default_rng(7)
     batch = lambda rows: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rows)], "id long, a double, b double")
