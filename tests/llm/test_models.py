@@ -41,6 +41,21 @@ def test_reruns_agree_and_rare_pairs_join(spark, monkeypatch):
     assert none.train_tokens == 0 and none.n_known == 0 and math.isfinite(none.score)
 
 
+def test_pairs_of_documents_travel_in_arrays(spark, monkeypatch):
+    docs = documents(spark)
+    few = language_model.hot_pairs
+    monkeypatch.setattr(language_model, "hot_pairs", lambda scores: few(scores, most=20))
+    found = []
+    for buckets in (1, 37):
+        monkeypatch.setattr(language_model, "LEAST_BUCKETS", buckets)
+        scored = language_model.score_documents(docs, held_out())
+        # No pair of a document is a row: nothing is unfolded, and no join meets pairs.
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
+        found.append(sorted(str((r.doc_id, r.n_known, round(r.score, 6), round(r.base_score, 6))) for r in scored.collect()))
+    assert found[0] == found[1] and len(found[0]) == len(document_rows())
+
+
 CORPUS = ["a b a b a c", "a b b a b", "b c d a b a b", "c d c d c d a", "a", "x y a b", "a b a c d", "b b b b a b"]
 ASIDE = ["a b c q", "d a q b", ""]
 
