@@ -451,3 +451,37 @@ def test_quantized_search_compares_few_and_finds_most(spark):
     met = sum(size[int(c)] for i in range(60) for c in np.argsort(((model.cells - x[i]) ** 2).sum(axis=1))[:3])
     assert met < 0.15 * 60 * 3000
     assert qz.encode(df.limit(0), qz.fit_quantizer(df.limit(0), "id", "v"), "id", "v").count() == 0
+
+
+def test_quantized_search_sends_on_only_the_best_of_a_slice(spark, monkeypatch):
+    from murmuration.operators import quantizer as qz
+
+    r = np.random.default_rng(6)
+    rows = [(i, r.integers(0, 3, 4).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    model = qz.fit_quantizer(df, "id", "v", 3, 2, 4)
+    coded = qz.encode(df, model, "id", "v").cache()
+    ask, told = df.where("id % 20 = 0"), {}
+    kept = qz.materialize
+
+    def watched(table, name):
+        if name == "candidates":
+            # What meets in a cell is compared where it stands: no join makes rows of it.
+            assert "Join" not in table._jdf.queryExecution().executedPlan().toString()
+            told[qz.SLICE] = {(x.q, x.id) for x in table.collect()}
+        return kept(table, name)
+
+    monkeypatch.setattr(qz, "materialize", watched)
+    for size in (1 << 15, 20):
+        monkeypatch.setattr(qz, "SLICE", size)
+        qz.quantized_search(ask, df, coded, model, "id", "v", 3, 2, 9).collect()
+    x, want = dict(rows), set()
+    coded = {c.id: c for c in coded.collect()}
+    for q in range(0, 400, 20):
+        v = np.array(x[q])
+        found = []
+        for cell in np.argsort(((model.cells - v) ** 2).sum(axis=1), kind="stable")[:2].tolist():
+            table = model.tables(v, cell)
+            found += [(table[0][c.codes[0]] + table[1][c.codes[1]], i) for i, c in coded.items() if c.cell == cell and i != q]
+        want |= {(q, i) for _, i in sorted(found)[:9]}
+    assert told[1 << 15] == want == told[20]
