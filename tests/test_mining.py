@@ -485,3 +485,27 @@ def test_quantized_search_sends_on_only_the_best_of_a_slice(spark, monkeypatch):
             found += [(table[0][c.codes[0]] + table[1][c.codes[1]], i) for i, c in coded.items() if c.cell == cell and i != q]
         want |= {(q, i) for _, i in sorted(found)[:9]}
     assert told[1 << 15] == want == told[20]
+
+
+def test_a_louvain_step_leaves_edges_where_they_are(spark):
+    from murmuration.store import placed
+
+    r = random.Random(8)
+    e = both_ways(spark, [(a, b) for a in range(40) for b in range(a) if r.random() < 0.2]).selectExpr("src", "dst", "1.0D AS w")
+    m2 = float(e.count())
+    edges = placed(e, "dst")
+    assert edges.count() == m2
+    state = cm.materialize(e.groupBy("src").count().selectExpr("src AS node", "src AS label", "cast(count AS double) AS k"), "state")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        moved = cm._moved(edges, state, m2, 2, 0)
+        lines = moved._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, x in enumerate(lines) if "InMemoryTableScan" in x)
+        assert next(x for x in reversed(lines[:scan]) if "Exchange" in x or "Join" in x).count("Join")
+        moved = cm.materialize(moved, "moved")
+        assert abs(cm._reached(edges, moved, m2) - cm.weighted_modularity(edges, moved.select("node", "label"), m2)) < 1e-12
+        assert moved.where("changed").count() and moved.count() == state.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        edges.unpersist()
