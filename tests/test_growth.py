@@ -210,3 +210,20 @@ def test_goss_ranges_keys_alone_and_counts_repeated_keys(spark, monkeypatch):
     assert len([r for r in rows if r.weight == 8.0]) == 10 and {r.id for r in rows if r.weight == 8.0} <= set(order[20:])
     same = spark.createDataFrame([(1, 1.0)] * 10, "id long, g double")
     assert sorted(r.weight for r in selection.goss(same, "g", "id").collect()) == [1.0, 1.0, 8.0]
+
+
+def test_no_pair_of_similar_sets_is_left_to_chance(spark, monkeypatch):
+    # Bands of nine rows miss nearly every pair at the threshold; 0.55 * 20 is a little above 11.
+    r = random.Random(4)
+    sets = [[f"i{j}" for j in r.sample(range(40), 20)] for _ in range(120)]
+    sets += [[*s[:13], *[f"n{i}.{j}" for j in range(7)]] for i, s in enumerate(sets[:40])] + [s[::-1] for s in sets[:5]] + [[f"i{j}" for j in range(11)], [f"i{j}" for j in range(20)], [], []]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, items array<string>")
+    classes = {}
+    for i, s in enumerate(sets):
+        classes.setdefault(frozenset(s), i)
+    want = {(i, j): len(a & b) / len(a | b) for a, i in classes.items() for b, j in classes.items() if i < j and len(a & b) / len(a | b) >= 0.55}
+    assert 0.55 in want.values() or 11 / 20 in want.values()
+    for crowd in (nearest.CROWD, 2, 10**6):
+        monkeypatch.setattr(nearest, "CROWD", crowd)
+        assert {(x.a, x.b): x.jaccard for x in nearest.similar_sets(df, "id", "items", 0.55, 1, 9).collect()} == want
+    assert {tuple(x) for x in nearest.copies(df, "id", "items").collect()} == {(i, 160 + i, 1.0) for i in range(5)}
