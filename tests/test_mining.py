@@ -509,3 +509,37 @@ def test_a_louvain_step_leaves_edges_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         edges.unpersist()
+
+
+def test_louvain_goes_on_until_nothing_gains(spark, monkeypatch):
+    r = random.Random(5)
+    pairs = [(a, b) for a in range(12) for b in range(a) if r.random() < 0.4]
+    e = both_ways(spark, pairs)
+    rows = [(x.src, x.dst) for x in e.collect()]
+    labels, reached = cm.louvain(e)
+    told = {x.node: x.label for x in labels.collect()}
+    assert len(told) == len({x for p in rows for x in p}) and abs(reached[-1] - modularity(rows, told)) < 1e-9
+    # Chance edges: no two communities that gain by becoming one are left.
+    for a in set(told.values()):
+        for b in set(told.values()) - {a}:
+            assert modularity(rows, {n: b if x == a else x for n, x in told.items()}) <= reached[-1] + 1e-9
+    for size in (cm.STATE_BYTES, 0):
+        monkeypatch.setattr(cm, "STATE_BYTES", size)
+        # Nor does a node gain by moving at the end of the first level, by passes or by joins.
+        first, reached = cm.louvain(e, 1)
+        told = {x.node: x.label for x in first.collect()}
+        for n in told:
+            assert max(modularity(rows, {**told, n: x}) for x in set(told.values())) <= reached[-1] + 1e-9
+
+
+def test_the_louvain_query_leaves_no_gain(spark):
+    from murmuration.plans import catalog
+    from murmuration.plans import relational as rel
+
+    sf = "/root/testdata/sf0.001"
+    told = {x.node: x.label for x in catalog.QUERIES["louvain"](spark, sf).collect()}
+    rows = [(x.src, x.dst) for x in rel.und(spark, sf).collect()]
+    reached = modularity(rows, told)
+    for a in set(told.values()):
+        for b in set(told.values()) - {a}:
+            assert modularity(rows, {n: b if x == a else x for n, x in told.items()}) <= reached + 1e-9
