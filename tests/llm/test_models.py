@@ -199,6 +199,28 @@ def test_scores_are_sums_over_the_sampled_chain(spark):
     assert all(math.isfinite(got[i]) and got[i] < 0 for i in range(len(CORPUS), len(rows)))
 
 
+def test_every_preceding_word_has_a_room_of_its_own(spark, monkeypatch):
+    m = language_model
+    slots = {}
+    for i in range(100_000):
+        word = f"w{i}e"
+        slot = int(next(iter(m.Reader().read([word])))[1][1])
+        if slot in slots:
+            break
+        slots[slot] = word
+    x, y = slots[slot], word
+    texts = [f"{x} p", f"{y} q"] * 6 + ["p q", "q p"]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, f"{x} p", f"{x} q", f"{y} p", f"{y} q"])]
+    found = []
+    for block in (m.BLOCK, 1):
+        monkeypatch.setattr(m, "BLOCK", block)
+        scored = m.score_documents(documents(spark, rows), F.col("doc_id") >= len(texts)).collect()
+        found.append({r.doc_id - len(texts): r.score for r in scored})
+    # Where rooms are shared both words follow either alike.
+    assert found[0][0] > found[0][1] + 0.3 and found[0][3] > found[0][2] + 0.3
+    assert all(math.isclose(v, found[1][i], rel_tol=1e-6) for i, v in found[0].items())
+
+
 def test_partitions_do_not_change_scores(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = []
