@@ -182,6 +182,24 @@ def test_rows_meet_a_thin_matrix_where_they_stand(spark, monkeypatch):
         assert np.allclose(x, y, atol=1e-4)
 
 
+def test_directions_travel_in_groups_where_not_all_fit(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    a = r.normal(size=(50, 4)) @ r.normal(size=(4, 30)) + 0.01 * r.normal(size=(50, 30))
+    df = entries(spark, a)
+
+    def found():
+        left, values, right = dc.truncated_svd(df, 3, oversample=4, rounds=2)
+        return values, np.array([x.vector for x in left.orderBy("row").collect()]), np.array([x.vector for x in right.orderBy("col").collect()])
+
+    whole = found()
+    # One direction of 30 columns has 240 bytes; no entry is joined with a vector.
+    monkeypatch.setattr(dc, "multiply", None)
+    for size in (240, 500):
+        monkeypatch.setattr(dc, "THIN_BYTES", size)
+        for x, y in zip(found(), whole, strict=True):
+            assert np.allclose(x, y, atol=1e-9)
+
+
 def test_low_rank_and_empty_matrices(spark):
     a = np.outer([1.0, 2, 0, 3], [1.0, 0, 2])
     left, values, right = dc.truncated_svd(entries(spark, a), 3)
