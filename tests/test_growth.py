@@ -227,3 +227,17 @@ def test_no_pair_of_similar_sets_is_left_to_chance(spark, monkeypatch):
         monkeypatch.setattr(nearest, "CROWD", crowd)
         assert {(x.a, x.b): x.jaccard for x in nearest.similar_sets(df, "id", "items", 0.55, 1, 9).collect()} == want
     assert {tuple(x) for x in nearest.copies(df, "id", "items").collect()} == {(i, 160 + i, 1.0) for i in range(5)}
+
+
+def test_texts_are_scored_where_they_stand(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, "".join(r.choice(["abc é", "xyz 𝔘", "abz"][i % 3]) for _ in range(r.randint(0, 60))), ["a", "b", None][i % 3]) for i in range(60)]
+    rows += [(60, None, "a"), (61, "", "b"), (None, "abc", "a"), (62, "ÀÉ", "c"), (3, "xyz", "b")]
+    df = spark.createDataFrame(rows, "id long, t string, l string").repartition(3)
+    found = text.language_scores(df, df, "id", "t", "l")
+    assert not any("Join" in x or "Generate" in x for x in plan(found))
+    told = {x.id: x.predicted for x in found.collect()}
+    monkeypatch.setattr(text, "CHARS", 1)
+    assert told == {x.id: x.predicted for x in text.language_scores(df, df, "id", "t", "l").collect()}
+    monkeypatch.setattr(text, "GRAM_BYTES", 0)
+    assert told == {x.id: x.predicted for x in text.language_scores(df, df, "id", "t", "l").collect()} and len(told) == 62
